@@ -182,16 +182,17 @@ def decay_scan(df: DataFrame, by: Sequence[str], specs: dict[str, tuple[Column,
 
 
 def affine_scan(df: DataFrame, by: Sequence[str], a: str, b: str, out: str, pos: str = "_pos",
-                size: int = 4096, levels: int = 2) -> DataFrame:
+                size: int = 4096, levels: int = 2, before: str | None = None) -> DataFrame:
     """``s[t] = a[t] * s[t-1] + b[t]`` with a coefficient per row, starting from 0.
 
     Affine maps compose, so a block of rows collapses to one ``(a, b)`` pair.
     The pairs are scanned the same way one level up (each level is ``size`` times
-    smaller), and every block is then replayed from its incoming state. No task
-    sees more than one block at any level but the last, which holds one row per
+    smaller), and every block is then replayed from its incoming state. ``before``
+    names an extra output with the state ahead of each row. No task sees more than one block at any level but the last, which holds one row per
     ``size ** levels`` input rows of a key.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(pos) / F.lit(size)).cast("long"))
+    block = f"_block{levels}"
+    blocked = df.withColumn(block, F.floor(F.col(pos) / F.lit(size)).cast("long"))
     steps = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(a).alias("a"), F.col(b).alias("b"))))
     composed = F.aggregate(
         steps,
@@ -199,29 +200,34 @@ def affine_scan(df: DataFrame, by: Sequence[str], a: str, b: str, out: str, pos:
         lambda acc, s: F.struct((acc["a"] * s["a"]).alias("a"), (acc["b"] * s["a"] + s["b"]).alias("b")),
     )
     pairs = (
-        blocked.groupBy(*by, "_block").agg(composed.alias("_ab"))
-        .select(*by, "_block", F.col("_ab.a").alias("_a"), F.col("_ab.b").alias("_b"))
+        blocked.groupBy(*by, block).agg(composed.alias("_ab"))
+        .select(*by, block, F.col("_ab.a").alias("_a"), F.col("_ab.b").alias("_b"))
     )
     if levels > 1:
-        states = affine_scan(pairs, by, "_a", "_b", "_state", "_block", size, levels - 1)
+        states = affine_scan(pairs, by, "_a", "_b", "_state", block, size, levels - 1)
     else:
-        states = _replay(pairs.withColumn("_in", F.lit(0.0)), by, "_a", "_b", "_state", "_block")
-    incoming = states.select(*by, (F.col("_block") + 1).alias("_block"), F.col("_state").alias("_in"))
-    ready = blocked.join(incoming, [*by, "_block"], "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
-    return _replay(ready, [*by, "_block"], a, b, out, pos).select(*df.columns, out)
+        states = _replay(pairs.withColumn("_in", F.lit(0.0)), by, "_a", "_b", "_state", block)
+    incoming = states.select(*by, (F.col(block) + 1).alias(block), F.col("_state").alias("_in"))
+    ready = blocked.join(incoming, [*by, block], "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
+    outputs = [out, before] if before else [out]
+    return _replay(ready, [*by, block], a, b, out, pos, before).select(*df.columns, *outputs)
 
 
-def _replay(df: DataFrame, keys: Sequence[str], a: str, b: str, out: str, pos: str) -> DataFrame:
+def _replay(df: DataFrame, keys: Sequence[str], a: str, b: str, out: str, pos: str,
+            before: str | None = None) -> DataFrame:
     """Walk one block in order from its incoming state ``_in``."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    names = [out, before] if before else [out]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def walk(block):
         block = block.sort_values(pos)
         state = block["_in"].iloc[0]
-        states = []
+        past, states = [], []
         for x, y in zip(block[a].to_numpy(), block[b].to_numpy()):
+            past.append(state)
             state = x * state + y
             states.append(state)
-        return block.assign(**{out: states})
+        added = {out: states, before: past} if before else {out: states}
+        return block.assign(**added)
 
     return df.groupBy(*keys).applyInPandas(walk, schema)
