@@ -125,11 +125,12 @@ def size_buckets(cars: DataFrame, window: tuple[int, int], amount: str = "amount
     """Statistics by amount tercile; empty below ``least`` events with an amount."""
     finite = cars.withColumn(amount, F.nanvl(F.col(amount).cast("double"), F.lit(None).cast("double"))) \
         .filter(F.col(amount).isNotNull())
-    cuts = cut_points(finite, amount).join(
-        finite.agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= least), F.lit(True))
+    rows = finite.withColumn("_all", F.lit(0))
+    enough = rows.groupBy("_all").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= least).select("_all")
+    cuts = cut_points(rows, amount, by=["_all"]).join(enough, "_all", "left_semi")  # one row
     bucket = F.when(F.col(amount) <= F.col("q1"), "small").when(F.col(amount) <= F.col("q2"), "mid") \
         .otherwise("large")
-    tagged = finite.withColumn("_all", F.lit(0)).join(F.broadcast(cuts.withColumn("_all", F.lit(0))), "_all")
+    tagged = rows.join(F.broadcast(cuts), "_all")
     return car_stats(tagged.withColumn("bucket", bucket), [window], ["bucket"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.operators.sets import keep_last
 from tidemark.schemas import FEATURE, conform, require_columns
@@ -88,7 +88,7 @@ class FeatureStore:
         batches = self._batches()
         if not batches:
             return self.spark.createDataFrame([], FEATURE)
-        schema = FEATURE.add("batch", "int")
+        schema = T.StructType([*FEATURE.fields, T.StructField("batch", T.IntegerType())])
         rows = self.spark.read.schema(schema).option("basePath", self.folder).parquet(
             *[f"{self.folder}/batch={b:08d}" for b in batches])
         if names is not None:
