@@ -21,6 +21,11 @@ def clip(x, lo: float, hi: float) -> Column:
     return F.greatest(F.least(col(x), F.lit(hi)), F.lit(lo))
 
 
+def micros(ts) -> Column:
+    """Microseconds since the epoch of a date or a timestamp of either kind."""
+    return F.unix_micros(col(ts).cast("timestamp"))
+
+
 def no_nan(x) -> Column:
     """NULL is the only missing value; NaN becomes NULL on the way in."""
     return F.nanvl(col(x).cast("double"), F.lit(None).cast("double"))

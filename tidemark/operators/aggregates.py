@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import ratio
-from tidemark.operators.ranking import average_rank, exact_quantiles
+from tidemark.operators.ranking import average_ranks, exact_quantiles
 from tidemark.operators.windows import rolling_rows
 
 
@@ -58,7 +58,7 @@ def _correlation(x: str, y: str) -> Column:
 def ic_by_period(df: DataFrame, feature: str, forward: str, period: str = "date") -> DataFrame:
     """Pearson and Spearman correlation per period, undefined periods removed."""
     rows = df.select(period, feature, forward).filter(F.col(feature).isNotNull() & F.col(forward).isNotNull())
-    ranked = average_rank(average_rank(rows, [period], feature, "_rx"), [period], forward, "_ry")
+    ranked = average_ranks(rows, [period], {"_rx": feature, "_ry": forward})
     ic = ranked.groupBy(period).agg(
         _correlation(feature, forward).alias("pearson_ic"),
         _correlation("_rx", "_ry").alias("spearman_ic"),

@@ -114,32 +114,40 @@ def bar_index(bars: DataFrame, by: str = "symbol", date: str = "date") -> DataFr
 
 
 def event_days(indexed: DataFrame, events: DataFrame, by: str = "symbol", event_date: str = "event_date",
-               date: str = "date", max_gap_days: int | None = None) -> DataFrame:
+               date: str = "date", max_gap_days: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(symbol, event_date) -> ``t0``, the position of the first bar on or after it.
 
-    Only distinct event dates are resolved. Dates before a symbol's first bar or
-    after its last have no t0 and are left out.
+    Only distinct event dates are resolved; ``carry`` names bar columns to bring
+    along. Dates before a symbol's first bar or after its last are left out.
     """
-    line_type = indexed.schema[date].dataType
-    if not isinstance(line_type, T.DateType):
-        line_type = T.TimestampType()
     days = events.select(by, F.col(event_date).alias("_event")).distinct()
-    points = days.select(by, F.col("_event").cast(line_type).alias("_t"), F.lit(0).alias("_bar"), "_event")
-    marks = indexed.select(by, F.col(date).cast(line_type).alias("_t"), F.lit(1).alias("_bar"), "bar_idx")
-    line = marks.unionByName(points, allowMissingColumns=True)
-    # Running count of bars strictly before the event equals the index of the next one.
-    cell = cell_for(line, "_t", "hour")
-    counted = running(line, [by], ["_t", "_bar"], {"t0": ("count", "bar_idx")}, cell).filter("_bar = 0")
-    found = indexed.select(by, F.col("bar_idx").alias("t0"), F.col(date).alias("t0_date"))
-    first = F.col("_event").cast(line_type) >= F.col("_first").cast(line_type)
-    starts = indexed.filter("bar_idx = 0").select(by, F.col(date).alias("_first"))
-    aligned = (
-        counted.select(by, F.col("_event"), "t0").join(found, [by, "t0"]).join(starts, by).filter(first)
-        .select(by, F.col("_event").alias(event_date), "t0", "t0_date")
-    )
+    on_days = isinstance(indexed.schema[date].dataType, T.DateType)
+    kind = T.DateType() if on_days else T.TimestampType()
+    if on_days and not isinstance(events.schema[event_date].dataType, T.DateType):
+        at = _day_seen("_event")
+    else:
+        at = F.col("_event").cast(kind)
+    points = days.select(by, at.alias("_t"), F.lit(0).alias("_bar"), "_event")
+    bar = F.struct(F.col("bar_idx").alias("t0"), F.col(date).alias("t0_date"), *carry)
+    marks = indexed.select(by, F.col(date).cast(kind).alias("_t"), F.lit(1).alias("_bar"), bar.alias("_next"))
+    if on_days:
+        # Calendar-bounded: the next bar is the first one on the rows that follow.
+        ahead = Window.partitionBy(by).orderBy("_t", "_bar").rowsBetween(0, Window.unboundedFollowing)
+        line = marks.unionByName(points, allowMissingColumns=True)
+        found = line.withColumn("_next", F.first("_next", ignorenulls=True).over(ahead)).filter("_bar = 0")
+    else:
+        # Bars strictly before the event number the next one.
+        line = marks.drop("_next").unionByName(points, allowMissingColumns=True)
+        line = line.withColumn("_one", F.when(F.col("_bar") == 1, 1))
+        seen = running(line, [by], ["_t", "_bar"], {"_k": ("count", "_one")}, cell_for(line, "_t")).filter("_bar = 0")
+        bars = marks.select(by, F.col("_next.t0").alias("_k"), "_next")
+        found = seen.select(by, "_event", "_t", "_k").join(bars, [by, "_k"])
+    rows = found.filter("_next is not null").select(by, F.col("_event").alias(event_date), "_t", "_next.*")
+    # Day zero at the very first bar is valid only when the event falls on it.
+    rows = rows.filter((F.col("t0") > 0) | (F.col("_t") == F.col("t0_date").cast(kind))).drop("_t")
     if max_gap_days is not None:
-        aligned = aligned.filter(F.datediff("t0_date", event_date) <= max_gap_days)
-    return aligned
+        rows = rows.filter(F.datediff("t0_date", event_date) <= max_gap_days)
+    return rows
 
 
 def align_events(bars: DataFrame, events: DataFrame, pre: int, post: int, by: str = "symbol",
@@ -147,7 +155,8 @@ def align_events(bars: DataFrame, events: DataFrame, pre: int, post: int, by: st
     """Event rows times relative days -pre..post with the bar position of each."""
     indexed = bar_index(bars, by)
     aligned = events.join(event_days(indexed, events, by, event_date, max_gap_days=max_gap_days), [by, event_date])
-    offsets = F.sequence(F.lit(-pre), F.lit(post))
-    placed = aligned.withColumn("rel_day", F.explode(offsets)).withColumn("bar_idx", F.col("t0") + F.col("rel_day"))
-    sizes = indexed.groupBy(by).agg(F.max("bar_idx").alias("_last"))
-    return placed.join(sizes, by).filter(F.col("bar_idx").between(F.lit(0), F.col("_last"))).drop("_last")
+    last = indexed.groupBy(by).agg(F.max("bar_idx").alias("_last"))
+    offsets = F.sequence(F.greatest(F.lit(-pre), -F.col("t0")),
+                         F.least(F.lit(post), F.col("_last") - F.col("t0")))
+    return aligned.join(last, by).withColumn("rel_day", F.explode(offsets)).drop("_last") \
+        .withColumn("rel_day", F.col("rel_day").cast("int")).withColumn("bar_idx", F.col("t0") + F.col("rel_day"))

@@ -40,18 +40,26 @@ def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str
     )
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """1-based ascending rank where equal values share their mean rank."""
-    keyed = df.withColumn("_cell", value_cell(value))
-    starts = _cell_starts(keyed, by).select(*by, "_cell", "_start")
-    ranked = (
-        keyed.groupBy(*by, "_cell", value).agg(F.count(F.lit(1)).alias("_ties"))
-        .withColumn("_upto", F.sum("_ties").over(
-            Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-        .join(starts, [*by, "_cell"])
-        .select(*by, value, (F.col("_start") + F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0)).alias(out))
-    )
-    return df.join(ranked, [*by, value]).select(*df.columns, out)
+def average_ranks(df: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """1-based ascending ranks where equal values share their mean rank.
+
+    ``columns`` maps output names to value columns. Equal values collapse to one
+    row on the map side before anything is ordered.
+    """
+    out = df
+    for name, value in columns.items():
+        ties = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_size")).withColumn("_cell", value_cell(value))
+        starts = (
+            ties.groupBy(*by, "_cell").agg(F.sum("_size").alias("_total"))
+            .select(*by, "_cell", F.coalesce(F.sum("_total").over(
+                Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)),
+                F.lit(0)).alias("_start"))
+        )
+        upto = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ties.withColumn("_upto", F.sum("_size").over(upto)).join(starts, [*by, "_cell"]).select(
+            *by, value, (F.col("_start") + F.col("_upto") - (F.col("_size") - 1) / F.lit(2.0)).alias(name))
+        out = out.join(ranked, [*by, value])
+    return out.select(*df.columns, *columns)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],

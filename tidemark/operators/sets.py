@@ -19,7 +19,7 @@ def _common_type(types: list[T.DataType]) -> T.DataType:
         return T.LongType()
     if all(isinstance(t, T.NumericType) for t in types):
         return T.DoubleType()
-    if all(isinstance(t, (T.DateType, T.TimestampType)) for t in types):
+    if all(isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) for t in types):
         return T.TimestampType()
     return T.StringType()
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.columns import ratio
-from tidemark.operators.ordered import affine_scan, cell_for, positions, running, with_neighbours
+from tidemark.operators.ordered import affine_scan, cell_for, running, with_neighbours
+from tidemark.session import reused
 
 # Cost defaults (fixed values).
 SLIPPAGE_BPS = 1.0
@@ -69,7 +70,8 @@ def _book(fills: DataFrame, by: Sequence[str], ts: str, seq: str) -> DataFrame:
     """
     cell = cell_for(fills, ts)
     signed = F.when(F.col("side") == "Buy", F.col("quantity")).otherwise(-F.col("quantity")).cast("double")
-    tape = running(fills.withColumn("_signed", signed), by, [ts, seq], {"qty_after": ("sum", "_signed")}, cell)
+    tape = running(fills.withColumn("_signed", signed), by, [ts, seq],
+                   {"qty_after": ("sum", "_signed"), "_seen": ("count", "_signed")}, cell)
     before, after = F.col("qty_after") - F.col("_signed"), F.col("qty_after")
     adds = (before == 0) | (F.signum(before) == F.signum("_signed"))
     restarts = (before == 0) | (after == 0) | (~adds & (F.signum(after) != F.signum(before)))
@@ -77,8 +79,10 @@ def _book(fills: DataFrame, by: Sequence[str], ts: str, seq: str) -> DataFrame:
     a = F.when(restarts, 0.0).when(adds, F.abs(before) / mixed).otherwise(1.0)
     b = (F.when(after == 0, 0.0).when(restarts, F.col("price"))
          .when(adds, F.col("price") * F.abs("_signed") / mixed).otherwise(0.0))
-    steps = tape.withColumn("qty_before", before).withColumn("_adds", adds).withColumn("_a", a).withColumn("_b", b)
-    return affine_scan(positions(steps, by, [ts, seq], cell), by, "_a", "_b", "avg_after", before="avg_before")
+    steps = tape.select(
+        *by, ts, seq, "price", "commission", "_signed", "qty_after", before.alias("qty_before"), adds.alias("_adds"),
+        a.alias("_a"), b.alias("_b"), (F.col("_seen") - 1).alias("_pos"))
+    return affine_scan(reused(steps), by, "_a", "_b", "avg_after", before="avg_before")
 
 
 def _gross() -> Column:
@@ -123,7 +127,7 @@ def equity_curve(fills: DataFrame, bars: DataFrame, capital: float = 100_000.0,
         F.max_by("price", F.struct(ts, seq)).alias("_traded"),
     )
     marks = bars.select("symbol", F.col(date).cast("date").alias(date), "close")
-    owned = fills.select(*keys, "symbol").distinct()
+    owned = days.select(*keys, "symbol").distinct()
     line = days.join(marks.join(owned, "symbol"), [*keys, "symbol", date], "full")
     held = running(line, [*keys, "symbol"], [date],
                    {"_qty": ("sum", "_dq"), "_close": ("last", "close"), "_fill": ("last", "_traded")})

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidemark.functions.columns import clip, ratio
+from tidemark.functions.columns import clip, micros, ratio
 from tidemark.operators.ordered import cell_for, positions, running, with_neighbours
 from tidemark.operators.ranking import ordinal_rank
 from tidemark.schemas import require_columns
@@ -112,24 +112,24 @@ def rolling_daily(df: DataFrame, column: str, spans: dict[str, int], by: str = "
                                      for n, d in spans.items()])
 
 
-def _rolling_span(df: DataFrame, column: str, micros: int, agg: str, by: str, ts: str, out: str) -> DataFrame:
+def _rolling_span(df: DataFrame, column: str, span: int, agg: str, by: str, ts: str, out: str) -> DataFrame:
     """Timestamp version: difference of two running totals.
 
     Each row is placed on the time line twice, as data at its own time and as a
     probe, so the running total (split over time cells) answers "total up to t".
     """
     def up_to(d: DataFrame, shift: int, tag: str) -> DataFrame:
-        data = d.select(F.col(by), F.unix_micros(ts).alias("_t"), F.col(column).cast("double").alias("_x"),
+        data = d.select(F.col(by), micros(ts).alias("_t"), F.col(column).cast("double").alias("_x"),
                         F.lit(0).alias("_probe"))
         payload = F.struct(*d.columns).alias("_row")
-        probes = d.select(F.col(by), (F.unix_micros(ts) - shift).alias("_t"), F.lit(1).alias("_probe"), payload)
+        probes = d.select(F.col(by), (micros(ts) - shift).alias("_t"), F.lit(1).alias("_probe"), payload)
         line = data.unionByName(probes, allowMissingColumns=True)
         cell = F.floor(F.col("_t") / F.lit(60_000_000))
         totals = running(line, [by], ["_t", "_probe"], {f"_s{tag}": ("sum", "_x"), f"_k{tag}": ("count", "_x")}, cell)
         return totals.filter("_probe = 1").select("_row.*", F.coalesce(f"_s{tag}", F.lit(0.0)).alias(f"_s{tag}"),
                                                   F.col(f"_k{tag}"))
 
-    both = up_to(up_to(df, 0, "1"), micros, "0")
+    both = up_to(up_to(df, 0, "1"), span, "0")
     total, count = F.col("_s1") - F.col("_s0"), F.col("_k1") - F.col("_k0")
     return both.select(*df.columns, (total if agg == "sum" else ratio(total, count)).alias(out))
 
@@ -156,10 +156,12 @@ def trailing_zscore(df: DataFrame, value_col: str, by: str = "symbol", time_col:
         )
         sums = running(centred, [by], [time_col, *tie],
                        {"_k": ("count", value_col), "_s": ("sum", "_d"), "_q": ("sum", "_d2")}, cell)
-        spread = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_k"), F.lit(0.0))
+        squares = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_k"), F.lit(0.0))
         stats = sums.select(*df.columns, "_k", (F.col("_c") + ratio("_s", "_k")).alias("_mean"),
-                            F.when(F.col("_k") > 1, F.sqrt(spread / (F.col("_k") - 1))).alias("_sd"))
-    z = F.when((F.col("_k") >= min_periods) & (F.col("_sd") > 0), (F.col(value_col) - F.col("_mean")) / F.col("_sd"))
+                            F.when(F.col("_k") > 1, F.sqrt(squares / (F.col("_k") - 1))).alias("_sd"))
+    # A deviation within rounding error of the mean is no spread.
+    spread = F.col("_sd") > F.abs("_mean") * 1e-12
+    z = F.when((F.col("_k") >= min_periods) & spread, (F.col(value_col) - F.col("_mean")) / F.col("_sd"))
     return stats.select(*df.columns, z.alias(out))
 
 
@@ -190,9 +192,12 @@ def min_names_filter(df: DataFrame, n: int, period: str = "date") -> DataFrame:
 
 
 def quantile_bucket(df: DataFrame, feature: str, q: int = 5, period: str = "date", tie: str = "symbol",
-                    out: str = "quantile") -> DataFrame:
-    """Bucket 1..q by ascending rank within the period's own row count."""
-    ranked = ordinal_rank(df, [period], feature, [tie])
+                    out: str = "quantile", min_names: int = 0) -> DataFrame:
+    """Bucket 1..q by ascending rank within the period's own row count.
+
+    Periods with fewer than ``min_names`` rows are left out.
+    """
+    ranked = ordinal_rank(df, [period], feature, [tie]).filter(F.col("_n") >= min_names)
     bucket = F.floor((F.col("_rank") - 1) * q / F.col("_n")) + 1
     return ranked.select(*df.columns, clip(bucket, 1, q).cast("int").alias(out))
 

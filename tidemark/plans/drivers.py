@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.plans.features import award_velocity, fundamental_momentum, size_features, trailing_obligations
 from tidemark.plans.regression import fama_macbeth
-from tidemark.plans.study import assemble_panel, horizon_of, signal_study
+from tidemark.plans.study import assemble_panel, signal_study
+from tidemark.session import reused
 from tidemark.operators.joins import asof_join
 from tidemark.operators.sets import union_relaxed
 from tidemark.operators.windows import forward_returns, momentum
@@ -58,7 +59,7 @@ def velocity_study(transactions: DataFrame, shares: DataFrame, bars: DataFrame,
                    cache: bool = True, **velocity) -> dict[str, DataFrame]:
     """Award-velocity study: the panel is cached once for all its uses."""
     panel = velocity_panel(transactions, shares, bars, horizons, as_of=as_of, momentum_rows=momentum_rows, **velocity)
-    panel = panel.persist() if cache else panel
+    panel = reused(panel) if cache else panel
     return {
         "panel": panel,
         "studies": study_table(panel, ["contract_award_velocity_z", "price_momentum", "contract_intensity"], horizons),
@@ -76,7 +77,7 @@ def fundamental_study(revenue: DataFrame, bars: DataFrame, horizons: Sequence[in
                       momentum_rows: int = 63, cache: bool = True) -> dict[str, DataFrame]:
     """Growth, acceleration and momentum studies with their joint regression."""
     panel = fundamental_panel(revenue, bars, horizons, momentum_rows)
-    panel = panel.persist() if cache else panel
+    panel = reused(panel) if cache else panel
     features = ["rev_yoy_accel", "rev_yoy_growth", "price_momentum"]
     return {
         "panel": panel,

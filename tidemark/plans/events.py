@@ -72,11 +72,9 @@ def event_cars(bars: DataFrame, events: DataFrame, windows: Windows, by: str = "
                event_date: str = "event_date", date: str = "date", max_gap_days: int | None = None) -> DataFrame:
     """Events that fall into the price history with one CAR column per window."""
     cars = _window_cars(bars, windows, by, date)
-    days = event_days(cars.select(by, date, "bar_idx"), events, by, event_date, date, max_gap_days)
     names = [car_name(a, b) for a, b in windows]
-    zeros = days.join(cars.select(by, F.col("bar_idx").alias("t0"), *names), [by, "t0"]) \
-        .select(by, event_date, *names)
-    return events.join(zeros, [by, event_date]).select(*events.columns, *names)
+    days = event_days(cars, events, by, event_date, date, max_gap_days, names)
+    return events.join(days.select(by, event_date, *names), [by, event_date]).select(*events.columns, *names)
 
 
 def caar(bars: DataFrame, events: DataFrame, pre: int = 5, post: int = 60, by: str = "symbol",

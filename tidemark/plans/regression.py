@@ -12,6 +12,7 @@ from tidemark.operators.aggregates import t_stat
 from tidemark.operators.ordered import cell_for, positions
 from tidemark.operators.windows import distinct_periods
 from tidemark.plans.study import horizon_of
+from tidemark.session import reused
 
 
 @F.pandas_udf("array<double>")
@@ -107,7 +108,7 @@ def oos_splits(panel: DataFrame, features: Sequence[str], horizons: Sequence[int
     horizon run in one aggregation.
     """
     forwards = [f"forward_{h}d_return" for h in horizons]
-    rows = panel.dropna(subset=[*features, *forwards]).select("symbol", period, *features, *forwards)
+    rows = reused(panel.dropna(subset=[*features, *forwards]).select("symbol", period, *features, *forwards))
     dates = distinct_periods(rows, period)
     half = dates.agg(F.max("period_index").alias("_last")).select(F.floor((F.col("_last") + 1) / 2).alias("_half"))
     middle = (dates.withColumn("_all", F.lit(0)).join(half.withColumn("_all", F.lit(0)), "_all")
@@ -119,7 +120,7 @@ def oos_splits(panel: DataFrame, features: Sequence[str], horizons: Sequence[int
         F.lit("full"),
         F.when(F.col("_first"), "in_sample_first_half").otherwise("oos_second_half"),
         F.when(F.col("_even"), "universe_A").otherwise("universe_B"))
-    split = rows.join(middle, period).join(sides, "symbol").withColumn("split", F.explode(labels))
+    split = reused(rows.join(middle, period).join(sides, "symbol").withColumn("split", F.explode(labels)))
     parts = [fama_macbeth(split, features, f, period, k, None, ["split"]).withColumn("forward_col", F.lit(f))
              for f in forwards]
     result = parts[0]

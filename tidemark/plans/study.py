@@ -11,9 +11,10 @@ from tidemark.functions.columns import ratio
 from tidemark.operators.aggregates import ic_by_period, ic_summary, quantile_returns, quantile_summary, top_by_year
 from tidemark.operators.cleaning import contract_intensity
 from tidemark.operators.joins import asof_join
-from tidemark.operators.windows import (cumulative_drawdown, forward_returns, min_names_filter, momentum,
-                                        quantile_bucket, sample_periods)
+from tidemark.operators.windows import (cumulative_drawdown, forward_returns, momentum, quantile_bucket,
+                                        sample_periods)
 from tidemark.schemas import require_columns
+from tidemark.session import reused
 
 PANEL_FEATURES = ("contract_award_velocity_z", "contract_oblig_ttm", "shares_outstanding")
 
@@ -40,7 +41,7 @@ def study_rows(panel: DataFrame, feature: str, forward: str, q: int = 5, k: int
     require_columns(panel, ["symbol", period, feature, forward], "panel")
     rows = panel.select("symbol", period, feature, forward).dropna(subset=[feature, forward])
     sampled = sample_periods(rows, k if k is not None else horizon_of(forward), period)
-    return quantile_bucket(min_names_filter(sampled, q, period), feature, q, period)
+    return quantile_bucket(reused(sampled), feature, q, period, min_names=q)
 
 
 def spread_by_period(returns: DataFrame, q: int = 5, period: str = "date") -> DataFrame:
@@ -66,7 +67,7 @@ def signal_study(panel: DataFrame, feature: str, forward: str, q: int = 5, k: in
     With ``check`` a universe too thin for ``q`` buckets raises ``ValueError``.
     """
     step = k if k is not None else horizon_of(forward)
-    rows = study_rows(panel, feature, forward, q, step, period)
+    rows = reused(study_rows(panel, feature, forward, q, step, period))
     if check and rows.isEmpty():
         raise ValueError(f"no period holds {q} names for {feature} and {forward}")
     per_year = 252.0 / step

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tidemark") -> SparkSession:
@@ -41,3 +42,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     sc.setCheckpointDir(named)
     return named
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """Keep an intermediate that several branches of one job read.
+
+    Two-pass operators (ranks, running totals over cells) read their input twice;
+    stacked, they would recompute it exponentially often. Kept rows spill to disk
+    and are recomputed from lineage when an executor is lost. Release them with
+    ``spark.catalog.clearCache()``.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
