@@ -1 +1,70 @@
-"""Queries."""
+"""Streaming runs over bars landed from the given tables.
+
+A symbol has at most one weekly bar, so its rows in a replay are bounded by the
+calendar whatever the size of the line items behind them.
+"""
+
+from pyspark.sql import functions as F
+
+from catalog import base
+from catalog.base import bars, query, shared_folder
+from catalog.indicators import ORDERED, ema_cte
+from tidemark.streaming import jobs as J
+
+
+def _replay(spark, df, job, name):
+    """Land the rows, stream them to the end and return what was written."""
+    src, out = shared_folder(spark, f"{name}-in"), shared_folder(spark, f"{name}-out")
+    df.write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    q = job(stream).writeStream.format("parquet").option("path", out) \
+        .option("checkpointLocation", shared_folder(spark, f"{name}-state")).outputMode("append") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def _bars(spark, sf):
+    return bars(spark, sf).withColumn("ts", F.col("date").cast("timestamp")).drop("date")
+
+
+@query("x1_stream_indicators", f"""with recursive {ORDERED}, {ema_cte('e', 'o', 'close', 10)}, {ema_cte('f', 'o', 'close', 12)},
+    {ema_cte('s', 'o', 'close', 26)}, ln as (select symbol, pos, f.v-s.v x from f join s using (symbol, pos)), {ema_cte('g', 'ln', 'x', 9)},
+    b as (select symbol, pos, case when count(*) over w=10 then avg(close) over w end m from o window w as (partition by symbol order by pos rows 9 preceding))
+    select symbol, date::timestamp ts, m sma_10, e.v ema_10, x macd_line, g.v macd_signal from o join e using (symbol, pos)
+    join ln using (symbol, pos) join g using (symbol, pos) join b using (symbol, pos)""", ("bars",),
+       {"sma_10": 5, "ema_10": 5, "macd_line": 5, "macd_signal": 5})
+def x1(spark, sf):
+    out = _replay(spark, _bars(spark, sf), lambda s: J.stream_indicators(s, 10, 10), "indicators")
+    return out.select("symbol", "ts", "sma_10", "ema_10", "macd_line", "macd_signal")
+
+
+@query("x2_stream_hysteresis", """select symbol, date::timestamp ts, close/lag(close,12) over w-1 momentum from bars
+    window w as (partition by symbol order by date) qualify momentum is not null""", ("bars",), {"momentum": 6})
+def x2(spark, sf):
+    out = _replay(spark, _bars(spark, sf), lambda s: J.stream_hysteresis(s, lookback_days=12), "signals")
+    return out.select("symbol", "ts", "momentum")
+
+
+base.SQL_VIEWS.update({
+    "bar_tape": """select symbol, date::timestamp ts, close price, case when close>open then 1+volume%50 else -(1+volume%50) end::double signed,
+       row_number() over (partition by symbol order by date) rn from bars""",
+    "bar_book": """select symbol, rn, ts, price, signed, 0.0::double qb, 0.0::double ab, signed qa, price aa from bar_tape where rn=1
+       union all select t.symbol, t.rn, t.ts, t.price, t.signed, b.qa, b.aa, b.qa+t.signed,
+       case when b.qa+t.signed=0 then 0 when b.qa=0 then t.price when sign(b.qa)=sign(t.signed)
+         then (b.aa*abs(b.qa)+t.price*abs(t.signed))/abs(b.qa+t.signed)
+         when sign(b.qa+t.signed)<>sign(b.qa) then t.price else b.aa end
+       from bar_book b join bar_tape t on t.symbol=b.symbol and t.rn=b.rn+1""",
+})
+base.DEPENDS.update({"bar_tape": ("bars",), "bar_book": ("bar_tape",)})
+
+
+@query("x3_stream_positions", """select symbol, ts, qa quantity, case when qa<>0 then aa end avg_entry,
+    case when qb=0 or sign(qb)=sign(signed) then 0 else (price-ab)*least(abs(signed),abs(qb))*sign(qb) end realized from bar_book""",
+       ("bar_book",), {"avg_entry": 4, "realized": 4})
+def x3(spark, sf):
+    b = bars(spark, sf)
+    fills = b.select("symbol", F.col("date").cast("timestamp").alias("ts"), F.col("close").alias("price"),
+                     F.when(F.col("close") > F.col("open"), "Buy").otherwise("Sell").alias("side"),
+                     (1 + F.col("volume") % 50).alias("quantity"))
+    return _replay(spark, fills, J.stream_positions, "positions").select("symbol", "ts", "quantity", "avg_entry", "realized")

@@ -57,15 +57,20 @@ def filing_diff(filings: DataFrame, lexicon: dict[str, int] = RISK_SEVERITY, by:
     return paired.select(by, *order, *[c.alias(n) for n, c in scores.items()])
 
 
+def _unicode(pattern: str) -> str:
+    """Word and space classes cover all scripts, whatever the Java version."""
+    return "(?U)" + pattern if "\\" in pattern else pattern
+
+
 def _count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(_unicode(pattern)))
 
 
 def evasiveness(df: DataFrame, text: str = "text", patterns: Sequence[str] = EVASIVE_PATTERNS) -> DataFrame:
     """Evasive phrases of each text: count, rate per 10 000 words (at most 100), first five."""
     low = F.lower(F.col(text))
     count = sum((_count_of(low, p) for p in patterns), F.lit(0))
-    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), 0) for p in patterns]))
+    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(_unicode(p)), 0) for p in patterns]))
     rate = F.least(F.col("evasive_phrase_count") / F.greatest(F.size(words(text)), F.lit(1)) * 10000, F.lit(100.0))
     return (
         df.withColumn("evasive_phrase_count", count)
@@ -82,10 +87,12 @@ def evasiveness_by(df: DataFrame, by: str, order: str, text: str = "text",
     of any length is never assembled. A phrase does not span two speakers.
     """
     low = F.lower(F.col(text))
-    hits = F.flatten(F.array(*[
-        F.transform(F.slice(F.regexp_extract_all(low, F.lit(p), 0), 1, 5),
-                    lambda m, i, k=k: F.struct(F.lit(k).alias("k"), i.alias("i"), m.alias("m")))
-        for k, p in enumerate(patterns)]))
+
+    def first_five(k: int, pattern: str) -> Column:
+        found = F.slice(F.regexp_extract_all(low, F.lit(_unicode(pattern)), 0), 1, 5)
+        return F.transform(found, lambda m, i: F.struct(F.lit(k).alias("k"), i.alias("i"), m.alias("m")))
+
+    hits = F.flatten(F.array(*[first_five(k, p) for k, p in enumerate(patterns)]))
     scored = df.select(by, order, sum((_count_of(low, p) for p in patterns), F.lit(0)).alias("_c"),
                        F.size(words(text)).alias("_w"), hits.alias("_h"))
     totals = scored.groupBy(by).agg(F.sum("_c").alias("evasive_phrase_count"), F.sum("_w").alias("_w"))
@@ -107,12 +114,12 @@ _ESCAPE = re.compile(r"\\.")
 def _matches(text: Column, pattern: str, ignore_case: bool) -> Column | None:
     """Whether a pattern occurs in a text; None when it never can."""
     if ignore_case:
-        return F.rlike(text, F.lit("(?i)" + pattern))
+        return F.rlike(text, F.lit("(?iU)" + pattern))
     if any(ch.isupper() for ch in _ESCAPE.sub("", pattern)):
         return None  # the text is lower-cased
     if not _META.search(pattern):
         return F.contains(text, F.lit(pattern))
-    return F.rlike(text, F.lit(pattern))
+    return F.rlike(text, F.lit(_unicode(pattern)))
 
 
 def skill_columns(text: str = "description", patterns: dict[str, Sequence[str]] = SKILL_PATTERNS,
