@@ -155,7 +155,7 @@ def a9(spark, sf):
     h as ({HIRING}), px as (select symbol, (last/(sum(close)/20)-1)*100 mom from (select symbol, close, first(close) over (partition by symbol order by date desc) last,
       row_number() over (partition by symbol order by date desc) rn, count(*) over (partition by symbol) k from bars) where rn<=20 and k>20 group by symbol, last),
     p as (select y.symbol, -(least(severity_score,30)/10*0.7+pct_changed/10*0.3) fr, case when y.symbol < 'S20' then least(greatest(ai_hiring_momentum*5,-3),3) end ah,
-      least(greatest(contract_surprise_ratio*2,-3),3) ca, least(greatest(-round(s,2)/5,-3),3) es, least(greatest(mom,-3),3) pm
+      least(greatest(contract_surprise_ratio*2,-3),3) ca, case when s is not null then least(greatest(-round(s,2)/5,-3),3) end es, case when mom is not null then least(greatest(mom,-3),3) end pm
       from (select distinct symbol from bars) y left join f using (symbol) left join cs using (symbol) left join ev using (symbol) left join px using (symbol), h),
     z as (select *, (coalesce(fr*0.25,0)+coalesce(ah*0.25,0)+coalesce(ca*0.25,0)+coalesce(es*0.15,0)+coalesce(pm*0.10,0))/
       ((fr is not null)::int*0.25::double+(ah is not null)::int*0.25::double+(ca is not null)::int*0.25::double+(es is not null)::int*0.15::double+(pm is not null)::int*0.10::double) sc from p)

@@ -155,20 +155,57 @@ def r16(spark, sf):
     return oos_splits(panel(spark, sf), ["contract_intensity", "price_momentum_12d"], [4])
 
 
-@query("r17_velocity_study")
+# All studies of a driver side by side, as the library runs them.
+TABLE_SQL = """with l as (select symbol, date, f feature, h horizon, x, y from ({long}) where x is not null and y is not null),
+    s as (select l.* from l join (select feature, horizon, date, row_number() over (partition by feature, horizon order by date)-1 i from
+      (select distinct feature, horizon, date from l)) using (feature, horizon, date) where i%horizon=0),
+    r as (select *, least(greatest((rk-1)*5//n+1,1),5) q from (select *, row_number() over (partition by feature, horizon, date order by x, symbol) rk,
+      count(*) over (partition by feature, horizon, date) n, rank() over (partition by feature, horizon, date order by x)+(count(*) over (partition by feature, horizon, date, x)-1)/2 rx,
+      rank() over (partition by feature, horizon, date order by y)+(count(*) over (partition by feature, horizon, date, y)-1)/2 ry from s) where n>=5),
+    ic as (select feature, horizon, date, covar_pop(x,y)/nullif(stddev_pop(x)*stddev_pop(y),0) p,
+      covar_pop(rx,ry)/nullif(stddev_pop(rx)*stddev_pop(ry),0) sp from r group by all having p is not null),
+    sd as (select feature, horizon, date, avg(y) filter (q=5)-avg(y) filter (q=1) spread from r group by all having spread is not null),
+    dd as (select *, sum(spread) over w c from sd window w as (partition by feature, horizon order by date rows unbounded preceding)),
+    de as (select *, c-max(c) over (partition by feature, horizon order by date rows unbounded preceding) d from dd)
+    select feature, horizon, avg(p) pearson_ic_mean, stddev_samp(p) pearson_ic_std, avg(p)/stddev_samp(p) pearson_ic_ir, avg(sp) spearman_ic_mean,
+    count(*) filter (p>0)/count(*)*100 ic_positive_pct, avg(p)/stddev_samp(p)*sqrt(count(*)) ic_t_stat, count(*) n_ic_periods, any_value(ms) mean_spread,
+    any_value(ss) std_spread, any_value(ms/ss*sqrt(252.0/horizon)) sharpe, any_value(md) max_drawdown_pct from ic join
+    (select feature, horizon, avg(spread) ms, stddev_samp(spread) ss, min(d) md from de group by all) using (feature, horizon) group by all"""
+TABLE_FLOATS = {**{n: 5 for n in IC_FLOATS}, "mean_spread": 5, "std_spread": 5, "sharpe": 5, "max_drawdown_pct": 4}
+
+
+def long_sql(source, features):
+    return " union all ".join(f"select symbol, date, '{name}' f, {h} h, {column} x, forward_{h}d_return y from {source}"
+                              for h in (4, 12) for name, column in features.items())
+
+
+def velocity(spark, sf):
+    return D.velocity_study(transactions(spark, sf), shares(spark, sf), bars(spark, sf), (4, 12), as_of=AS_OF,
+                            momentum_rows=12)
+
+
+@query("r17_velocity_study", TABLE_SQL.format(long=long_sql("panel", {
+    "contract_award_velocity_z": "contract_award_velocity_z", "price_momentum": "price_momentum_12d",
+    "contract_intensity": "contract_intensity"})), ("panel",), TABLE_FLOATS)
 def r17_velocity(spark, sf):
-    study = D.velocity_study(transactions(spark, sf), shares(spark, sf), bars(spark, sf), (4, 12), as_of=AS_OF,
-                             momentum_rows=12)
-    return study["studies"]
+    return velocity(spark, sf)["studies"]
 
 
 @query("r17_velocity_regressions")
 def r17_regressions(spark, sf):
-    study = D.velocity_study(transactions(spark, sf), shares(spark, sf), bars(spark, sf), (4, 12), as_of=AS_OF,
-                             momentum_rows=12)
-    return study["regressions"]
+    return velocity(spark, sf)["regressions"]
 
 
-@query("r17_fundamental_study")
+base.SQL_VIEWS["growth_panel"] = """select b.symbol, b.date, g.x rev_yoy_growth, a.x rev_yoy_accel,
+    (lead(close,4) over w-close)/close*100 forward_4d_return, (lead(close,12) over w-close)/close*100 forward_12d_return,
+    (close/lag(close,12) over w-1)*100 price_momentum
+    from bars b asof left join (select symbol, ts_available ts, feature_value x from growth_rows where feature_name='rev_yoy_growth') g
+    on b.symbol=g.symbol and b.date>=g.ts asof left join (select symbol, ts_available ts, feature_value x from growth_rows
+    where feature_name='rev_yoy_accel') a on b.symbol=a.symbol and b.date>=a.ts window w as (partition by b.symbol order by b.date)"""
+base.DEPENDS["growth_panel"] = ("bars", "growth_rows")
+
+
+@query("r17_fundamental_study", TABLE_SQL.format(long=long_sql("growth_panel", {
+    n: n for n in ("rev_yoy_accel", "rev_yoy_growth", "price_momentum")})), ("growth_panel",), TABLE_FLOATS)
 def r17_fundamental(spark, sf):
     return D.fundamental_study(revenue(spark, sf), bars(spark, sf), (4, 12), 12)["studies"]

@@ -18,7 +18,9 @@ def ratio(a, b) -> Column:
 
 
 def clip(x, lo: float, hi: float) -> Column:
-    return F.greatest(F.least(col(x), F.lit(hi)), F.lit(lo))
+    # greatest() and least() skip NULLs, which must stay NULL here.
+    v = col(x)
+    return F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(hi)), F.lit(lo)))
 
 
 def micros(ts) -> Column:

@@ -55,20 +55,21 @@ def _correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def ic_by_period(df: DataFrame, feature: str, forward: str, period: str = "date") -> DataFrame:
+def ic_by_period(df: DataFrame, feature: str, forward: str, period: str = "date",
+                 by: Sequence[str] = ()) -> DataFrame:
     """Pearson and Spearman correlation per period, undefined periods removed."""
-    rows = df.select(period, feature, forward).filter(F.col(feature).isNotNull() & F.col(forward).isNotNull())
-    ranked = average_ranks(rows, [period], {"_rx": feature, "_ry": forward})
-    ic = ranked.groupBy(period).agg(
+    rows = df.select(*by, period, feature, forward).filter(F.col(feature).isNotNull() & F.col(forward).isNotNull())
+    ranked = average_ranks(rows, [*by, period], {"_rx": feature, "_ry": forward})
+    ic = ranked.groupBy(*by, period).agg(
         _correlation(feature, forward).alias("pearson_ic"),
         _correlation("_rx", "_ry").alias("spearman_ic"),
     )
     return ic.filter(F.col("pearson_ic").isNotNull())
 
 
-def ic_summary(ic: DataFrame) -> DataFrame:
-    """One row: mean, deviation, information ratio and t-statistic of the IC."""
-    raw = ic.agg(
+def ic_summary(ic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean, deviation, information ratio and t-statistic of the IC; one row per ``by``."""
+    raw = ic.groupBy(*by).agg(
         F.avg("pearson_ic").alias("m"), F.stddev_samp("pearson_ic").alias("s"),
         F.avg("spearman_ic").alias("r"), F.count(F.when(F.col("pearson_ic") > 0, 1)).alias("up"),
         F.count("pearson_ic").alias("n"),
@@ -76,7 +77,7 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     ir = F.coalesce(F.when(F.col("s") > 0, F.col("m") / F.col("s")), zero)
     return raw.select(
-        F.coalesce("m", zero).alias("pearson_ic_mean"),
+        *by, F.coalesce("m", zero).alias("pearson_ic_mean"),
         F.coalesce("s", zero).alias("pearson_ic_std"),
         ir.alias("pearson_ic_ir"),
         F.coalesce("r", zero).alias("spearman_ic_mean"),

@@ -175,6 +175,15 @@ def distinct_periods(df: DataFrame, period: str = "date") -> DataFrame:
     return positions(uniq, ["_all"], [period], cell_for(uniq, period, "day"), out="period_index").drop("_all")
 
 
+def sample_within(df: DataFrame, k: int | Column, by: Sequence[str], period: str = "date") -> DataFrame:
+    """Rows of every k-th distinct period of each group; k may be one of its columns."""
+    if isinstance(k, int) and k <= 1:
+        return df
+    uniq = df.select(*by, period).distinct()
+    kept = positions(uniq, list(by), [period], cell_for(uniq, period, "day"), "_i").filter(F.col("_i") % k == 0)
+    return df.join(kept.drop("_i"), [*by, period], "left_semi")
+
+
 def sample_periods(df: DataFrame, k: int, period: str = "date") -> DataFrame:
     """Rows of every k-th distinct period, counted from the first."""
     if k <= 1:
@@ -192,12 +201,13 @@ def min_names_filter(df: DataFrame, n: int, period: str = "date") -> DataFrame:
 
 
 def quantile_bucket(df: DataFrame, feature: str, q: int = 5, period: str = "date", tie: str = "symbol",
-                    out: str = "quantile", min_names: int = 0) -> DataFrame:
+                    out: str = "quantile", min_names: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """Bucket 1..q by ascending rank within the period's own row count.
 
-    Periods with fewer than ``min_names`` rows are left out.
+    Periods with fewer than ``min_names`` rows are left out. ``by`` ranks several
+    studies held in one table side by side.
     """
-    ranked = ordinal_rank(df, [period], feature, [tie]).filter(F.col("_n") >= min_names)
+    ranked = ordinal_rank(df, [*by, period], feature, [tie]).filter(F.col("_n") >= min_names)
     bucket = F.floor((F.col("_rank") - 1) * q / F.col("_n")) + 1
     return ranked.select(*df.columns, clip(bucket, 1, q).cast("int").alias(out))
 

@@ -7,13 +7,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators.aggregates import ic_by_period, ic_summary
+from tidemark.operators.joins import asof_join
+from tidemark.operators.sets import union_relaxed
+from tidemark.operators.windows import (cumulative_drawdown, forward_returns, momentum, quantile_bucket,
+                                        sample_within)
 from tidemark.plans.features import award_velocity, fundamental_momentum, size_features, trailing_obligations
 from tidemark.plans.regression import fama_macbeth
-from tidemark.plans.study import assemble_panel, signal_study
+from tidemark.plans.study import assemble_panel, spread_by_period, spread_summary
 from tidemark.session import reused
-from tidemark.operators.joins import asof_join
-from tidemark.operators.sets import union_relaxed
-from tidemark.operators.windows import forward_returns, momentum
 
 CONTRACT_MODELS = {
     "velocity_vs_momentum": ("contract_award_velocity_z", "price_momentum"),
@@ -22,25 +24,36 @@ CONTRACT_MODELS = {
 }
 
 
-def study_table(panel: DataFrame, features: Sequence[str], horizons: Sequence[int], q: int = 5) -> DataFrame:
-    """IC and spread headline of every feature and horizon, one row each."""
+def study_table(panel: DataFrame, features: Sequence[str], horizons: Sequence[int], q: int = 5,
+                period: str = "date") -> DataFrame:
+    """IC and spread headline of every feature and horizon, one row each.
+
+    All studies run side by side as one job: the panel is laid out long, one row
+    per usable (feature, horizon), and every step groups by those two as well.
+    """
+    key = ["feature", "horizon"]
+    pairs = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.col(f).cast("double").alias("x"),
+                 F.col(f"forward_{h}d_return").alias("y")) for h in horizons for f in features])
+    long = panel.select("symbol", period, F.inline(pairs)).dropna(subset=["x", "y"])
+    sampled = reused(sample_within(long, F.col("horizon"), key, period))
+    rows = reused(quantile_bucket(sampled, "x", q, period, min_names=q, by=key))
+    means = rows.groupBy(*key, period, "quantile").agg(F.avg("y").alias("mean_return"))
+    long_short = cumulative_drawdown(spread_by_period(means, q, period, key), "spread", period, key)
+    spread = spread_summary(long_short, 252.0 / F.col("horizon"), key)
+    return ic_summary(ic_by_period(rows, "x", "y", period, key), key).join(spread, key)
+
+
+def regression_table(panel: DataFrame, models: dict[str, Sequence[str]], horizons: Sequence[int],
+                     period: str = "date") -> DataFrame:
+    """Fama-MacBeth of every model; the horizons of a model share one job."""
+    targets = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"forward_{h}d_return").alias("y"))
+                        for h in horizons])
     parts = []
-    for h in horizons:
-        forward = f"forward_{h}d_return"
-        for f in features:
-            study = signal_study(panel, f, forward, q, check=False)
-            ic = study["ic_summary"].withColumn("_all", F.lit(0))
-            spread = study["spread_summary"].withColumn("_all", F.lit(0))
-            parts.append(ic.join(spread, "_all").drop("_all").select(
-                F.lit(f).alias("feature"), F.lit(h).alias("horizon"), "*"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def regression_table(panel: DataFrame, models: dict[str, Sequence[str]], horizons: Sequence[int]) -> DataFrame:
-    parts = [
-        fama_macbeth(panel, list(feats), f"forward_{h}d_return").select(
-            F.lit(name).alias("model"), F.lit(h).alias("horizon"), "*")
-        for h in horizons for name, feats in models.items()]
+    for name, feats in models.items():
+        long = panel.select(period, *feats, F.inline(targets))
+        result = fama_macbeth(long, list(feats), "y", period, F.col("horizon"), None, ["horizon"])
+        parts.append(result.select(F.lit(name).alias("model"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.aggregates import t_stat
-from tidemark.operators.ordered import cell_for, positions
-from tidemark.operators.windows import distinct_periods
+from tidemark.operators.ordered import positions
+from tidemark.operators.windows import distinct_periods, sample_within
 from tidemark.plans.study import horizon_of
 from tidemark.session import reused
 
@@ -40,17 +41,8 @@ def _slopes(k: int, r: dict[tuple[int, int], Column], c: list[Column]) -> Column
     return _solve(F.array(*full), F.array(*c))
 
 
-def sample_within(df: DataFrame, k: int, by: Sequence[str], period: str) -> DataFrame:
-    """Every k-th distinct period of each group."""
-    if k <= 1:
-        return df
-    uniq = df.select(*by, period).distinct()
-    kept = positions(uniq, list(by), [period], cell_for(uniq, period, "day"), "_i").filter(F.col("_i") % k == 0)
-    return df.join(kept.drop("_i"), [*by, period], "left_semi")
-
-
 def period_slopes(data: DataFrame, features: Sequence[str], forward: str, period: str = "date",
-                  k: int | None = None, min_obs: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+                  k: int | Column | None = None, min_obs: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Slopes ``b`` on standardised features and R-squared of each usable period.
 
     With standardised regressors the intercept is orthogonal, so the slopes solve
@@ -58,7 +50,7 @@ def period_slopes(data: DataFrame, features: Sequence[str], forward: str, period
     cross-sections of any size reduce to k(k+3)/2 numbers on the map side.
     """
     n_feat = len(features)
-    step = max(1, k if k is not None else horizon_of(forward))
+    step = k if k is not None else horizon_of(forward)
     need = min_obs or n_feat + 2
     keys = list(by) or ["_all"]
     rows = data if by else data.withColumn("_all", F.lit(0))
@@ -82,7 +74,7 @@ def period_slopes(data: DataFrame, features: Sequence[str], forward: str, period
 
 
 def fama_macbeth(data: DataFrame, features: Sequence[str], forward: str = "forward_20d_return",
-                 period: str = "date", k: int | None = None, min_obs: int | None = None,
+                 period: str = "date", k: int | Column | None = None, min_obs: int | None = None,
                  by: Sequence[str] = ()) -> DataFrame:
     """One row per feature (and group): mean slope, deviation, t, periods, mean R-squared."""
     slopes = period_slopes(data, features, forward, period, k, min_obs, by)
@@ -123,7 +115,4 @@ def oos_splits(panel: DataFrame, features: Sequence[str], horizons: Sequence[int
     split = reused(rows.join(middle, period).join(sides, "symbol").withColumn("split", F.explode(labels)))
     parts = [fama_macbeth(split, features, f, period, k, None, ["split"]).withColumn("forward_col", F.lit(f))
              for f in forwards]
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    return reduce(DataFrame.unionByName, parts)

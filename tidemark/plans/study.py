@@ -44,19 +44,20 @@ def study_rows(panel: DataFrame, feature: str, forward: str, q: int = 5, k: int
     return quantile_bucket(reused(sampled), feature, q, period, min_names=q)
 
 
-def spread_by_period(returns: DataFrame, q: int = 5, period: str = "date") -> DataFrame:
+def spread_by_period(returns: DataFrame, q: int = 5, period: str = "date", by: Sequence[str] = ()) -> DataFrame:
     """Top minus bottom quantile mean, for periods that have both."""
     pick = lambda n: F.max(F.when(F.col("quantile") == n, F.col("mean_return")))
-    sides = returns.groupBy(period).agg(pick(q).alias("top_mean"), pick(1).alias("bottom_mean"))
+    sides = returns.groupBy(*by, period).agg(pick(q).alias("top_mean"), pick(1).alias("bottom_mean"))
     return sides.withColumn("spread", F.col("top_mean") - F.col("bottom_mean")).filter("spread is not null")
 
 
-def spread_summary(long_short: DataFrame, per_year: float) -> DataFrame:
-    raw = long_short.agg(F.avg("spread").alias("m"), F.stddev_samp("spread").alias("s"),
+def spread_summary(long_short: DataFrame, per_year, by: Sequence[str] = ()) -> DataFrame:
+    """Mean, deviation, annualised Sharpe and deepest fall; ``per_year`` may be a column of ``by``."""
+    raw = long_short.groupBy(*by).agg(F.avg("spread").alias("m"), F.stddev_samp("spread").alias("s"),
                          F.min("drawdown").alias("d"))
     zero = F.lit(0.0)
-    sharpe = F.when(F.col("s") > 0, F.col("m") / F.col("s") * (per_year ** 0.5))
-    return raw.select(F.coalesce("m", zero).alias("mean_spread"), F.coalesce("s", zero).alias("std_spread"),
+    sharpe = F.when(F.col("s") > 0, F.col("m") / F.col("s") * F.sqrt(F.lit(per_year)))
+    return raw.select(*by, F.coalesce("m", zero).alias("mean_spread"), F.coalesce("s", zero).alias("std_spread"),
                       F.coalesce(sharpe, zero).alias("sharpe"), F.coalesce("d", zero).alias("max_drawdown_pct"))
 
 
