@@ -134,9 +134,47 @@ def r7_two(spark, sf):
     return fama_macbeth(panel(spark, sf), ["contract_intensity", "price_momentum_12d"], FWD)
 
 
-@query("r7_fama_macbeth_three")
+# Three regressors: the inverse of the 3x3 correlation matrix written out.
+FM3 = """select {k} date, n, c1, c2, c3, vy, (c1*(1-r23*r23)+c2*(r13*r23-r12)+c3*(r12*r23-r13))/det b1,
+    (c1*(r13*r23-r12)+c2*(1-r13*r13)+c3*(r12*r13-r23))/det b2, (c1*(r12*r23-r13)+c2*(r12*r13-r23)+c3*(1-r12*r12))/det b3 from (
+    select *, 1+2*r12*r13*r23-r12*r12-r13*r13-r23*r23 det from (select {k} date, count(*) n, var_pop(y) vy, stddev_pop(x1) d1,
+    stddev_pop(x2) d2, stddev_pop(x3) d3, covar_pop(x1,x2)/nullif(stddev_pop(x1)*stddev_pop(x2),0) r12,
+    covar_pop(x1,x3)/nullif(stddev_pop(x1)*stddev_pop(x3),0) r13, covar_pop(x2,x3)/nullif(stddev_pop(x2)*stddev_pop(x3),0) r23,
+    covar_pop(x1,y)/nullif(stddev_pop(x1),0) c1, covar_pop(x2,y)/nullif(stddev_pop(x2),0) c2, covar_pop(x3,y)/nullif(stddev_pop(x3),0) c3
+    from s group by {g}) where n>=5 and d1>0 and d2>0 and d3>0)"""
+FM3_OUT = "select {k} feature, avg(b) mean, stddev_samp(b) std, avg(b)/(stddev_samp(b)/sqrt(count(*))) t_stat, count(*) n_periods, " \
+    "avg(r2) avg_r2 from (" + " union all ".join(
+        f"select {{k}} '{{f{i}}}' feature, b{i} b, (b1*c1+b2*c2+b3*c3)/vy r2 from f" for i in (1, 2, 3)) + ") group by all"
+SAMPLED = """s0 as (select {h} horizon, date, {xs}, forward_{h}d_return y from panel where forward_{h}d_return is not null and {ok}),
+    s as (select s0.* from s0 join (select date, row_number() over (order by date)-1 i from (select distinct date from s0)) using (date)
+    where i%{h}=0)"""
+
+
+def _sampled(h, columns):
+    xs = ", ".join(f"{c} x{i}" for i, c in enumerate(columns, 1))
+    return SAMPLED.format(h=h, xs=xs, ok=" and ".join(f"{c} is not null" for c in columns))
+
+
+THREE = ["contract_award_velocity_z", "contract_intensity", "price_momentum_12d"]
+
+
+@query("r7_fama_macbeth_three", f"""with {_sampled(4, THREE)}, f as ({FM3.format(k='', g='date')})
+    {FM3_OUT.format(k='', f1=THREE[0], f2=THREE[1], f3=THREE[2])}""", ("panel",), FM_FLOATS)
 def r7_three(spark, sf):
-    return fama_macbeth(panel(spark, sf), ["contract_award_velocity_z", "contract_intensity", "price_momentum_12d"], FWD)
+    return fama_macbeth(panel(spark, sf), THREE, FWD)
+
+
+def _model_sql(name, columns, h):
+    names = [c.replace("_12d", "") for c in columns]
+    outer = f"'{name}' model, {h} horizon, "
+    named = {f"f{i}": n for i, n in enumerate(names, 1)}
+    body = (FM2, FM2_OUT) if len(columns) == 2 else (FM3, FM3_OUT)
+    return (f"select * from (with {_sampled(h, columns)}, f as ({body[0].format(k='', g='date')}) "
+            f"select {outer} t.* from ({body[1].format(k='', **named)}) t)")
+
+
+REGRESSIONS = " union all ".join(_model_sql(n, c, h) for h in (4, 12) for n, c in (
+    ("velocity_vs_momentum", [THREE[0], THREE[2]]), ("intensity_vs_momentum", [THREE[1], THREE[2]]), ("all_three", THREE)))
 
 
 @query("r16_oos_splits", f"""with s1 as (select symbol, date, contract_intensity x1, price_momentum_12d x2, {FWD} y from panel
@@ -191,7 +229,7 @@ def r17_velocity(spark, sf):
     return velocity(spark, sf)["studies"]
 
 
-@query("r17_velocity_regressions")
+@query("r17_velocity_regressions", REGRESSIONS, ("panel",), FM_FLOATS)
 def r17_regressions(spark, sf):
     return velocity(spark, sf)["regressions"]
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.columns import ratio
 from tidemark.operators.aggregates import clustered_t, cut_points, t_stat
@@ -25,7 +25,7 @@ Windows = Sequence[tuple[int, int]]
 
 
 def default_windows(pre: int, post: int) -> list[tuple[int, int]]:
-    return [(-pre, -1), (0, 0), (1, 5), (1, 20), (1, post)]
+    return list(dict.fromkeys([(-pre, -1), (0, 0), (1, 5), (1, 20), (1, post)]))
 
 
 def bar_abnormal_returns(bars: DataFrame, by: str = "symbol", date: str = "date") -> DataFrame:
@@ -71,6 +71,7 @@ def car_name(a: int, b: int) -> str:
 def event_cars(bars: DataFrame, events: DataFrame, windows: Windows, by: str = "symbol",
                event_date: str = "event_date", date: str = "date", max_gap_days: int | None = None) -> DataFrame:
     """Events that fall into the price history with one CAR column per window."""
+    windows = list(dict.fromkeys(windows))
     cars = _window_cars(bars, windows, by, date)
     names = [car_name(a, b) for a, b in windows]
     days = event_days(cars, events, by, event_date, date, max_gap_days, names)
@@ -103,6 +104,7 @@ def caar(bars: DataFrame, events: DataFrame, pre: int = 5, post: int = 60, by: s
 
 def car_stats(cars: DataFrame, windows: Windows, group: Sequence[str] = ()) -> DataFrame:
     """Count, mean, t-statistic and hit rate of each window's complete CARs."""
+    windows = list(dict.fromkeys(windows))
     def part(a: int, b: int) -> list[Column]:
         c, tag = F.col(car_name(a, b)), car_name(a, b)
         return [F.count(c).alias(f"n_{tag}"), F.avg(c).alias(f"m_{tag}"), F.stddev_samp(c).alias(f"s_{tag}"),
@@ -166,7 +168,7 @@ def large_events(awards: DataFrame, min_amount: float, cluster_days: int = 7, by
 
 
 def _thin(gap: int):
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def thin(days: pd.Series) -> pd.Series:
         def keep(values):
             out, last = [], None

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.aggregates import t_stat
 from tidemark.operators.ordered import positions
@@ -16,7 +16,7 @@ from tidemark.plans.study import horizon_of
 from tidemark.session import reused
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(r: pd.Series, c: pd.Series) -> pd.Series:
     """Minimum-norm slopes of the small correlation systems of a batch of periods."""
     k = len(c.iloc[0]) if len(c) else 0
