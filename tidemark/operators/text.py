@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.columns import set_minus, set_union, token_set, words
+from tidemark.functions.columns import set_minus, token_set, words
 from tidemark.functions.vocabularies import EVASIVE_PATTERNS, RISK_SEVERITY, SKILL_PATTERNS
 from tidemark.operators.ordered import with_neighbours
 
@@ -22,23 +22,26 @@ def _token_weight(lexicon: dict[str, int]):
     return weight
 
 
-def diff_columns(current: str, prior: str, lexicon: dict[str, int] = RISK_SEVERITY) -> dict[str, Column]:
-    """Score columns for two token-set columns; zeros without prior tokens."""
-    added, removed = set_minus(current, prior), set_minus(prior, current)
-    total = F.greatest(F.size(set_union(current, prior)), F.lit(1))
-    weights = F.filter(F.transform(added, _token_weight(lexicon)), lambda w: w.isNotNull())
+def score_diff(pairs: DataFrame, current: str, prior: str, lexicon: dict[str, int] = RISK_SEVERITY) -> DataFrame:
+    """Score columns for two token-set columns; zeros without prior tokens.
+
+    The set differences are computed once, in their own projection.
+    """
+    staged = pairs.withColumn("_added", set_minus(current, prior)).withColumn("_removed", set_minus(prior, current))
+    staged = staged.withColumn(
+        "_weights", F.filter(F.transform("_added", _token_weight(lexicon)), lambda w: w.isNotNull()))
+    plus, minus = F.size("_added"), F.size("_removed")
+    total = F.greatest(F.size(current) + minus, F.lit(1))  # size of the union
     has_prior = F.coalesce(F.size(prior) > 0, F.lit(False))
 
     def pct(count: Column) -> Column:
         return F.when(has_prior, F.round(count / total * 100, 2)).otherwise(0.0)
 
-    return {
-        "pct_changed": pct(F.size(added) + F.size(removed)),
-        "pct_added": pct(F.size(added)),
-        "pct_removed": pct(F.size(removed)),
-        "severity_score": F.when(has_prior, F.aggregate(weights, F.lit(0), lambda a, w: a + w)).otherwise(0),
-        "new_risk_count": F.when(has_prior, F.size(weights)).otherwise(0),
-    }
+    return staged.select(
+        *[c for c in pairs.columns if c not in (current, prior)],
+        pct(plus + minus).alias("pct_changed"), pct(plus).alias("pct_added"), pct(minus).alias("pct_removed"),
+        F.when(has_prior, F.aggregate("_weights", F.lit(0), lambda a, w: a + w)).otherwise(0).alias("severity_score"),
+        F.when(has_prior, F.size("_weights")).otherwise(0).alias("new_risk_count"))
 
 
 def filing_diff(filings: DataFrame, lexicon: dict[str, int] = RISK_SEVERITY, by: str = "symbol",
@@ -53,8 +56,7 @@ def filing_diff(filings: DataFrame, lexicon: dict[str, int] = RISK_SEVERITY, by:
 
     tokens = filings.select(by, *order, token_set(text).alias("_now"))
     paired = with_neighbours(tokens, [by], list(order), 1, 0, add, F.col(order[0]))
-    scores = diff_columns("_now", "_before", lexicon)
-    return paired.select(by, *order, *[c.alias(n) for n, c in scores.items()])
+    return score_diff(paired, "_now", "_before", lexicon)
 
 
 def _unicode(pattern: str) -> str:
@@ -62,20 +64,16 @@ def _unicode(pattern: str) -> str:
     return "(?U)" + pattern if "\\" in pattern else pattern
 
 
-def _count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(_unicode(pattern)))
-
-
 def evasiveness(df: DataFrame, text: str = "text", patterns: Sequence[str] = EVASIVE_PATTERNS) -> DataFrame:
     """Evasive phrases of each text: count, rate per 10 000 words (at most 100), first five."""
-    low = F.lower(F.col(text))
-    count = sum((_count_of(low, p) for p in patterns), F.lit(0))
-    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(_unicode(p)), 0) for p in patterns]))
-    rate = F.least(F.col("evasive_phrase_count") / F.greatest(F.size(words(text)), F.lit(1)) * 10000, F.lit(100.0))
+    staged = df.withColumn("_low", F.lower(text)).withColumn(
+        "_found", F.flatten(F.array(*[F.regexp_extract_all("_low", F.lit(_unicode(p)), 0) for p in patterns])))
+    rate = F.least(F.col("evasive_phrase_count") / F.greatest(F.size(words("_low")), F.lit(1)) * 10000, F.lit(100.0))
     return (
-        df.withColumn("evasive_phrase_count", count)
+        staged.withColumn("evasive_phrase_count", F.size("_found"))
         .withColumn("evasiveness_score", F.round(rate, 2))
-        .withColumn("sample_matches", F.slice(found, 1, 5))
+        .withColumn("sample_matches", F.slice("_found", 1, 5))
+        .drop("_low", "_found")
     )
 
 
@@ -86,15 +84,15 @@ def evasiveness_by(df: DataFrame, by: str, order: str, text: str = "text",
     Turns are scored where they lie and only counts are summed, so a transcript
     of any length is never assembled. A phrase does not span two speakers.
     """
-    low = F.lower(F.col(text))
-
-    def first_five(k: int, pattern: str) -> Column:
-        found = F.slice(F.regexp_extract_all(low, F.lit(_unicode(pattern)), 0), 1, 5)
-        return F.transform(found, lambda m, i: F.struct(F.lit(k).alias("k"), i.alias("i"), m.alias("m")))
-
-    hits = F.flatten(F.array(*[first_five(k, p) for k, p in enumerate(patterns)]))
-    scored = df.select(by, order, sum((_count_of(low, p) for p in patterns), F.lit(0)).alias("_c"),
-                       F.size(words(text)).alias("_w"), hits.alias("_h"))
+    def first_five(k: int) -> Column:
+        return F.transform(F.slice(F.col("_all")[k], 1, 5),
+                           lambda m, i: F.struct(F.lit(k).alias("k"), i.alias("i"), m.alias("m")))
+
+    staged = df.select(by, order, F.lower(text).alias("_low")).withColumn(
+        "_all", F.array(*[F.regexp_extract_all("_low", F.lit(_unicode(p)), 0) for p in patterns]))
+    hits = F.flatten(F.array(*[first_five(k) for k in range(len(patterns))]))
+    scored = staged.select(by, order, F.size(F.flatten("_all")).alias("_c"), F.size(words("_low")).alias("_w"),
+                           hits.alias("_h"))
     totals = scored.groupBy(by).agg(F.sum("_c").alias("evasive_phrase_count"), F.sum("_w").alias("_w"))
     first = Window.partitionBy(by).orderBy("k", order, "i")
     samples = (
@@ -111,37 +109,43 @@ _META = re.compile(r"[\\^$.|?*+()\[\]{}]")
 _ESCAPE = re.compile(r"\\.")
 
 
+def _core(pattern: str) -> str:
+    """The pattern without word borders and without a trailing run of word characters."""
+    return pattern.removeprefix(r"\b").removesuffix(r"\b").removesuffix(r"\w*")
+
+
 def _matches(text: Column, pattern: str, ignore_case: bool) -> Column | None:
-    """Whether a pattern occurs in a text; None when it never can."""
+    """Whether a pattern occurs in a text; None when it never can.
+
+    A byte search for the literal inside the pattern decides most texts; the
+    regular expression runs only where that literal occurs.
+    """
     if ignore_case:
         return F.rlike(text, F.lit("(?iU)" + pattern))
     if any(ch.isupper() for ch in _ESCAPE.sub("", pattern)):
         return None  # the text is lower-cased
-    if not _META.search(pattern):
-        return F.contains(text, F.lit(pattern))
-    return F.rlike(text, F.lit(_unicode(pattern)))
+    core = _core(pattern)
+    if _META.search(core):
+        return F.rlike(text, F.lit(_unicode(pattern)))
+    found = F.contains(text, F.lit(core))
+    return found & F.rlike(text, F.lit(_unicode(pattern))) if r"\b" in pattern else found
 
 
-def skill_columns(text: str = "description", patterns: dict[str, Sequence[str]] = SKILL_PATTERNS,
-                  ignore_case: bool = False) -> dict[str, Column]:
-    """Per category, the number of its patterns that occur in the text.
+def skill_tags(jobs: DataFrame, patterns: dict[str, Sequence[str]] = SKILL_PATTERNS, ignore_case: bool = False,
+               text: str = "description") -> DataFrame:
+    """Per text and category, the number of its patterns that occur in the text.
 
     By default the text is lower-cased and patterns are taken literally, so those
     with capitals never match; ``ignore_case`` lets them.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    body = body if ignore_case else F.lower(body)
-    counts = {}
-    for category, group in patterns.items():
-        tests = [m for m in (_matches(body, p, ignore_case) for p in group) if m is not None]
-        counts[category] = sum((t.cast("int") for t in tests), F.lit(0))
-    return counts
-
-
-def skill_tags(jobs: DataFrame, patterns: dict[str, Sequence[str]] = SKILL_PATTERNS, ignore_case: bool = False,
-               text: str = "description") -> DataFrame:
-    """Long form: one row per text and category with its count."""
-    counts = skill_columns(text, patterns, ignore_case)
-    pairs = F.array(*[F.struct(F.lit(c).alias("skill_category"), e.alias("count")) for c, e in counts.items()])
     rest = [c for c in jobs.columns if c != text]
-    return jobs.select(*rest, F.inline(pairs))
+    staged = jobs.select(*rest, (body if ignore_case else F.lower(body)).alias("_body"))
+    counts = []
+    for group in patterns.values():
+        tests = [m for m in (_matches(F.col("_body"), p, ignore_case) for p in group) if m is not None]
+        counts.append(sum((t.cast("int") for t in tests), F.lit(0)))
+    counted = staged.select(*rest, *[c.alias(f"_c{i}") for i, c in enumerate(counts)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("skill_category"), F.col(f"_c{i}").alias("count"))
+                      for i, c in enumerate(patterns)])
+    return counted.select(*rest, F.inline(pairs))
