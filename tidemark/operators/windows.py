@@ -142,7 +142,8 @@ def trailing_zscore(df: DataFrame, value_col: str, by: str = "symbol", time_col:
     completes the order when times repeat.
     """
     out = out_col or f"{value_col}_z"
-    cell = cell_for(df, time_col)
+    # With a tie-break rows may repeat per day, so a day is no longer a bound.
+    cell = F.col(time_col) if tie else cell_for(df, time_col)
     if cell is None:
         w = Window.partitionBy(by).orderBy(time_col, *tie).rowsBetween(Window.unboundedPreceding, 0)
         stats = df.select("*", F.count(value_col).over(w).alias("_k"), F.avg(value_col).over(w).alias("_mean"),

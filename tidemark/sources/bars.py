@@ -63,9 +63,9 @@ def to_simulation_format(df: DataFrame, ts: str = "date") -> DataFrame:
 def write_bars(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """One folder per symbol, as zstd Parquet or CSV with header."""
     out = to_simulation_format(df) if "ts" not in df.columns else df
-    # Cluster by symbol and year so that no task opens a file for every symbol
-    # and a hot symbol is written by several tasks.
-    spread = out.repartition("symbol", F.substring("ts", 1, 4))
+    # Rebalancing gathers a symbol's rows, so that no task opens a file for every
+    # symbol, and splits the oversized ones.
+    spread = out.hint("rebalance", F.col("symbol"))
     writer = spread.write.mode(mode).partitionBy("symbol")
     if fmt == "parquet":
         writer.option("compression", "zstd").parquet(path)

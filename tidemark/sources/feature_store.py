@@ -63,7 +63,8 @@ class FeatureStore:
 
     def _write(self, rows: DataFrame, seq: int) -> None:
         path = f"{self.folder}/batch={seq:08d}"
-        rows.repartition("feature_name", F.year("ts_available")).sortWithinPartitions("symbol", "ts_available") \
+        # Rebalancing gathers a feature's rows and splits the oversized ones.
+        rows.hint("rebalance", F.col("feature_name")).sortWithinPartitions("symbol", "ts_available") \
             .write.mode("errorifexists").partitionBy("feature_name").parquet(path)
 
     def _batches(self) -> list[int]:
