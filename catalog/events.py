@@ -85,8 +85,9 @@ def r11(spark, sf):
 
 @query("r12_size_buckets", """with c as (select quantile_cont(amount, 1/3::double) q1, quantile_cont(amount, 2/3::double) q2 from event_cars)
     select case when amount<=q1 then 'small' when amount<=q2 then 'mid' else 'large' end bucket, '[1,12]' "window", count(car_1_12) n,
-    avg(car_1_12) mean_car_pct, avg(car_1_12)/(stddev_samp(car_1_12)/sqrt(count(car_1_12))) t_stat,
-    count(*) filter (car_1_12>0)/count(car_1_12)*100 hit_rate_pct from event_cars, c group by 1""", ("event_cars",), STAT_FLOATS)
+    coalesce(avg(car_1_12),0) mean_car_pct, coalesce(case when count(car_1_12)>1 and stddev_samp(car_1_12)>0 then
+    avg(car_1_12)/(stddev_samp(car_1_12)/sqrt(count(car_1_12))) end,0) t_stat,
+    coalesce(count(*) filter (car_1_12>0)/nullif(count(car_1_12),0)*100,0) hit_rate_pct from event_cars, c group by 1""", ("event_cars",), STAT_FLOATS)
 def r12(spark, sf):
     return E.size_buckets(E.event_cars(priced(spark, sf), awards(spark, sf), WINDOWS), (1, 12))
 

@@ -49,7 +49,7 @@ def w1(spark, sf):
 
 
 @query("w1_forward_returns_timestamps", """select symbol, ts, price,
-    (lead(price,5) over w - price)/price*100 forward_5d_return from fills window w as (partition by symbol order by ts)""",
+    (lead(price,5) over w - price)/nullif(price,0)*100 forward_5d_return from fills window w as (partition by symbol order by ts)""",
        ("fills",), {"forward_5d_return": 6})
 def w1_ts(spark, sf):
     from catalog.base import fills
