@@ -47,6 +47,15 @@ def test_skill_tags(spark):
     assert folded["ai_ml"] == 3 and folded["gpu_hpc"] == 1
 
 
+def test_literal_search_never_loses_a_match(spark):
+    texts = ["C++x", "c++ only", "Ri\u017fc-V", "ap\u0130", "AP\u0131 x", "k8\u017f", "no"]
+    df = spark.createDataFrame([(t,) for t in texts], "description string")
+    patterns = {"a": [r"\bC\+\+\b", r"\bRISC-V\b", r"\bAPI\b", r"\bk8s\b"]}
+    plain = df.select(sum((F.rlike("description", F.lit("(?iU)" + p)).cast("int") for p in patterns["a"]), F.lit(0)))
+    got = [r["count"] for r in X.skill_tags(df, patterns, ignore_case=True).collect()]
+    assert got == [r[0] for r in plain.collect()] and sum(got) >= 4
+
+
 @pytest.mark.parametrize("score,label", [(2.0, "STRONG_BULLISH"), (0.7, "BULLISH"), (0.0, "NEUTRAL"),
                                          (-1.0, "BEARISH"), (-2.0, "STRONG_BEARISH")])
 def test_labels(spark, score, label):

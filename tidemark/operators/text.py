@@ -107,28 +107,39 @@ def evasiveness_by(df: DataFrame, by: str, order: str, text: str = "text",
 
 _META = re.compile(r"[\\^$.|?*+()\[\]{}]")
 _ESCAPE = re.compile(r"\\.")
+_ESCAPED_SIGN = re.compile(r"\\([^A-Za-z0-9])")
 
 
-def _core(pattern: str) -> str:
-    """The pattern without word borders and without a trailing run of word characters."""
-    return pattern.removeprefix(r"\b").removesuffix(r"\b").removesuffix(r"\w*")
+def _core(pattern: str) -> str | None:
+    """The literal every match of the pattern contains, if it is that simple."""
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b").removesuffix(r"\w*")
+    if _META.search(_ESCAPED_SIGN.sub("", inner)):
+        return None
+    return _ESCAPED_SIGN.sub(r"\1", inner)
 
 
-def _matches(text: Column, pattern: str, ignore_case: bool) -> Column | None:
+def _folded(text: Column) -> Column:
+    """Lower case in which every letter that matches an ASCII one regardless of case is that one."""
+    return F.translate(F.lower(text), "\u017f\u0131\u0307", "si")
+
+
+def _matches(text: Column, folded: Column, pattern: str, ignore_case: bool) -> Column | None:
     """Whether a pattern occurs in a text; None when it never can.
 
     A byte search for the literal inside the pattern decides most texts; the
     regular expression runs only where that literal occurs.
     """
+    core = _core(pattern)
     if ignore_case:
-        return F.rlike(text, F.lit("(?iU)" + pattern))
+        exact = F.rlike(text, F.lit("(?iU)" + pattern))
+        return exact if core is None else F.contains(folded, F.lit(core.lower())) & exact
     if any(ch.isupper() for ch in _ESCAPE.sub("", pattern)):
         return None  # the text is lower-cased
-    core = _core(pattern)
-    if _META.search(core):
-        return F.rlike(text, F.lit(_unicode(pattern)))
+    exact = F.rlike(text, F.lit(_unicode(pattern)))
+    if core is None:
+        return exact
     found = F.contains(text, F.lit(core))
-    return found & F.rlike(text, F.lit(_unicode(pattern))) if r"\b" in pattern else found
+    return found & exact if r"\b" in pattern else found
 
 
 def skill_tags(jobs: DataFrame, patterns: dict[str, Sequence[str]] = SKILL_PATTERNS, ignore_case: bool = False,
@@ -140,10 +151,11 @@ def skill_tags(jobs: DataFrame, patterns: dict[str, Sequence[str]] = SKILL_PATTE
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rest = [c for c in jobs.columns if c != text]
-    staged = jobs.select(*rest, (body if ignore_case else F.lower(body)).alias("_body"))
+    staged = jobs.select(*rest, (body if ignore_case else F.lower(body)).alias("_body"),
+                         *([_folded(body).alias("_fold")] if ignore_case else []))
     counts = []
     for group in patterns.values():
-        tests = [m for m in (_matches(F.col("_body"), p, ignore_case) for p in group) if m is not None]
+        tests = [m for m in (_matches(F.col("_body"), F.col("_fold"), p, ignore_case) for p in group) if m is not None]
         counts.append(sum((t.cast("int") for t in tests), F.lit(0)))
     counted = staged.select(*rest, *[c.alias(f"_c{i}") for i, c in enumerate(counts)])
     pairs = F.array(*[F.struct(F.lit(c).alias("skill_category"), F.col(f"_c{i}").alias("count"))
