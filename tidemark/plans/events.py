@@ -13,13 +13,14 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.columns import ratio
+from tidemark.functions.columns import no_nan, ratio
 from tidemark.operators.aggregates import clustered_t, cut_points, t_stat
 from tidemark.operators.joins import align_events, asof_values, bar_index, event_days
 from tidemark.operators.ordered import cell_for, running, with_neighbours
 from tidemark.operators.ranking import exact_quantiles
 from tidemark.operators.windows import rolling_days
 from tidemark.schemas import require_columns
+from tidemark.session import reused
 
 Windows = Sequence[tuple[int, int]]
 
@@ -123,9 +124,8 @@ def car_stats(cars: DataFrame, windows: Windows, group: Sequence[str] = ()) -> D
 
 def size_buckets(cars: DataFrame, window: tuple[int, int], amount: str = "amount", least: int = 6) -> DataFrame:
     """Statistics by amount tercile; empty below ``least`` events with an amount."""
-    finite = cars.withColumn(amount, F.nanvl(F.col(amount).cast("double"), F.lit(None).cast("double"))) \
-        .filter(F.col(amount).isNotNull())
-    rows = finite.withColumn("_all", F.lit(0))
+    finite = cars.select(no_nan(amount).alias(amount), car_name(*window)).filter(F.col(amount).isNotNull())
+    rows = reused(finite.withColumn("_all", F.lit(0)))
     enough = rows.groupBy("_all").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= least).select("_all")
     cuts = cut_points(rows, amount, by=["_all"]).join(enough, "_all", "left_semi")  # one row
     bucket = F.when(F.col(amount) <= F.col("q1"), "small").when(F.col(amount) <= F.col("q2"), "mid") \
@@ -212,7 +212,10 @@ def reversal_study(bars: DataFrame, events: DataFrame, windows: Windows = ((1, 2
     cars = event_cars(bars, events, windows)
     volume = dollar_volume(bars, days).select("symbol", "date", "dollar_vol")
     cars = asof_values(cars, volume, ["dollar_vol"], "symbol", event_date, "date")
-    cars = cars.withColumn("_day", F.unix_date(F.col(event_date).cast("date")).cast("double"))
+    names = [car_name(a, b) for a, b in windows]
+    # The cut points read the table twice each and are then applied to it.
+    cars = reused(cars.select(event_date, amount, "dollar_vol", *names, F.unix_date(
+        F.col(event_date).cast("date")).cast("double").alias("_day")))
     cuts = exact_quantiles(cars, [], "dollar_vol", {"_q1": 1 / 3, "_q2": 2 / 3}, "nearest")
     middle = exact_quantiles(cars, [], "_day", {"_mid": 0.5})
     # Two one-row tables of cut points.

@@ -55,6 +55,8 @@ def period_slopes(data: DataFrame, features: Sequence[str], forward: str, period
     keys = list(by) or ["_all"]
     rows = data if by else data.withColumn("_all", F.lit(0))
     rows = rows.dropna(subset=[*features, forward]).select(*keys, period, *features, forward)
+    if not isinstance(step, int) or step > 1:
+        rows = reused(rows)  # read for the list of periods and again for the sample
     sampled = sample_within(rows, step, keys, period)
     pairs = [(i, j) for i in range(n_feat) for j in range(i + 1, n_feat)]
     moments = sampled.groupBy(*keys, period).agg(
