@@ -105,7 +105,7 @@ def test_one_hot_value(spark):
 
 
 def test_value_cell_is_monotone(spark):
-    xs = [-1e300, -5.0, -1.0, -1e-300, 0.0, 1e-300, 0.5, 0.50001, 1.0, 3.0, 1e300]
+    xs = [float("-inf"), -1e300, -5.0, -1.0, -1e-300, 0.0, 1e-300, 0.5, 0.50001, 1.0, 3.0, 1e300, float("inf")]
     from tidemark.functions.columns import value_cell
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(value_cell("x")).collect()]
     assert got == sorted(got)

@@ -82,7 +82,8 @@ def value_cell(x, per_octave: int = 4096) -> Column:
     different cells, and data spanning twenty doublings has 160 000 of them.
     """
     v = col(x).cast("double")
-    depth = F.floor(F.log2(F.abs(v)) * per_octave) + F.lit(1080 * per_octave)
+    size = F.least(F.abs(v), F.lit(1.7976931348623157e308))  # infinity joins the largest cell
+    depth = F.floor(F.log2(size) * per_octave) + F.lit(1080 * per_octave)
     return (
         F.when(v.isNull(), F.lit(None))
         .when(v > 0, depth)

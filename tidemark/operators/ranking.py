@@ -28,7 +28,10 @@ def _cell_starts(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str],
                  out: str = "_rank", n_out: str = "_n") -> DataFrame:
-    """1-based ascending rank with ties broken by ``tie``, and the group size."""
+    """1-based ascending rank with ties broken by ``tie``, and the group size.
+
+    Rows without a value have no rank and are left out.
+    """
     keyed = df.withColumn("_cell", value_cell(value))
     starts = _cell_starts(keyed, by).select(*by, "_cell", "_start", F.col("_n").alias(n_out))
     local = Window.partitionBy(*by, "_cell").orderBy(value, *tie)
@@ -44,7 +47,8 @@ def average_ranks(df: DataFrame, by: Sequence[str], columns: dict[str, str]) ->
     """1-based ascending ranks where equal values share their mean rank.
 
     ``columns`` maps output names to value columns. Equal values collapse to one
-    row on the map side before anything is ordered.
+    row on the map side before anything is ordered. Rows without a value have no
+    rank and are left out.
     """
     out = df
     for name, value in columns.items():
