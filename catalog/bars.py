@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import bars, jobs, orders_view, otc, query, shares, table, transactions
+from catalog.base import bars, jobs, otc, query, table, transactions
 from tidemark.operators import aggregates as A, cleaning as C, joins as J, sets as U
 from tidemark.sources import bars as S
 

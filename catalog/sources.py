@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import (awards, bars, fills, jobs, macro, otc, query, revenue, shared_folder, shares, table,
+from catalog.base import (awards, bars, fills, jobs, macro, otc, query, revenue, shared_folder, shares,
                           transactions, ubars)
 from catalog.windows import MOM, panel
 from tidemark.operators import trades as T

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import bars, macro, otc, query, transactions, ubars
+from catalog.base import bars, macro, otc, query, transactions
 from tidemark.operators import aggregates as A, windows as W
 from tidemark.plans.study import study_rows
 

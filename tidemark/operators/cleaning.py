@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import lenient_date, ratio
-from tidemark.operators.ordered import cell_for, running, with_neighbours
+from tidemark.operators.ordered import cell_for, with_neighbours
 from tidemark.schemas import require_columns
 
 PRICES = ("open", "high", "low", "close")

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.columns import ratio
 from tidemark.operators.aggregates import ic_by_period, ic_summary, quantile_returns, quantile_summary, top_by_year
 from tidemark.operators.cleaning import contract_intensity
 from tidemark.operators.joins import asof_join
