@@ -32,7 +32,7 @@ def new_file(folder: str, suffix: str):
     system, path = resolve(folder)
     system.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}")
+    return f"{folder}/{name}", system.open_output_stream(f"{path}/{name}", compression=None)
 
 
 def written(df: DataFrame, folder: str) -> DataFrame:

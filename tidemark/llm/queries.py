@@ -31,3 +31,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     source = tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))
     return token_documents(spark, table(spark, sf_dir, "documents"), source).drop("file")
+
+
+@query("op9_warc", """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as n, sha256(body) as digest from p),
+f as (select digest, min(page_id) as first_id from d where n >= 100 group by digest)
+select d.page_id, cast(d.n as bigint) as payload_bytes, d.digest as payload_digest,
+       case when f.first_id < d.page_id then 'revisit' else 'response' end as record_type,
+       case when f.first_id < d.page_id then f.first_id end as refers_to
+from d left join f on d.digest = f.digest and d.n >= 100
+""")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archived
+
+    return archived(spark, table(spark, sf_dir, "pages")).filter("kind = 'record'").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
