@@ -47,3 +47,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return archived(spark, table(spark, sf_dir, "pages")).filter("kind = 'record'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_licenses")
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
