@@ -54,3 +54,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.licenses import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
