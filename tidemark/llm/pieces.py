@@ -1,21 +1,31 @@
 """Encoding with the tokenizers library where recurring pieces of text are encoded once per worker.
 
-A text is cut before single spaces that follow a non-space character. For the tokenizers used here no token crosses
-such a cut, so the ids of a text are the ids of its pieces in order. Texts in which a space follows other white space
-go to the library whole. Ids travel as little-endian unsigned 32-bit integers.
+A text is cut where no token of the tokenizer crosses: before a space, around a line end and, where the tokenizer
+allows it, before a full stop or comma that follows a letter or digit. The ids of a text are then the ids of its pieces
+in order. Texts with neighbouring white space go to the library whole. Ids travel as little-endian unsigned 32-bit
+integers.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
 
-_SPACES = re.compile(r"\s |^ | $")
-#: Pieces kept in a worker, about 200 bytes each; beyond it pieces are encoded again batch by batch.
-KEPT = 400_000
+#: A full stop or comma behind anything but a letter or digit belongs to a run of signs or to a space.
+_RUNS = re.compile(r"(?<![^\W_])[.,]")
+#: Pieces kept in a worker, about 200 bytes each; a fuller store starts anew.
+KEPT = 500_000
+
+
+#: Neighbouring white space, and all white space but spaces and line ends (with the separator used here).
+_ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+
+
+def spaced(text: str) -> bool:
+    """Whether all white space of a text is single spaces and line ends between other characters."""
+    return not (text[0].isspace() or text[-1].isspace() or any(c in text for c in _ODD))
 
 
 def as_bytes(ids) -> bytes:
@@ -25,76 +35,78 @@ def as_bytes(ids) -> bytes:
 class PieceEncoder:
     """Encodes texts to bytes of ids.
 
-    ``token_bytes[id]`` is the number of text bytes a token stands for; ``lead`` is what the tokenizer puts in front
-    of a text, so that the first piece is treated like the others.
+    ``token_bytes[id]`` is the number of text bytes a token stands for; ``lead`` is what the tokenizer itself puts in
+    front of a text, so that the first piece is treated like the others; ``stops`` says that it never joins a letter or
+    digit with a full stop or comma behind it.
     """
 
-    def __init__(self, tokenizer: Tokenizer, token_bytes: np.ndarray, lead: str = "", kept: int = KEPT):
-        self.tokenizer, self.token_bytes, self.lead, self.kept = tokenizer, token_bytes, lead, kept
-        self.cache: dict[str, bytes] = {}
+    def __init__(self, tokenizer: Tokenizer, token_bytes: np.ndarray, lead: str = "", stops: bool = True, kept: int = KEPT):
+        self.tokenizer, self.token_bytes, self.lead, self.stops, self.kept = tokenizer, token_bytes, lead, stops, kept
+        self.cache = _Store()
 
     def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, from the library."""
         return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that start with a space, from encodings of many pieces in a row."""
-        runs = [pieces[i:i + 400] for i in range(0, len(pieces), 400)]
-        cut = len(self.lead)
-        out: list[bytes] = []
-        for run, ids in zip(runs, self.whole(["".join(run)[cut:] for run in runs])):
-            ids = np.frombuffer(ids, "<u4")
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in a row; a piece that starts a line goes behind a line end."""
+        heads = len(self.lead.encode()) + 1
+        line, = self.whole(["a\n"])
+        self.cache["\n"] = line[-4:]
+        pieces = [p for p in pieces if p != "\n"]
+        runs = [pieces[i:i + 500] for i in range(0, len(pieces), 500)]
+        rows = [[p if p[0] == " " else "\n" + p for p in run] for run in runs]
+        for run, row, raw in zip(runs, rows, self.whole(["a" + "".join(row) for row in rows])):
+            ids = np.frombuffer(raw, "<u4")
             ends = np.cumsum(self.token_bytes[ids])
-            want = np.cumsum([len(p.encode()) for p in run])
+            want = heads + np.concatenate([[0], np.cumsum([len(p.encode()) for p in row])])
             at = np.searchsorted(ends, want)
-            if len(ends) and at[-1] < len(ends) and (ends[at] == want).all():
-                at = np.concatenate([[0], at + 1])
-                out += [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            else:
-                out += self.whole([p[cut:] for p in run])
-        return out
-
-    def _learn(self, pieces: set[str], into: dict[str, bytes]) -> None:
-        plain = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
-        other = list(pieces.difference(plain))
-        into.update(zip(plain, self._joined(plain)))
-        into.update(zip(other, self.whole(other)))
-
-    def encode(self, texts: list[str | None], done: Callable[[int, bytes], None] | None = None) -> list[bytes]:
+            if at[-1] >= len(ends) or not (ends[at] == want).all():
+                raise ValueError("a token crosses the end of a piece")
+            for p, q, a, b in zip(run, row, ((at[:-1] + 1) * 4).tolist(), ((at[1:] + 1) * 4).tolist()):
+                self.cache[p] = raw[a if p is q else a + 4:b]
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text."""
+        if self.stops and not _RUNS.search(text):
+            text = text.replace(".", "\x1f.").replace(",", "\x1f,")
+        parts = text.replace("\n", "\x1f\n\x1f").replace(" ", "\x1f ").split("\x1f")
+        if self.lead:
+            parts[0] = " " + parts[0]
+        return parts
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, in order. A null text counts as empty."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and _SPACES.search(t)]
+        whole = [i for i, t in enumerate(texts) if t and not spaced(t)]
         for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
             out[i] = ids
         skip = set(whole)
-        cut = {}
-        for i, t in enumerate(texts):
-            if t and i not in skip:
-                parts = t.split(" ")
-                cut[i] = [self.lead + parts[0], *map(" ".__add__, parts[1:])] if parts[0] or self.lead else list(map(" ".__add__, parts[1:]))
-        new: set[str] = set()
-        for parts in cut.values():
-            new.update(parts)
-        new = {p for p in new if p not in self.cache}
-        known = self.cache
-        if new:
-            if len(self.cache) + len(new) <= self.kept:
-                self._learn(new, self.cache)
-            else:
-                extra: dict[str, bytes] = {}
-                self._learn(new, extra)
-                known = _Both(self.cache, extra)
-        get = known.__getitem__
+        cut = {i: self.cut(t) for i, t in enumerate(texts) if t and i not in skip}
+        if not cut:
+            return out
+        if len(self.cache) > self.kept:
+            self.cache = _Store()
+        self.cache[""] = b""
+        get, new = self.cache.__getitem__, self.cache.new
         for i, parts in cut.items():
             out[i] = b"".join(map(get, parts))
+        if new:
+            self._learn(list(new))
+            for i, parts in cut.items():
+                if not new.isdisjoint(parts):
+                    out[i] = b"".join(map(get, parts))
+            new.clear()
         return out
 
 
-class _Both(dict):
-    """Lookups in the kept pieces, then in those of this batch."""
+class _Store(dict):
+    """Ids by piece; asked for an unknown piece it notes it in ``new``."""
 
-    def __init__(self, kept: dict[str, bytes], extra: dict[str, bytes]):
-        super().__init__(extra)
-        self.kept = kept
+    def __init__(self):
+        super().__init__()
+        self.new: set[str] = set()
 
     def __missing__(self, piece: str) -> bytes:
-        return self.kept[piece]
+        self.new.add(piece)
+        return b""

@@ -151,7 +151,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, out, first = byte_level_encoder(tokenizer), struct.pack("<I", end_id), None, None
-        for run in runs(batches, "text", 8 << 20):
+        for run in runs(batches, "text"):
             ids = run.column(0).to_pylist()
             if out is None:
                 out, first = _Writer(folder), ids[0]
