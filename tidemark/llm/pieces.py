@@ -37,11 +37,12 @@ class PieceEncoder:
 
     ``token_bytes[id]`` is the number of text bytes a token stands for; ``lead`` is what the tokenizer itself puts in
     front of a text, so that the first piece is treated like the others; ``stops`` says that it never joins a letter or
-    digit with a full stop or comma behind it.
+    digit with a full stop or comma behind it; texts with the string ``odd`` are never cut.
     """
 
-    def __init__(self, tokenizer: Tokenizer, token_bytes: np.ndarray, lead: str = "", stops: bool = True, kept: int = KEPT):
-        self.tokenizer, self.token_bytes, self.lead, self.stops, self.kept = tokenizer, token_bytes, lead, stops, kept
+    def __init__(self, tokenizer: Tokenizer, token_bytes: np.ndarray, lead: str = "", stops: bool = True, kept: int = KEPT,
+                 odd: str | None = None):
+        self.tokenizer, self.token_bytes, self.lead, self.stops, self.kept, self.odd = tokenizer, token_bytes, lead, stops, kept, odd
         self.cache = _Store()
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -78,7 +79,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, in order. A null text counts as empty."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and not spaced(t)]
+        whole = [i for i, t in enumerate(texts) if t and (not spaced(t) or self.odd and self.odd in t)]
         for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
             out[i] = ids
         skip = set(whole)

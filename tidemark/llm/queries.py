@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,23 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sentencepiece_codec import encode_documents, model_bytes
+
+    model = model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_documents(table(spark, sf_dir, "documents"), model)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.labelled import crc_mod
+    from tidemark.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tagger = train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    scored = score_toxicity(docs, tagger)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
