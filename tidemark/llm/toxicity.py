@@ -16,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from tidemark.llm.labelled import MAX_CHARS, PER_CLASS, distinct, sample
 from tidemark.llm.text import Words, mix, runs, words
@@ -26,6 +27,7 @@ BEGINNINGS = (4, 5, 6)
 SEGMENT = 64
 SURE = 14.0         # evidence (nats) that a feature belongs to toxic documents
 PRECISE = 0.9       # share of a feature's documents that must be toxic
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", FloatType())]))
 STEPS, RATE, DECAY = 30, 0.25, 1e-4
 
 
@@ -286,5 +288,4 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> D
                 [*part.columns, pa.array(tagger.calibrated(_tops(w.first, p))), pa.array(spans, pa.list_(span))],
                 [*part.schema.names, "score", "spans"])
 
-    return docs.select(*kept).mapInArrow(run, schema.add("score", "double").add(
-        "spans", "array<struct<start:int,end:int,p:float>>"))
+    return docs.select(*kept).mapInArrow(run, StructType([*schema, StructField("score", DoubleType()), StructField("spans", SPANS)]))
