@@ -82,3 +82,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(docs, tagger)
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.labelled import crc_mod
+    from tidemark.llm.quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    voters = train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return score_quality(docs, voters).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+                                              (F.col("score") >= 0.3).cast("int").alias("predicted"))
