@@ -192,7 +192,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()),
                      ("file", pa.string())]))
 
-    spread = files.select("path", "base").repartition(F.col("path"))
+    # One task per file: without a number, so few rows would end in one task.
+    spread = files.select("path", "base").repartition(max(1, manifest.count()))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 

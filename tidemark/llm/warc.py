@@ -265,7 +265,8 @@ def read_warc(files: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spans.select("path", "size", "at", "to").repartition("path", "at").mapInArrow(read, READ_SCHEMA)
+    # One task per span: without a number, so few rows would end in one task.
+    return spans.select("path", "size", "at", "to").repartition(max(1, spans.count())).mapInArrow(read, READ_SCHEMA)
 
 
 def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:
