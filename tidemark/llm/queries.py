@@ -93,3 +93,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     voters = train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return score_quality(docs, voters).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
                                               (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
