@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.text import mix, shingles, words
 
 #: Labelled rows of each class that a fit reads at most, and characters of both classes together.
-PER_CLASS = 1000
-MAX_CHARS = 24_000_000
+PER_CLASS = 700
+MAX_CHARS = 6_000_000
 
 
 def crc_mod(id_col: str, n: int) -> Column:

@@ -100,3 +100,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op6_passages")
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("key", "kept_key")
