@@ -107,3 +107,17 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.passages import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents")).drop("key", "kept_key")
+
+
+@query("op2_topk", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+      from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+""")
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.topk import rounded, top_k
+
+    return top_k(rounded(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
