@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -121,3 +122,8 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.topk import rounded, top_k
 
     return top_k(rounded(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

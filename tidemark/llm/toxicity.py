@@ -258,13 +258,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     return fit(sample(docs, labels, label_col, learn, id_col, text_col, per_class, max_chars))
 
 
-def score_toxicity(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``spans``: character offsets and largest marginal of each toxic stretch.
+def score_toxicity(docs: DataFrame, tagger: Tagger, text_col: str = "text", score_col: str = "score", spans_col: str = "spans") -> DataFrame:
+    """``docs`` with a score (0 to 1) and spans: character offsets and largest marginal of each toxic stretch.
 
     Whole texts are scored. Null and empty texts, and texts without words, get the score of a largest marginal of 0 and no
-    spans. Columns named score or spans are replaced; all others are kept.
+    spans. Columns of the names given are replaced; all others are kept.
     """
-    kept = [c for c in docs.columns if c not in ("score", "spans")]
+    kept = [c for c in docs.columns if c not in (score_col, spans_col)]
     place = kept.index(text_col)
     schema = docs.select(*kept).schema
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())])
@@ -286,6 +286,6 @@ def score_toxicity(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> D
                                      "p": float(p[group].max())})
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(tagger.calibrated(_tops(w.first, p))), pa.array(spans, pa.list_(span))],
-                [*part.schema.names, "score", "spans"])
+                [*part.schema.names, score_col, spans_col])
 
-    return docs.select(*kept).mapInArrow(run, StructType([*schema, StructField("score", DoubleType()), StructField("spans", SPANS)]))
+    return docs.select(*kept).mapInArrow(run, StructType([*schema, StructField(score_col, DoubleType()), StructField(spans_col, SPANS)]))
