@@ -6,7 +6,7 @@ import uuid
 from urllib.parse import urlsplit
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
@@ -39,3 +39,8 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     """``df`` as a table in ``folder``: cuts lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is. Count a written table, not a plan."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

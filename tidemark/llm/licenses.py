@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.files import shared_folder, small, written
+
 # Phrases whose every place counts, and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
@@ -39,8 +41,11 @@ NOTICES = [
 ]
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"   # the same words before A-Z are lower-cased
 GRAM = 3
 DRIFT = 3           # diagonals at most this far apart are one span
+#: Spans to verify are broadcast to the texts up to this many rows of about 200 bytes; beyond it both sides are shuffled.
+BROADCAST_ROWS = 200_000
 LEAST_VOTES = 0.4   # share of a notice's grams that makes a candidate
 LEAST_ALIKE = 0.85  # share of characters alike that verifies it
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,9 +88,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lookup = F.broadcast(wanted[0].unionByName(wanted[1]))
     both = F.concat(F.transform(grams(F.col("words"), 2), lambda h, i: F.struct(h.alias("gram"), i.alias("at"), F.lit("phrase").alias("kind"))),
                     F.transform(grams(F.col("words"), GRAM), lambda h, i: F.struct(h.alias("gram"), i.alias("at"), F.lit("notice").alias("kind"))))
+    folder = shared_folder(spark, "licenses")
     hits = (rows.select("doc_id", "key", F.inline(both)).join(lookup, ["gram", "kind"])
-            .select("doc_id", "key", "kind", "template", "label", "body", "n", "pos", "at").distinct())
-    diagonals = (hits.groupBy("doc_id", "key", "kind", "template", "label", "body", "n", (F.col("at") - F.col("pos")).alias("diagonal"))
+            .select("doc_id", "key", "kind", "template", "label", "body", "n", "pos", "at"))
+    diagonals = (written(hits, f"{folder}/hits").distinct().groupBy("doc_id", "key", "kind", "template", "label", "body", "n", (F.col("at") - F.col("pos")).alias("diagonal"))
                  .agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"),
                       F.collect_set("pos").alias("seen")))
     places = diagonals.filter("kind = 'phrase' and votes = n - 1").select(
@@ -101,10 +107,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   F.max(F.col("hi") + F.col("n") - F.array_max("seen")).alias("hi"),
                   F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"))
              .filter(F.col("votes") >= F.lit(LEAST_VOTES) * (F.col("n") - GRAM + 1)))
-    spans = spans.withColumnsRenamed({"doc_id": "its_id", "key": "its_key"})
-    cut = (rows.join(spans, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")))
-           .dropDuplicates(["doc_id", "key", "template", "island"]).select("doc_id", "key", "label", "body", "lo",
-                   F.array_join(F.slice("words", F.greatest(F.col("lo"), F.lit(0)) + 1, F.col("hi") - F.greatest(F.col("lo"), F.lit(0))), " ").alias("own")))
+    spans = small(written(spans.withColumnsRenamed({"doc_id": "its_id", "key": "its_key"}), f"{folder}/spans"), BROADCAST_ROWS)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    cut = (texts.join(spans, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")))
+           .withColumn("words", word_list(F.col("text"))).select("doc_id", "key", "template", "island", "label", "body", "lo",
+                   F.array_join(F.slice("words", F.greatest(F.col("lo"), F.lit(0)) + 1, F.col("hi") - F.greatest(F.col("lo"), F.lit(0))), " ").alias("own"))
+           .distinct())
     found = cut.select("doc_id", "key", F.lit("notice").alias("kind"), "label", F.col("lo").alias("start"),
                        (1 - F.levenshtein("own", "body") / F.greatest(F.length("own"), F.length("body"))).alias("alike"))
     # Notices that differ by a word share a start: the likest one names the place.
@@ -117,7 +125,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     F.max(F.when(base, F.col("start"))).alias("last_word"),
                     F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
                     F.array_join(F.sort_array(F.collect_set(known)), ",").alias("labels"), F.max("alike").alias("score")))
-    total = rows.select("doc_id", "key", F.size("words").alias("n_words"))
+    count = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_CASE), 0))
+    total = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), count.alias("n_words"))
     summary = summary.withColumnsRenamed({"doc_id": "its_id", "key": "its_key"})
     joined = total.join(summary, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")), "left")
     return joined.select(
