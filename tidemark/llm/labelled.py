@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.text import mix, shingles, words
 
-#: Labelled rows of each class that a fit reads at most, and characters of both classes together.
-PER_CLASS = 700
-MAX_CHARS = 6_000_000
+#: Labelled rows of label 0 and of label 1 that a fit reads at most, and characters of both together.
+PER_CLASS = (2500, 700)
+MAX_CHARS = 12_000_000
 
 
 def crc_mod(id_col: str, n: int) -> Column:
@@ -19,16 +19,16 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str = "doc_id", text_col: str = "text",
-           per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> list[tuple[str, int]]:
+           per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> list[tuple[str, int]]:
     """(text, label) of labelled rows for which ``learn`` holds, the same ones in every run.
 
-    Of each class the ``per_class`` rows with the smallest id hashes are taken, then rows in hash order while their texts
+    Of label 0 and 1 the ``per_class`` rows with the smallest id hashes are taken, then rows in hash order while their texts
     stay within ``max_chars``. Null labels and null or empty texts teach nothing.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & learn).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.withColumn("_at", F.xxhash64("_id"))
-    picked = known.filter("_label = 0").orderBy("_at", "_id").limit(per_class).unionAll(
-        known.filter("_label = 1").orderBy("_at", "_id").limit(per_class))
+    picked = known.filter("_label = 0").orderBy("_at", "_id").limit(per_class[0]).unionAll(
+        known.filter("_label = 1").orderBy("_at", "_id").limit(per_class[1]))
     texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") > 0)
              .join(F.broadcast(picked), "_id"))
     order = Window.orderBy("_at", "_id", "_text").rowsBetween(Window.unboundedPreceding, 0)

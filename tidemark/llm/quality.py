@@ -24,7 +24,7 @@ MEASURES = 7
 TERMS = WORD_BUCKETS + SHAPE_BUCKETS + MEASURES * BINS
 LATENT = 64
 NEIGHBOURS = 15
-PER_CLASS = 600     # labelled rows of each class at most
+PER_CLASS = (600, 600)   # labelled rows of each class at most
 SHARPNESS = 8       # power of the cosine in a vote's weight
 BLOCK = 512         # documents whose cosines are held at once
 SURFACE_WEIGHT = 3.0
@@ -131,7 +131,7 @@ def fit(rows: list[tuple[str, int]], latent: int = LATENT) -> Voters:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id",
-          text_col: str = "text", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Voters:
+          text_col: str = "text", per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> Voters:
     """Fit on a bounded sample of the labelled rows for which ``learn`` holds; see ``labelled.sample`` for its bounds."""
     return fit(sample(docs, labels, label_col, learn, id_col, text_col, per_class, max_chars))
 

@@ -25,6 +25,7 @@ from tidemark.llm.text import Words, mix, runs, words
 BUCKETS = 1 << 21
 BEGINNINGS = (4, 5, 6)
 SEGMENT = 64
+TRAIN_CLEAN = 1000
 SURE = 14.0         # evidence (nats) that a feature belongs to toxic documents
 PRECISE = 0.9       # share of a feature's documents that must be toxic
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", FloatType())]))
@@ -176,9 +177,23 @@ def _tops(first: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_labels(w: Words, own: list[np.ndarray], n: int, toxic: np.ndarray) -> np.ndarray:
+def clean_counts(rows: list[tuple[str, int]], known: np.ndarray) -> list[np.ndarray]:
+    """For each kind of own feature: how many of the texts hold each of the ``known`` keys."""
+    out = [np.zeros(len(known)) for _ in range(1 + len(BEGINNINGS))]
+    for at in range(0, len(rows), 200):
+        w = words(pa.array([t for t, _ in rows[at:at + 200]], pa.large_string()))
+        for total, f in zip(out, features(w)):
+            place = np.minimum(np.searchsorted(known, f), len(known) - 1)
+            hit = known[place] == f
+            both = np.unique(w.doc[hit].astype(np.int64) * len(known) + place[hit])
+            total += np.bincount(both % len(known), minlength=len(known))
+    return out
+
+
+def token_labels(w: Words, own: list[np.ndarray], n: int, toxic: np.ndarray, more: list[np.ndarray], n_more: int) -> np.ndarray:
     """Toxic words of toxic documents: one of their own features (numbers below n) occurs nearly only in toxic documents.
 
+    ``more`` counts the features in ``n_more`` further clean documents.
     Evidence is weighed again among the toxic documents without such a word until no more are found, so rarer
     vocabularies show beside common ones.
     """
@@ -190,10 +205,10 @@ def token_labels(w: Words, own: list[np.ndarray], n: int, toxic: np.ndarray) ->
         pairs.append((both // n, both % n))
     while open_.any():
         weight = np.where(toxic > 0, open_, True)
-        rate = (weight * toxic).sum() / weight.sum()
+        rate = (weight * toxic).sum() / (weight.sum() + n_more)
         new = np.zeros(len(w.hash), bool)
-        for f, (doc, key) in zip(own, pairs):
-            held = np.bincount(key, weights=weight[doc], minlength=n)
+        for f, (doc, key), extra in zip(own, pairs, more):
+            held = np.bincount(key, weights=weight[doc], minlength=n) + extra
             share = np.bincount(key, weights=(weight * toxic)[doc], minlength=n) / np.maximum(held, 1)
             a, b = np.clip(share, 1e-9, 1 - 1e-9), 1 - np.clip(share, 1e-9, 1 - 1e-9)
             evidence = held * (a * np.log(a / rate) + b * np.log(b / (1 - rate)))
@@ -213,11 +228,15 @@ def fit(rows: list[tuple[str, int]]) -> Tagger:
     if not len(rows) or toxic.min() == toxic.max():
         sign = 1.0 if len(rows) and toxic.max() == 1 else -1.0
         return Tagger(np.zeros(0, np.uint64), np.zeros(0, np.float32), -20.0, -5.0, 0.0, 0.0, 0.0, 10 * sign)
+    # The field is trained on the first TRAIN_CLEAN clean documents; the others count as evidence.
+    bad, good = [r for r in rows if r[1]], [r for r in rows if not r[1]]
+    rows, rest = bad + good[:TRAIN_CLEAN], good[TRAIN_CLEAN:]
+    toxic = np.array([y for _, y in rows], float)
     w = words(pa.array([t for t, _ in rows], pa.large_string()))
     feats = features(w)
     known, where = np.unique(np.concatenate(feats), return_inverse=True)
-    local = where.reshape(len(feats), -1)
-    gold = token_labels(w, list(local[:1 + len(BEGINNINGS)]), len(known), toxic).astype(float)
+    local = where.astype(np.int32).reshape(len(feats), -1)
+    gold = token_labels(w, list(local[:1 + len(BEGINNINGS)]), len(known), toxic, clean_counts(rest, known), len(rest)).astype(float)
     follows = np.zeros(len(gold))
     follows[1:] = gold[:-1] * (w.doc[1:] == w.doc[:-1])
     seen = np.array([(gold * (1 - follows)).sum(), ((1 - gold) * follows).sum(), (gold * follows).sum()])
@@ -253,7 +272,7 @@ def fit(rows: list[tuple[str, int]]) -> Tagger:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id",
-          text_col: str = "text", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Tagger:
+          text_col: str = "text", per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> Tagger:
     """Fit on a bounded sample of the labelled rows for which ``learn`` holds; see ``labelled.sample`` for its bounds."""
     return fit(sample(docs, labels, label_col, learn, id_col, text_col, per_class, max_chars))
 
