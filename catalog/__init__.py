@@ -5,6 +5,6 @@ from catalog.base import QUERIES, oracles
 
 def load():
     """Import every module of queries once and return (queries, oracle SQL)."""
-    from catalog import (altdata, bars, events, features, indicators, sources, study,  # noqa: F401
+    from catalog import (altdata, bars, events, features, hostile, indicators, sources, study,  # noqa: F401
                          streaming, trades, windows)
     return QUERIES, oracles()

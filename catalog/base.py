@@ -105,7 +105,7 @@ def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_totalprice >= 400000").select(
+    return table(spark, sf_dir, "orders").select(
         _code("S", "o_custkey", 25).alias("symbol"), F.col("o_orderdate").cast("date").alias("event_date"),
         F.col("o_totalprice").alias("amount"), F.col("o_orderkey").cast("string").alias("award_id"))
 
@@ -185,7 +185,7 @@ SQL_VIEWS = {
        from (select 'S'||lpad(cast(l_suppkey%25 as varchar),2,'0') symbol, cast(date_trunc('quarter',l_shipdate) as date) s, l_extendedprice from lineitem)
        group by symbol, s""",
     "awards": """select 'S'||lpad(cast(o_custkey%25 as varchar),2,'0') symbol, cast(o_orderdate as date) event_date, o_totalprice amount,
-       cast(o_orderkey as varchar) award_id from orders where o_totalprice >= 400000""",
+       cast(o_orderkey as varchar) award_id from orders""",
     "otc": """select 'T'||lpad(cast(l_partkey%50 as varchar),2,'0') ticker, cast(date_trunc('week',l_shipdate) as date) trade_date,
        sum(l_quantity) share_volume, count(*) trade_count, count(distinct l_suppkey) market_makers from lineitem group by 1,2""",
     "fills": """select event_id order_id, 'U'||lpad(cast(user_id%25 as varchar),2,'0') symbol,

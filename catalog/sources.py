@@ -184,7 +184,7 @@ def s20_rows(spark, sf):
     return L.monthly_obligations(_docs(grouped, [F.col("symbol").alias("vendor")], F.struct("results")))
 
 
-@query("s21_job_rows", """select agency, post_date, substr(description,1,500) description, length(description)*1000.5 salary_min, 0.0::double salary_max,
+@query("s21_job_rows", """select agency, post_date, description, length(description)*1000.5 salary_min, 0.0::double salary_max,
     'kw' keyword from jobs""", ("jobs",), {"salary_min": 2, "salary_max": 2})
 def s21(spark, sf):
     pay = F.struct(F.concat(F.lit("$"), F.format_number(F.length("description") * F.lit(1000.5), 1)).alias("MinimumRange"),

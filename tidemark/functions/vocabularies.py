@@ -96,13 +96,9 @@ REVENUE_TAGS = [
     "SalesRevenueNet",
 ]
 
-# Names and identifiers of the macro series.
-MACRO_SERIES = {
-    "CPI_ALL": "CPIAUCSL", "CPI_CORE": "CPILFESL", "PCE_CORE": "PCEPILFE", "PPI_FINAL": "PPIACO",
-    "FED_FUNDS": "DFEDTARU", "T10Y": "DGS10", "T2Y": "DGS2", "TIPS_10Y": "DFII10",
-    "UNEMPLOYMENT": "UNRATE", "JOLTS_OPENINGS": "JTSJOL", "AVG_WAGE": "CES0500000003",
-    "CAP_UTIL": "TCU", "IND_PROD": "INDPRO", "DURABLE_GOODS": "DGORDER",
-    "DEFENSE_SPEND": "FDEFX", "GOV_CONSUMPTION": "FGEXPND", "FED_DEBT": "GFDEBTN",
-    "M2": "M2SL", "COMM_LOANS": "BUSLOANS",
-    "VIX": "VIXCLS", "SP500": "SP500",
+# Words that tell the columns of OTC files, by standard name; the first that fits decides.
+OTC_WORDS = {
+    "trade_date": [["tradedate"]], "share_volume": [["share", "quantity"]], "trade_count": [["trade", "count"]],
+    "ticker": [["symbol"], ["ticker"], ["issue"]], "issue_name": [["name"]], "tier": [["tier"]],
+    "market_makers": [["market", "maker"]], "avg_price": [["price"], ["sale"]],
 }

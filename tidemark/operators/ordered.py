@@ -12,13 +12,15 @@ here therefore has two plans with the same result:
   result is carried back into the cells by an equi-join.
 
 Both plans are lazy and deterministic, so a lost executor only recomputes.
-Cell plans expect non-null keys and order columns.
+NULL keys form a key of their own and NULL times come first, in both plans.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
@@ -32,6 +34,13 @@ def cell_for(df: DataFrame, order: str, unit: str = "minute") -> Column | None:
     return F.date_trunc(unit, F.col(order))
 
 
+def join_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL matches NULL; the right side brings its other columns."""
+    other = {k: f"_right_{k}" for k in keys}
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(r)) for k, r in other.items()])
+    return left.join(right.withColumnsRenamed(other), same, how).drop(*other.values())
+
+
 def _cells_before(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -49,8 +58,7 @@ def positions(df: DataFrame, by: Sequence[str], order: Sequence, cell: Column |
     )
     local = Window.partitionBy(*by, "_cell").orderBy(*order)
     return (
-        keyed.withColumn("_rn", F.row_number().over(local))
-        .join(starts, [*by, "_cell"], "left")
+        join_safe(keyed.withColumn("_rn", F.row_number().over(local)), starts, [*by, "_cell"])
         .withColumn(out, F.col("_start") + F.col("_rn") - 1)
         .select(*df.columns, out)
     )
@@ -132,11 +140,9 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence, aggs: dict[str, t
             return here + F.coalesce(carry, F.lit(0))
         return F.coalesce(here + carry, here, carry)
 
-    return (
-        keyed.select("*", *[plain[k](c).over(local).alias(f"_l_{n}") for n, (k, c) in aggs.items()])
-        .join(carried, [*by, "_cell"], "left")
-        .select(*df.columns, *[merge(n, k, c).alias(n) for n, (k, c) in aggs.items()])
-    )
+    here = keyed.select("*", *[plain[k](c).over(local).alias(f"_l_{n}") for n, (k, c) in aggs.items()])
+    return (join_safe(here, carried, [*by, "_cell"])
+            .select(*df.columns, *[merge(n, k, c).alias(n) for n, (k, c) in aggs.items()]))
 
 
 # A term decayed below this share of its weight no longer changes a double.
@@ -208,7 +214,7 @@ def affine_scan(df: DataFrame, by: Sequence[str], a: str, b: str, out: str, pos:
     else:
         states = _replay(pairs.withColumn("_in", F.lit(0.0)), by, "_a", "_b", "_state", block)
     incoming = states.select(*by, (F.col(block) + 1).alias(block), F.col("_state").alias("_in"))
-    ready = blocked.join(incoming, [*by, block], "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
+    ready = join_safe(blocked, incoming, [*by, block]).withColumn("_in", F.coalesce("_in", F.lit(0.0)))
     outputs = [out, before] if before else [out]
     return _replay(ready, [*by, block], a, b, out, pos, before).select(*df.columns, *outputs)
 

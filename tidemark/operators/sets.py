@@ -40,16 +40,23 @@ def _stamp(df: DataFrame, order: Sequence[str | Column]) -> Column:
     return F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
 
 
+def _picked(df: DataFrame, keys: Sequence[str], choose, order: Sequence[str | Column]) -> DataFrame:
+    """Keys stay outside the chosen row, so that filters on them reach the scan."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    picked = df.groupBy(*keys).agg(choose(F.struct(*rest), _stamp(df, order)).alias("_row"))
+    return picked.select(*[c if c in keys else F.col(f"_row.{c}") for c in df.columns])
+
+
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key: the greatest by ``order``, which should be total."""
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), _stamp(df, order)).alias("_row"))
-    return picked.select("_row.*")
+    return _picked(df, keys, F.max_by, order)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key: the least by ``order``, which should be total."""
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), _stamp(df, order)).alias("_row"))
-    return picked.select("_row.*")
+    return _picked(df, keys, F.min_by, order)
 
 
 def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import clip, micros, ratio
-from tidemark.operators.ordered import cell_for, positions, running, with_neighbours
+from tidemark.operators.ordered import cell_for, join_safe, positions, running, with_neighbours
 from tidemark.operators.ranking import ordinal_rank
 from tidemark.schemas import require_columns
 
@@ -97,7 +97,8 @@ def rolling_days(df: DataFrame, column: str, days: int, agg: str = "sum", by: st
     )
     total, count = F.sum("_s").over(w), F.sum("_k").over(w)
     windowed = daily.select(by, date, (total if agg == "sum" else ratio(total, count)).alias(name))
-    return df.join(windowed, [by, date], "left").select(*df.columns, name)
+    # A row without a date lies in no window.
+    return join_safe(df, windowed.filter(F.col(date).isNotNull()), [by, date]).select(*df.columns, name)
 
 
 def rolling_daily(df: DataFrame, column: str, spans: dict[str, int], by: str = "symbol",
@@ -112,26 +113,34 @@ def rolling_daily(df: DataFrame, column: str, spans: dict[str, int], by: str = "
                                      for n, d in spans.items()])
 
 
+# A span is cut into so many cells; it divides a day's microseconds.
+SPAN_CELLS = 512
+
+
 def _rolling_span(df: DataFrame, column: str, span: int, agg: str, by: str, ts: str, out: str) -> DataFrame:
-    """Timestamp version: difference of two running totals.
+    """Timestamp version: what the span covers of its first cell, the whole cells between, and of the row's own cell.
 
-    Each row is placed on the time line twice, as data at its own time and as a
-    probe, so the running total (split over time cells) answers "total up to t".
+    Nothing is subtracted, so neither huge nor infinite values outside a row's span touch its result. A row is placed twice
+    in the cells of its key: at its own time, and a span later, where it drops out of the windows of the rows met there.
     """
-    def up_to(d: DataFrame, shift: int, tag: str) -> DataFrame:
-        data = d.select(F.col(by), micros(ts).alias("_t"), F.col(column).cast("double").alias("_x"),
-                        F.lit(0).alias("_probe"))
-        payload = F.struct(*d.columns).alias("_row")
-        probes = d.select(F.col(by), (micros(ts) - shift).alias("_t"), F.lit(1).alias("_probe"), payload)
-        line = data.unionByName(probes, allowMissingColumns=True)
-        cell = F.floor(F.col("_t") / F.lit(60_000_000))
-        totals = running(line, [by], ["_t", "_probe"], {f"_s{tag}": ("sum", "_x"), f"_k{tag}": ("count", "_x")}, cell)
-        return totals.filter("_probe = 1").select("_row.*", F.coalesce(f"_s{tag}", F.lit(0.0)).alias(f"_s{tag}"),
-                                                  F.col(f"_k{tag}"))
-
-    both = up_to(up_to(df, 0, "1"), span, "0")
-    total, count = F.col("_s1") - F.col("_s0"), F.col("_k1") - F.col("_k0")
-    return both.select(*df.columns, (total if agg == "sum" else ratio(total, count)).alias(out))
+    size = span // SPAN_CELLS
+    at, cell = micros(ts), F.floor(micros(ts) / F.lit(size)).cast("long")
+    value = F.col(column).cast("double")
+    own = df.select(F.col(by), at.alias("_t"), cell.alias("_cell"), value.alias("_x"), F.struct(*df.columns).alias("_row"))
+    gone = df.filter(F.col(ts).isNotNull()).select(F.col(by), (at + span).alias("_t"), (cell + SPAN_CELLS).alias("_cell"), value.alias("_gone"))
+    line = own.unionByName(gone, allowMissingColumns=True)
+    here = Window.partitionBy(by, "_cell").orderBy("_t")
+    upto, after = here.rangeBetween(Window.unboundedPreceding, 0), here.rangeBetween(1, Window.unboundedFollowing)
+    ends = line.select(by, "_cell", "_row", F.sum("_x").over(upto).alias("_s1"), F.count("_x").over(upto).alias("_k1"),
+                       F.sum("_gone").over(after).alias("_s2"), F.count("_gone").over(after).alias("_k2")).filter("_row is not null")
+    between = Window.partitionBy(by).orderBy("_cell").rangeBetween(-(SPAN_CELLS - 1), -1)
+    cells = (df.groupBy(F.col(by), cell.alias("_cell")).agg(F.sum(value).alias("_s"), F.count(column).alias("_k"))
+             .select(by, "_cell", F.sum("_s").over(between).alias("_s3"), F.sum("_k").over(between).alias("_k3")))
+    both = join_safe(ends, cells, [by, "_cell"])
+    parts = [F.coalesce(F.col(c), F.lit(0.0)) for c in ("_s1", "_s2", "_s3")]
+    total, count = parts[0] + parts[1] + parts[2], F.col("_k1") + F.col("_k2") + F.coalesce("_k3", F.lit(0))
+    result = F.when((count > 0) & F.col(f"_row.{ts}").isNotNull(), total if agg == "sum" else total / count)
+    return both.select("_row.*", result.alias(out))
 
 
 def trailing_zscore(df: DataFrame, value_col: str, by: str = "symbol", time_col: str = "ts_available",
@@ -152,7 +161,7 @@ def trailing_zscore(df: DataFrame, value_col: str, by: str = "symbol", time_col:
         # Running sums of deviations from the key's mean keep their digits.
         centre = df.groupBy(by).agg(F.avg(value_col).alias("_c"))
         centred = (
-            df.join(centre, by).withColumn("_d", F.col(value_col) - F.col("_c"))
+            join_safe(df, centre, [by]).withColumn("_d", F.col(value_col) - F.col("_c"))
             .withColumn("_d2", F.col("_d") * F.col("_d"))
         )
         sums = running(centred, [by], [time_col, *tie],

@@ -41,7 +41,10 @@ def study_table(panel: DataFrame, features: Sequence[str], horizons: Sequence[in
     means = rows.groupBy(*key, period, "quantile").agg(F.avg("y").alias("mean_return"))
     long_short = cumulative_drawdown(spread_by_period(means, q, period, key), "spread", period, key)
     spread = spread_summary(long_short, 252.0 / F.col("horizon"), key)
-    return ic_summary(ic_by_period(rows, "x", "y", period, key), key).join(spread, key)
+    found = ic_summary(ic_by_period(rows, "x", "y", period, key), key).join(spread, key, "full")
+    # A feature and horizon without a usable period shows as a row of no periods.
+    wanted = panel.sparkSession.createDataFrame([(f, h) for h in horizons for f in features], "feature string, horizon int")
+    return wanted.join(found, key, "left").fillna(0, ["n_ic_periods"])
 
 
 def regression_table(panel: DataFrame, models: dict[str, Sequence[str]], horizons: Sequence[int],

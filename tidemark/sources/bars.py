@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -11,28 +12,34 @@ from tidemark.schemas import BAR, conform, require_columns
 CSV_COLUMNS = ["symbol", "timestamp", "open", "high", "low", "close", "volume"]
 
 
-def _csv_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    """Column names of a CSV, from one line."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    if not lines:
+def _headers(spark: SparkSession, path: str, names: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by header, a header being a line that holds exactly ``names`` in any order; a file without one is an error."""
+    told = F.transform(F.split("value", ","), F.trim)
+    wanted = F.array(*[F.lit(n) for n in sorted(names)])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.when(F.sort_array(told) == wanted, told).alias("header"))
+    found = lines.groupBy("file").agg(F.collect_set("header").alias("headers")).collect()
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        if len(row["headers"]) != 1:
+            raise ValueError(f"CSV header must hold exactly {names}: {row['file']}")
+        out.setdefault(tuple(row["headers"][0]), []).append(row["file"])
+    if not out:
         raise ValueError(f"{path} is empty")
-    return [c.strip() for c in lines[0]["value"].split(sep)]
+    return out
 
 
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bars from a CSV whose header holds exactly the seven columns, in any order.
+    """Bars from CSV files whose headers hold exactly the seven columns, each file in an order of its own.
 
     Values are read as text by name and cast strictly, so a bad date or number
     fails the job instead of turning into NULL. Blank lines are skipped.
     """
-    header = _csv_header(spark, path)
-    if sorted(header) != sorted(CSV_COLUMNS):
-        raise ValueError(f"CSV header must hold exactly {CSV_COLUMNS}, got {header}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = (
-        spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    )
+    parts = []
+    for header, files in sorted(_headers(spark, path, CSV_COLUMNS).items()):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        parts.append(spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+                     .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(files))
+    rows = reduce(DataFrame.unionByName, parts)
     day = F.when(F.col("timestamp").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.to_date("timestamp", "yyyy-MM-dd")) \
         .otherwise(F.raise_error(F.concat(F.lit("bad date: "), F.coalesce("timestamp", F.lit("NULL")))).cast("date"))
     return rows.select(
@@ -46,7 +53,7 @@ def read_price_dir(spark: SparkSession, folder: str, pattern: str = "*_1d.csv")
     schema = T.StructType([
         T.StructField("ts", T.TimestampType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")],
         T.StructField("volume", T.DoubleType())])
-    files = spark.read.schema(schema).option("header", True).option("enforceSchema", False) \
+    files = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST") \
         .option("pathGlobFilter", pattern).csv(folder)
     symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^([^_]+)_", 1)
     named = files.select(symbol.alias("symbol"), F.to_date("ts").alias("date"), "open", "high", "low", "close", "volume")

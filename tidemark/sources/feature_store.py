@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -111,7 +112,11 @@ class FeatureStore:
         return range_query(self.read(names), symbols, names, start, end)
 
     def feature_names(self) -> list[str]:
-        return sorted(r["feature_name"] for r in self.read().select("feature_name").distinct().collect())
+        """Names of the stored features, from the folders alone."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = {s.getPath().getName() for b in self._batches() for s in fs.listStatus(path(f"{self.folder}/batch={b:08d}"))}
+        return sorted(unquote(n.split("=", 1)[1]) for n in names if n.startswith("feature_name="))
 
     def summary(self) -> DataFrame:
         return summary(self.read())

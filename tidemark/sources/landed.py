@@ -7,12 +7,13 @@ it) next to its identifying columns, and flattens it with a fixed schema.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.columns import fiscal_month_end, lenient_date
-from tidemark.functions.vocabularies import REVENUE_TAGS, XBRL_TAGS
+from tidemark.functions.vocabularies import OTC_WORDS, REVENUE_TAGS, XBRL_TAGS
 from tidemark.operators.sets import keep_last, top_n
 
 _FACT = "struct<val:double,fy:int,fp:string,filed:string,form:string,start:string,end:string>"
@@ -163,8 +164,7 @@ def job_rows(docs: DataFrame, payload: str = "payload", keyword: str = "keyword"
         text("PositionLocationDisplay").alias("location"), lenient_date("PublicationStartDate").alias("post_date"),
         text("ApplicationCloseDate").alias("close_date"), pay("MinimumRange").alias("salary_min"),
         pay("MaximumRange").alias("salary_max"),
-        # The feed's own summary field is defined as the first 500 characters.
-        F.substring(F.coalesce(F.array_join(duties, " "), F.lit("")), 1, 500).alias("description"),
+        F.coalesce(F.array_join(duties, " "), F.lit("")).alias("description"),
         F.col(keyword).alias("keyword"))
 
 
@@ -181,19 +181,10 @@ def chart_bars(docs: DataFrame, payload: str = "payload", symbol: str = "symbol"
 
 
 def otc_column(name: str) -> str:
-    """Standard name of an OTC file column; the first rule that fits decides."""
-    low = name.lower().replace(" ", "_")
-    rules = [
-        ("trade_date", "tradedate" in low or "trade_date" in low),
-        ("share_volume", "share" in low and "quantity" in low),
-        ("trade_count", "trade" in low and "count" in low),
-        ("ticker", "symbol" in low or "ticker" in low or "issue" in low),
-        ("issue_name", "name" in low),
-        ("tier", "tier" in low),
-        ("market_makers", "market" in low and "maker" in low),
-        ("avg_price", "price" in low or "sale" in low),
-    ]
-    return next((target for target, fits in rules if fits), name)
+    """Standard name of an OTC file column, by the words its name holds; names that fit none stay."""
+    plain = re.sub(r"[^a-z]", "", name.lower())
+    fits = (target for target, choices in OTC_WORDS.items() for words in choices if all(w in plain for w in words))
+    return next(fits, name)
 
 
 def otc_weekly(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
@@ -201,8 +192,10 @@ def otc_weekly(spark: SparkSession, path: str, start: str | None = None, end: st
     """Weekly OTC file, tab- or comma-separated, with standard column names."""
     first = spark.read.text(path).limit(1).collect()
     sep = "\t" if first and "\t" in first[0]["value"] else ","
-    raw = spark.read.option("header", True).option("sep", sep).option("nullValue", "NULL") \
-        .option("emptyValue", "").csv(path)
+    options = {"header": True, "sep": sep, "nullValue": "NULL", "emptyValue": ""}
+    named = spark.read.options(**options).csv(path).schema
+    # With a schema given and not enforced, a file with another header fails the job instead of shifting columns.
+    raw = spark.read.options(**options, enforceSchema=False, mode="FAILFAST").schema(named).csv(path)
     blank = [F.when(F.trim(F.col(f"`{c}`")) == "", None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns]
     taken: set[str] = set()
     names = []
