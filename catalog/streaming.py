@@ -7,7 +7,7 @@ calendar whatever the size of the line items behind them.
 from pyspark.sql import functions as F
 
 from catalog import base
-from catalog.base import bars, query, shared_folder
+from catalog.base import bars, fills, query, shared_folder
 from catalog.indicators import ORDERED, ema_cte
 from tidemark.streaming import jobs as J
 
@@ -47,24 +47,23 @@ def x2(spark, sf):
 
 
 base.SQL_VIEWS.update({
-    "bar_tape": """select symbol, date::timestamp ts, close price, case when close>open then 1+volume%50 else -(1+volume%50) end::double signed,
-       row_number() over (partition by symbol order by date) rn from bars""",
-    "bar_book": """select symbol, rn, ts, price, signed, 0.0::double qb, 0.0::double ab, signed qa, price aa from bar_tape where rn=1
-       union all select t.symbol, t.rn, t.ts, t.price, t.signed, b.qa, b.aa, b.qa+t.signed,
+    "hour_tape": """select symbol, date_trunc('hour', ts) ts, order_id, price, case when side='Buy' then quantity else -quantity end::double signed,
+       row_number() over (partition by symbol order by date_trunc('hour', ts), order_id) rn from fills""",
+    "stream_book": """select symbol, rn, ts, order_id, price, signed, 0.0::double qb, 0.0::double ab, signed qa, price aa from hour_tape where rn=1
+       union all select t.symbol, t.rn, t.ts, t.order_id, t.price, t.signed, b.qa, b.aa, b.qa+t.signed,
        case when b.qa+t.signed=0 then 0 when b.qa=0 then t.price when sign(b.qa)=sign(t.signed)
          then (b.aa*abs(b.qa)+t.price*abs(t.signed))/abs(b.qa+t.signed)
          when sign(b.qa+t.signed)<>sign(b.qa) then t.price else b.aa end
-       from bar_book b join bar_tape t on t.symbol=b.symbol and t.rn=b.rn+1""",
+       from stream_book b join hour_tape t on t.symbol=b.symbol and t.rn=b.rn+1""",
 })
-base.DEPENDS.update({"bar_tape": ("bars",), "bar_book": ("bar_tape",)})
+base.DEPENDS.update({"hour_tape": ("fills",), "stream_book": ("hour_tape",)})
 
 
-@query("x3_stream_positions", """select symbol, ts, qa quantity, case when qa<>0 then aa end avg_entry,
-    case when qb=0 or sign(qb)=sign(signed) then 0 else (price-ab)*least(abs(signed),abs(qb))*sign(qb) end realized from bar_book""",
-       ("bar_book",), {"avg_entry": 4, "realized": 4})
+@query("x3_stream_positions", """select symbol, ts, order_id, qa quantity, case when qa<>0 then aa end avg_entry,
+    case when qb=0 or sign(qb)=sign(signed) then 0 else (price-ab)*least(abs(signed),abs(qb))*sign(qb) end realized, 0::bigint late_dropped from stream_book""",
+       ("stream_book",), {"avg_entry": 4, "realized": 4})
 def x3(spark, sf):
-    b = bars(spark, sf)
-    fills = b.select("symbol", F.col("date").cast("timestamp").alias("ts"), F.col("close").alias("price"),
-                     F.when(F.col("close") > F.col("open"), "Buy").otherwise("Sell").alias("side"),
-                     (1 + F.col("volume") % 50).alias("quantity"))
-    return _replay(spark, fills, J.stream_positions, "positions").select("symbol", "ts", "quantity", "avg_entry", "realized")
+    # Hours instead of instants: many fills of a symbol share a time.
+    hourly = fills(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
+    out = _replay(spark, hourly, J.stream_positions, "positions")
+    return out.select("symbol", "ts", "order_id", "quantity", "avg_entry", "realized", "late_dropped")

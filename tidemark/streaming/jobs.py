@@ -17,9 +17,11 @@ def _run(sdf: DataFrame, processor: OrderedProcessor) -> DataFrame:
     sdf.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     schema = T.StructType([
         T.StructField(processor.key, T.StringType()), T.StructField(processor.ts, T.TimestampType()),
+        *([T.StructField(processor.seq, T.LongType())] if processor.seq else []),
         *[T.StructField(c, _TYPES.get(c, T.DoubleType())) for c in processor.outputs],
         T.StructField("late_dropped", T.LongType())])
-    needed = sdf.select(processor.key, processor.ts, *processor.columns)
+    own = [F.col(processor.seq).cast("long").alias(processor.seq)] if processor.seq else []
+    needed = sdf.select(processor.key, processor.ts, *own, *processor.columns)
     return needed.groupBy(processor.key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
@@ -40,7 +42,11 @@ def stream_hysteresis(sdf: DataFrame, lookback_days: int = 63, ema_period: int =
     return out.filter("momentum is not null")
 
 
-def stream_positions(sdf: DataFrame, key: str = "symbol", ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Quantity, average entry and realised P&L after each fill of a stream."""
+def stream_positions(sdf: DataFrame, key: str = "symbol", ts: str = "ts", delay: str = "1 day",
+                     seq: str | None = "order_id") -> DataFrame:
+    """Quantity, average entry and realised P&L after each fill of a stream.
+
+    Fills of one instant are told apart and ordered by ``seq`` (None: a key has one fill per instant).
+    """
     signed = F.when(F.col("side") == "Buy", F.col("quantity")).otherwise(-F.col("quantity")).cast("double")
-    return _run(sdf.withColumn("signed", signed).withWatermark(ts, delay), PositionProcessor(key, ts))
+    return _run(sdf.withColumn("signed", signed).withWatermark(ts, delay), PositionProcessor(key, ts, seq))

@@ -1,8 +1,9 @@
 """Per-key state of the streaming operators.
 
 Each processor keeps a few numbers per symbol. A micro-batch's rows of a key are
-sorted by time; rows not newer than the last one processed are late, dropped and
-counted in the output, so a replay in order equals the batch operators.
+sorted by time and, where the stream has one, sequence; rows not behind the last
+(time, sequence) processed are late or repeated, dropped and counted in the output,
+so a replay in order equals the batch operators also where rows share an instant.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 STATE = T.StructType([
     T.StructField("last_ts", T.TimestampType()),
+    T.StructField("last_seq", T.LongType()),
     T.StructField("dropped", T.LongType()),
     T.StructField("numbers", T.ArrayType(T.DoubleType())),
     T.StructField("window", T.ArrayType(T.DoubleType())),
@@ -25,8 +27,8 @@ STATE = T.StructType([
 class OrderedProcessor(StatefulProcessor):
     """Feeds a key's rows in time order to ``step`` and stores its state."""
 
-    def __init__(self, key: str, ts: str, columns: list[str], outputs: list[str], initial: list[float]):
-        self.key, self.ts, self.columns, self.outputs, self.initial = key, ts, columns, outputs, initial
+    def __init__(self, key: str, ts: str, columns: list[str], outputs: list[str], initial: list[float], seq: str | None = None):
+        self.key, self.ts, self.columns, self.outputs, self.initial, self.seq = key, ts, columns, outputs, initial, seq
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("track", STATE)
@@ -36,21 +38,23 @@ class OrderedProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
-        batch = batch.sort_values([self.ts, *self.columns], kind="stable")
+        own = [self.seq] if self.seq else []
+        batch = batch.sort_values([self.ts, *own, *self.columns], kind="stable")
         stored = self.state.get() if self.state.exists() else None
-        last, dropped, numbers, window = stored or (None, 0, list(self.initial), [])
+        at, seq, dropped, numbers, window = stored or (None, 0, 0, list(self.initial), [])
         numbers, window = list(numbers), list(window)
-        last = pd.Timestamp(last).tz_localize(None) if last is not None else None
+        last = (pd.Timestamp(at).tz_localize(None), seq) if at is not None else None
+        places = batch[self.seq].tolist() if self.seq else [0] * len(batch)
         out = []
-        for ts, *row in batch[[self.ts, *self.columns]].itertuples(index=False, name=None):
-            if last is not None and ts <= last:
+        for place, (ts, *row) in zip(places, batch[[self.ts, *self.columns]].itertuples(index=False, name=None)):
+            if last is not None and (ts, place) <= last:
                 dropped += 1
                 continue
-            last = ts
-            out.append((key[0], ts, *self.step(numbers, window, tuple(row)), dropped))
+            last = (ts, place)
+            out.append((key[0], ts, *([place] if self.seq else []), *self.step(numbers, window, tuple(row)), dropped))
         if last is not None:
-            self.state.update((last.to_pydatetime(), dropped, numbers, window))
-        yield pd.DataFrame(out, columns=[self.key, self.ts, *self.outputs, "late_dropped"])
+            self.state.update((last[0].to_pydatetime(), int(last[1]), dropped, numbers, window))
+        yield pd.DataFrame(out, columns=[self.key, self.ts, *own, *self.outputs, "late_dropped"])
 
     def close(self) -> None:
         pass
@@ -141,9 +145,9 @@ class HysteresisProcessor(OrderedProcessor):
 class PositionProcessor(OrderedProcessor):
     """Slots: quantity, average entry, realised total."""
 
-    def __init__(self, key: str, ts: str):
+    def __init__(self, key: str, ts: str, seq: str | None):
         super().__init__(key, ts, ["price", "signed"], ["quantity", "avg_entry", "realized", "realized_total"],
-                         [0.0] * 3)
+                         [0.0] * 3, seq)
 
     def step(self, s: list, window: list, row: tuple) -> tuple:
         price, signed = row
