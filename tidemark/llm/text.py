@@ -90,9 +90,10 @@ def shingles(w: Words, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarr
     """
     n = len(w.hash)
     with np.errstate(over="ignore"):
-        acc = np.zeros(max(n - k + 1, 0), np.uint64)
+        m = max(n - k + 1, 0)
+        acc = np.zeros(m, np.uint64)
         for j in range(k):
-            acc = (acc + w.hash[j:n - k + 1 + j]) * _BASE
+            acc = (acc + w.hash[j:j + m]) * _BASE
             acc ^= acc >> np.uint64(31)
         keep = np.flatnonzero(w.doc[:n - k + 1] == w.doc[k - 1:]) if n >= k else np.zeros(0, np.int64)
         value, doc, at = mix(acc[keep]), w.doc[keep], keep
