@@ -11,7 +11,7 @@ OTHER = "Maria buys 12 apples for 5 dollars each and sells them again. How many
 def test_templates(spark):
     row = spark.createDataFrame([("Mr Smith paid 1,250.50 dollars. The shop kept 3kg of USB cables",)], "t string")
     got = row.select(F.transform(tokens(F.col("t")), template).alias("w")).first().w
-    assert got == ["mr", "<name>", "paid", "<number>", "<unit>", "the", "shop", "kept", "3kg", "of", "usb", "cables"]
+    assert got == ["mr", "<name>", "paid", "<number>", "<unit>", "the", "shop", "kept", "<number>", "of", "usb", "cables"]
 
 
 def run(spark, docs, items):
