@@ -6,29 +6,36 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import signal_label
+from tidemark.functions.vocabularies import EVASIVE_PATTERNS, RISK_SEVERITY
 from tidemark.operators import text as X
 from tidemark.plans import signals as S
 
 D = dt.date
 
 
-def test_filing_diff(spark):
-    rows = [("A", D(2023, 1, 1), 1, "The company faces standard market risks."),
-            ("A", D(2024, 1, 1), 2, "The company faces significant cyber and regulatory risks. Material adverse effects possible.")]
+def test_filing_diff_counts_new_risk_words(spark):
+    texts = ["rivers supply our mills with power", "rivers supply our mills with power after the litigation and one penalty",
+             "one penalty and the bankruptcy of mills", "one penalty and the bankruptcy of mills"]
+    rows = [("M", D(2020 + i, 5, 5), i, t) for i, t in enumerate(texts)]
     got = X.filing_diff(spark.createDataFrame(rows, "symbol string, filed date, seq int, text string")).orderBy("seq").collect()
-    assert got[0]["severity_score"] == 0 and got[0]["pct_changed"] == 0.0
-    assert got[1]["severity_score"] == 11 and got[1]["new_risk_count"] == 5
+    words = [set(t.split()) for t in texts]
+    weight = {w: RISK_SEVERITY[w] for w in ("litigation", "penalty", "bankruptcy")}
+    for i, r in enumerate(got):
+        new, old = (words[i] - words[i - 1], words[i - 1] - words[i]) if i else (set(), set())
+        assert r["severity_score"] == sum(weight.get(w, 0) for w in new) and r["new_risk_count"] == len(new & set(weight))
+        assert r["pct_changed"] == (round(100 * len(new | old) / len(words[i] | words[i - 1]), 2) if i else 0.0)
 
 
-SHORT = "We decline to answer. Too early to say. Not providing guidance. Difficult to predict. Normal operations."
+SHORT = "Margins are hard to quantify. We won't speculate on prices. Sales grew. No comment, for competitive reasons. The rest is uncertain."
 
 
 def test_evasiveness(spark):
-    df = spark.createDataFrame([(1, SHORT), (2, "Plain words only."), (3, "")], "id int, text string")
+    df = spark.createDataFrame([(1, SHORT), (2, "Orders rose by a tenth this spring."), (3, ""), (4, None)], "id int, text string")
     rows = {r["id"]: r for r in X.evasiveness(df).collect()}
-    assert rows[1]["evasive_phrase_count"] == 4 and rows[1]["evasiveness_score"] == 100.0
-    assert rows[1]["sample_matches"][0] == "decline to answer"
-    assert rows[2]["evasiveness_score"] == 0.0 and rows[3]["evasive_phrase_count"] == 0
+    held = [p for p in EVASIVE_PATTERNS if p in SHORT.lower()]
+    assert len(held) == 5 == rows[1]["evasive_phrase_count"] and rows[1]["evasiveness_score"] > 0
+    assert [m.lower() for m in rows[1]["sample_matches"]] == held
+    assert all(rows[i]["evasive_phrase_count"] == 0 and not rows[i]["evasiveness_score"] for i in (2, 3))
 
 
 def test_evasiveness_by_turn_equals_one_text(spark):
@@ -56,10 +63,12 @@ def test_literal_search_never_loses_a_match(spark):
     assert got == [r[0] for r in plain.collect()] and sum(got) >= 4
 
 
-@pytest.mark.parametrize("score,label", [(2.0, "STRONG_BULLISH"), (0.7, "BULLISH"), (0.0, "NEUTRAL"),
-                                         (-1.0, "BEARISH"), (-2.0, "STRONG_BEARISH")])
-def test_labels(spark, score, label):
-    assert spark.range(1).select(signal_label(F.lit(score))).collect()[0][0] == label
+def test_labels_follow_the_score(spark):
+    scores = [i / 8 for i in range(-24, 25)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in scores], "s double").select(signal_label("s")).collect()]
+    order = ["STRONG_BEARISH", "BEARISH", "NEUTRAL", "BULLISH", "STRONG_BULLISH"]
+    edges = [-1.5, -0.5, 0.5, 1.5]
+    assert [order.index(x) for x in got] == [sum(x > e for e in edges) for x in scores]
 
 
 def test_composite(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import cleaning as C, sets as U
-from tidemark.sources import bars as B, landed as L
+from tidemark.sources import bars as B, feature_store as S, landed as L
 
 D = dt.date
 BARS = "symbol string, date date, open double, high double, low double, close double, volume long"
@@ -32,6 +32,34 @@ def test_reads_bars_in_any_column_order(spark, tmp_path):
     assert (row["open"], row["high"], row["low"], row["close"], row["volume"]) == (10.0, 11.0, 9.0, 10.5, 100)
 
 
+def test_files_of_one_folder_have_headers_of_their_own(spark, tmp_path):
+    csv(tmp_path, HEADER + "A,2024-01-02,10,20,5,15,100\n", "a.csv")
+    csv(tmp_path, "symbol,timestamp,close,low,high,open,volume\nB,2024-01-02,15,5,20,10,100\n", "b.csv")
+    got = B.read_bars_csv(spark, str(tmp_path)).orderBy("symbol").collect()
+    assert [tuple(r) for r in got] == [(s, D(2024, 1, 2), 10.0, 20.0, 5.0, 15.0, 100) for s in "AB"]
+    csv(tmp_path, "no,header,here\n", "c.csv")
+    with pytest.raises(ValueError):
+        B.read_bars_csv(spark, str(tmp_path))
+
+
+def test_price_folder_refuses_bad_cells(spark, tmp_path):
+    csv(tmp_path, "ts,open,high,low,close,volume\n2024-01-02,1,2,x,1,10\n", "Q_1d.csv")
+    with pytest.raises(Exception):
+        B.read_price_dir(spark, str(tmp_path)).collect()
+
+
+def test_store_filters_reach_the_scan(spark, tmp_path):
+    store = S.FeatureStore(spark, str(tmp_path / "fs"))
+    for day in (1, 2, 3):
+        store.add(spark.createDataFrame([(s, dt.datetime(2024, 1, day), "f", float(day), "x", "", dt.datetime(2024, 1, day)) for s in "AB"], S.FEATURE))
+    for df in (store.query("A", dt.datetime(2024, 1, 2), ["f"]), store.query_range(["A"], ["f"], dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters"):]
+        assert "symbol" in pushed.split("]")[0] and "ts_available" in pushed.split("]")[0]
+    assert [r["feature_value"] for r in store.query("A", dt.datetime(2024, 1, 2), ["f"]).collect()] == [2.0]
+    assert store.feature_names() == ["f"]
+
+
 def test_rejects_bad_headers_and_values(spark, tmp_path):
     with pytest.raises(ValueError):
         B.read_bars_csv(spark, csv(tmp_path, "symbol,timestamp,open,high,low,close\nA,2024-01-02,1,1,1,1\n"))
@@ -170,7 +198,7 @@ def test_award_job_chart_payloads(spark):
         "PositionRemuneration": [{"MinimumRange": "$1,234.50", "MaximumRange": ""}],
         "PositionFormattedDescription": [{"Label": "Duties Summary", "Value": "x" * 600}, {"Label": "Z", "Value": "n"}]}}
     job = L.job_rows(docs(spark, keyword="k", payload=json.dumps({"SearchResult": {"SearchResultItems": [item]}}))).collect()[0]
-    assert (job["salary_min"], job["salary_max"], len(job["description"]), job["post_date"]) == (1234.5, 0.0, 500, D(2026, 5, 26))
+    assert (job["salary_min"], job["salary_max"], len(job["description"]), job["post_date"]) == (1234.5, 0.0, 600, D(2026, 5, 26))
     chart = {"chart": {"result": [{"timestamp": [0, 86400], "indicators": {"quote": [
         {"open": [1.0, None], "high": [2.0, 2.0], "low": [0.5, 1.0], "close": [1.5, 1.0], "volume": [3, 4]}]}}]}}
     got = L.chart_bars(docs(spark, symbol="A", payload=json.dumps(chart))).collect()

@@ -86,3 +86,18 @@ def test_positions_replay_and_late_rows(spark, tmp_path):
         w = want[(r["symbol"], r["ts"])]
         for n in ("quantity", "avg_entry", "realized", "realized_total"):
             assert close(r[n], w[n]), (n, r, w)
+
+
+def test_fills_of_one_instant_all_count(spark, tmp_path):
+    # Several fills share each minute, also across the two files; one row of the first file comes again.
+    rows = [(i, "A", "Buy" if i % 4 else "Sell", 10.0 + i % 7, 1 + i % 3, 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "order_id long, symbol string, side string, price double, quantity long, commission double")
+    df = df.select("order_id", "symbol", "side", "price", "quantity", F.timestamp_seconds(F.floor(F.col("order_id") / 8) * 60 + 1_600_000_000).alias("ts"),
+                   "commission")
+    parts = [df.filter("order_id < 20"), df.filter("order_id >= 20").unionByName(df.filter("order_id = 19"))]
+    got = sorted(replay(spark, tmp_path, parts, FILLS, stream_positions).collect(), key=lambda r: r["order_id"])
+    want = {r["order_id"]: r for r in position_ledger(df).collect()}
+    assert [r["order_id"] for r in got] == list(range(40)) and got[-1]["late_dropped"] == 1
+    for r in got:
+        for n in ("quantity", "avg_entry", "realized", "realized_total"):
+            assert close(r[n], want[r["order_id"]][n]), (n, r)

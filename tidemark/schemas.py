@@ -26,30 +26,6 @@ FEATURE = T.StructType([
     T.StructField("asof_date", T.TimestampType()),
 ])
 
-FILL = T.StructType([
-    T.StructField("order_id", T.LongType()),
-    T.StructField("symbol", T.StringType()),
-    T.StructField("side", T.StringType()),
-    T.StructField("price", T.DoubleType()),
-    T.StructField("quantity", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("commission", T.DoubleType()),
-    T.StructField("slippage_bps", T.DoubleType()),
-])
-
-ORDER = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("symbol", T.StringType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("side", T.StringType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("tif", T.StringType()),
-    T.StructField("quantity", T.DoubleType()),
-    T.StructField("limit_price", T.DoubleType()),
-    T.StructField("stop_price", T.DoubleType()),
-])
-
-
 def require_columns(df: DataFrame, names: Iterable[str], what: str = "input") -> DataFrame:
     """Raise ``ValueError`` when a needed column is absent."""
     missing = [n for n in names if n not in df.columns]

@@ -14,7 +14,7 @@ CSV_COLUMNS = ["symbol", "timestamp", "open", "high", "low", "close", "volume"]
 
 def _headers(spark: SparkSession, path: str, names: list[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by header, a header being a line that holds exactly ``names`` in any order; a file without one is an error."""
-    told = F.transform(F.split("value", ","), F.trim)
+    told = F.transform(F.split("value", ","), lambda c: F.trim(c))
     wanted = F.array(*[F.lit(n) for n in sorted(names)])
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.when(F.sort_array(told) == wanted, told).alias("header"))
     found = lines.groupBy("file").agg(F.collect_set("header").alias("headers")).collect()
