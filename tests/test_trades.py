@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import trades as T
+from tidemark.operators.trades import position_ledger
+from tidemark.session import scope
 
 DAY = dt.timedelta(days=1)
 T0 = dt.datetime(2024, 1, 1)
@@ -142,3 +144,16 @@ def test_grouped_summary(spark):
     rows = {r["account"]: r for r in T.performance_summary(c, f, 100.0, ["account"]).collect()}
     assert rows["x"]["win_rate_pct"] == 100.0 and rows["y"]["win_rate_pct"] == 0.0
     assert rows["x"]["total_return_pct"] == pytest.approx(20.0)
+
+
+def test_book_runs_in_the_jvm_and_scopes_release_what_it_kept(spark):
+    rows = [(i, f"S{i % 2}", "Buy" if i % 3 else "Sell", 10.0 + i % 5, 1 + i % 4, dt.datetime(2024, 1, 1, i // 60, i % 60), 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "order_id long, symbol string, side string, price double, quantity long, ts timestamp, commission double")
+    caches = spark._jsparkSession.sharedState().cacheManager()
+    spark.catalog.clearCache()
+    with scope():
+        book = position_ledger(df)
+        plan = book._jdf.queryExecution().executedPlan().toString()
+        assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+        assert book.count() == 200 and not caches.isEmpty()
+    assert caches.isEmpty()

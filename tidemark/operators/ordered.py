@@ -188,7 +188,7 @@ def decay_scan(df: DataFrame, by: Sequence[str], specs: dict[str, tuple[Column,
 
 
 def affine_scan(df: DataFrame, by: Sequence[str], a: str, b: str, out: str, pos: str = "_pos",
-                size: int = 4096, levels: int = 2, before: str | None = None) -> DataFrame:
+                size: int = 512, levels: int = 3, before: str | None = None) -> DataFrame:
     """``s[t] = a[t] * s[t-1] + b[t]`` with a coefficient per row, starting from 0.
 
     Affine maps compose, so a block of rows collapses to one ``(a, b)`` pair.
@@ -221,19 +221,18 @@ def affine_scan(df: DataFrame, by: Sequence[str], a: str, b: str, out: str, pos:
 
 def _replay(df: DataFrame, keys: Sequence[str], a: str, b: str, out: str, pos: str,
             before: str | None = None) -> DataFrame:
-    """Walk one block in order from its incoming state ``_in``."""
-    names = [out, before] if before else [out]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-
-    def walk(block):
-        block = block.sort_values(pos)
-        state = block["_in"].iloc[0]
-        past, states = [], []
-        for x, y in zip(block[a].to_numpy(), block[b].to_numpy()):
-            past.append(state)
-            state = x * state + y
-            states.append(state)
-        added = {out: states, before: past} if before else {out: states}
-        return block.assign(**added)
-
-    return df.groupBy(*keys).applyInPandas(walk, schema)
+    """Walk one block in order from its incoming state ``_in``; the block is an array while that lasts."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("p"), F.struct(*df.columns).alias("row"))))
+    packed = df.groupBy(*keys).agg(rows.alias("_rows"), F.first("_in").alias("_start"))
+    none = F.array().cast("array<double>")
+
+    def step(acc: Column, r: Column) -> Column:
+        state = r["row"][a] * acc["state"] + r["row"][b]
+        return F.struct(state.alias("state"), F.concat(acc["past"], F.array(acc["state"])).alias("past"),
+                        F.concat(acc["states"], F.array(state)).alias("states"))
+
+    walked = F.aggregate("_rows", F.struct(F.col("_start").cast("double").alias("state"), none.alias("past"), none.alias("states")), step)
+    zipped = F.arrays_zip(F.col("_rows.row").alias("row"), F.col("_w.past").alias("past"), F.col("_w.states").alias("state"))
+    flat = packed.withColumn("_w", walked).select(F.inline(zipped))
+    added = [F.col("state").alias(out), *([F.col("past").alias(before)] if before else [])]
+    return flat.select("row.*", *added)

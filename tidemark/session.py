@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for checkpoints and scratch tables.
 
     The cluster's own ``spark.checkpoint.dir`` wins. Only a local session with
     none set gets a scratch folder; on a cluster a missing folder is an error,
@@ -44,12 +45,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope():
+    """Releases what jobs kept inside it, and nothing else, when it closes.
+
+    ``with scope(): study = signal_study(...); study["meta"].write...`` leaves no cache entry of the study behind, while
+    tables the caller has cached stay. Scopes nest; what was kept belongs to the innermost one.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            df.unpersist()
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Keep an intermediate that several branches of one job read.
 
     Two-pass operators (ranks, running totals over cells) read their input twice;
     stacked, they would recompute it exponentially often. Kept rows spill to disk
-    and are recomputed from lineage when an executor is lost. Release them with
-    ``spark.catalog.clearCache()``.
+    and are recomputed from lineage when an executor is lost. A ``scope`` releases
+    them; outside of one they stay until ``spark.catalog.clearCache()``.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _scopes:
+        _scopes[-1].append(kept)
+    return kept
