@@ -8,6 +8,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.licenses import DRIFT, GRAM, LEAST_ALIKE, LEAST_VOTES, NOTICES, PHRASES
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,7 +52,38 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op10_licenses")
+LICENSE_ROWS = ", ".join(
+    [f"({i}, '{label}', '{body}', 'phrase', 2)" for i, (body, label) in enumerate(PHRASES)]
+    + [f"({i}, '{label}', '{body}', 'notice', {GRAM})" for i, (label, body) in enumerate(NOTICES)])
+
+
+@query("op10_licenses", rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+t as (select *, string_split(body, ' ') as tw, len(string_split(body, ' ')) as n from (values {LICENSE_ROWS}) v(template, label, body, kind, k)),
+tg as (select *, array_to_string(tw[pos + 1:pos + k], ' ') as gram from (select *, unnest(range(n - k + 1)) as pos from t)),
+g as (select doc_id, k, spot, array_to_string(ws[spot + 1:spot + k], ' ') as gram
+      from (select doc_id, ws, k, unnest(range(len(ws) - k + 1)) as spot from w, (values (2), ({GRAM})) ks(k) where len(ws) >= k)),
+h as (select doc_id, kind, template, label, body, n, pos, spot from g join tg using (k, gram)),
+d as (select doc_id, kind, template, label, body, n, spot - pos as diagonal, count(*) as votes, min(spot) as lo, max(spot) as hi, list(pos) as seen
+      from h group by all),
+places as (select doc_id, 'base' as kind, label, diagonal as start, 1.0::double as alike from d where kind = 'phrase' and votes = n - 1),
+i as (select *, sum(fresh) over (partition by doc_id, template order by diagonal) as island
+      from (select *, case when diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > {DRIFT} then 1 else 0 end as fresh
+            from d where kind = 'notice')),
+s as (select doc_id, template, label, body, n, island, min(lo - list_min(seen)) as lo, max(hi + n - list_max(seen)) as hi,
+      len(list_distinct(flatten(list(seen)))) as votes from i group by all having votes >= {LEAST_VOTES} * (n - {GRAM} + 1)),
+c as (select doc_id, label, lo as start, body, array_to_string(ws[greatest(lo, 0) + 1:hi], ' ') as own from s join w using (doc_id)),
+f as (select doc_id, 'notice' as kind, label, start, 1 - levenshtein(own, body) / greatest(length(own), length(body)) as alike from c
+      qualify alike = max(alike) over (partition by doc_id, start)),
+u as (select * from places union all select * from f),
+z as (select doc_id, count(*) filter (kind = 'base') as n_base, min(start) filter (kind = 'base') as first_word, max(start) filter (kind = 'base') as last_word,
+      array_to_string(list_sort(list_distinct(list(label) filter (kind = 'base'))), ',') as base_labels,
+      array_to_string(list_sort(list_distinct(list(label) filter (kind = 'base' or alike >= {LEAST_ALIKE}))), ',') as labels, max(alike) as score
+      from u group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score from w left join z using (doc_id)
+""")
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.licenses import license_scan
 

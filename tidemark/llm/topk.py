@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     members = written(members, f"{folder}/members")
     own = members.filter("n = 1").select("vec_id", "vec")
     count = own.count()
-    index = written(build_index(own.repartition(max(1, -(-count // SHARD)), "vec_id")), f"{folder}/index")
+    index = written(build_index(own.repartition(max(1, -(-count // SHARD)))), f"{folder}/index")
     shards = index.count()
     index = index.withColumn("shard", F.row_number().over(Window.orderBy("shard")) - 1) if shards else index.withColumn("shard", F.lit(0))
     # A query stands for all rows of its vector.
@@ -172,7 +172,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         for ids, x in _packets(batches, QUERIES):
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()])], ["ids", "x"])
 
-    packed = kinds.repartition(blocks, "class").mapInArrow(block, "ids binary, x binary")
+    packed = kinds.repartition(blocks).mapInArrow(block, "ids binary, x binary")
     # Every block of queries meets every shard: the query set against all rows.
     tasks = max(1, min(shards, 20_000))
     spread = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(shards - 1, 0))))).repartition(tasks, "shard")
