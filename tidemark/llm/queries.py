@@ -129,7 +129,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op3_ngram_jaccard")
+@query("op3_ngram_jaccard", r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[spot + 1:spot + 5], ' ') as gram
+      from (select doc_id, ws, unnest(range(greatest(len(ws) - 4, 1))) as spot from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c * 5 >= 4 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as other from documents union select r.doc_id, e.b from r join e on r.other = e.a),
+k as (select a, count(*) as n_links from e group by 1)
+select r.doc_id, min(other) as class_id, coalesce(max(n_links), 0) as n_links from r left join k on k.a = r.doc_id group by 1
+""")
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard import near_duplicates
 
