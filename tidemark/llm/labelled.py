@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.text import mix, shingles, words
 
 #: Labelled rows of label 0 and of label 1 that a fit reads at most, and characters of both together.
-PER_CLASS = (2500, 700)
-MAX_CHARS = 12_000_000
+PER_CLASS = (2000, 600)
+MAX_CHARS = 8_000_000
 
 
 def crc_mod(id_col: str, n: int) -> Column:
@@ -41,16 +41,19 @@ def distinct(rows: list[tuple[str, int]], bands: int = 8, each: int = 2) -> list
 
     A group of near copies counts once, so that what its members share is no evidence by itself.
     """
-    w = words(pa.array([t for t, _ in rows], pa.large_string()))
-    value, doc, _ = shingles(w, 5)
     least = np.full((bands * each, len(rows)), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(bands * each):
-        np.minimum.at(least[k], doc, mix(value + np.uint64(k + 1)))
+    wordless = np.zeros(len(rows), bool)
+    for at in range(0, len(rows), 100):
+        w = words(pa.array([t for t, _ in rows[at:at + 100]], pa.large_string()))
+        wordless[at:at + 100] = np.diff(w.first) == 0
+        value, doc, _ = shingles(w, 5)
+        for k in range(bands * each):
+            np.minimum.at(least[k], at + doc, mix(value + np.uint64(k + 1)))
     seen: set[tuple] = set()
     out = []
     for d, row in enumerate(rows):
         keys = {(row[1], b, *least[b * each:(b + 1) * each, d].tolist()) for b in range(bands)}
-        if seen.isdisjoint(keys) or w.first[d] == w.first[d + 1]:
+        if seen.isdisjoint(keys) or wordless[d]:
             out.append(row)
             seen |= keys
     return out

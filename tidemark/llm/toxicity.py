@@ -25,7 +25,7 @@ from tidemark.llm.text import Words, mix, runs, words
 BUCKETS = 1 << 21
 BEGINNINGS = (4, 5, 6)
 SEGMENT = 64
-TRAIN_CLEAN = 1000
+TRAIN_CLEAN = 800
 SURE = 14.0         # evidence (nats) that a feature belongs to toxic documents
 PRECISE = 0.9       # share of a feature's documents that must be toxic
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", FloatType())]))
@@ -177,11 +177,16 @@ def _tops(first: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chunks(rows: list[tuple[str, int]]) -> Iterator[Words]:
+    """Words of a hundred texts at a time, which bounds the memory of a fit."""
+    for at in range(0, len(rows), 100):
+        yield words(pa.array([t for t, _ in rows[at:at + 100]], pa.large_string()))
+
+
 def clean_counts(rows: list[tuple[str, int]], known: np.ndarray) -> list[np.ndarray]:
     """For each kind of own feature: how many of the texts hold each of the ``known`` keys."""
     out = [np.zeros(len(known)) for _ in range(1 + len(BEGINNINGS))]
-    for at in range(0, len(rows), 200):
-        w = words(pa.array([t for t, _ in rows[at:at + 200]], pa.large_string()))
+    for w in _chunks(rows):
         for total, f in zip(out, features(w)):
             place = np.minimum(np.searchsorted(known, f), len(known) - 1)
             hit = known[place] == f
@@ -190,23 +195,23 @@ def clean_counts(rows: list[tuple[str, int]], known: np.ndarray) -> list[np.ndar
     return out
 
 
-def token_labels(w: Words, own: list[np.ndarray], n: int, toxic: np.ndarray, more: list[np.ndarray], n_more: int) -> np.ndarray:
+def token_labels(word_doc: np.ndarray, own: list[np.ndarray], n: int, toxic: np.ndarray, more: list[np.ndarray], n_more: int) -> np.ndarray:
     """Toxic words of toxic documents: one of their own features (numbers below n) occurs nearly only in toxic documents.
 
     ``more`` counts the features in ``n_more`` further clean documents.
     Evidence is weighed again among the toxic documents without such a word until no more are found, so rarer
     vocabularies show beside common ones.
     """
-    marked = np.zeros(len(w.hash), bool)
+    marked = np.zeros(len(word_doc), bool)
     open_ = toxic.astype(bool)
     pairs = []
     for f in own:
-        both = np.unique(w.doc.astype(np.int64) * n + f)
+        both = np.unique(word_doc * n + f)
         pairs.append((both // n, both % n))
     while open_.any():
         weight = np.where(toxic > 0, open_, True)
         rate = (weight * toxic).sum() / (weight.sum() + n_more)
-        new = np.zeros(len(w.hash), bool)
+        new = np.zeros(len(word_doc), bool)
         for f, (doc, key), extra in zip(own, pairs, more):
             held = np.bincount(key, weights=weight[doc], minlength=n) + extra
             share = np.bincount(key, weights=(weight * toxic)[doc], minlength=n) / np.maximum(held, 1)
@@ -214,11 +219,11 @@ def token_labels(w: Words, own: list[np.ndarray], n: int, toxic: np.ndarray, mor
             evidence = held * (a * np.log(a / rate) + b * np.log(b / (1 - rate)))
             new |= ((share >= PRECISE) & (evidence >= SURE))[f]
         marked |= new
-        covered = np.bincount(w.doc[new], minlength=len(toxic)) > 0
+        covered = np.bincount(word_doc[new], minlength=len(toxic)) > 0
         if not (covered & open_).any():
             break
         open_ &= ~covered
-    return marked & (toxic[w.doc] > 0)
+    return marked & (toxic[word_doc] > 0)
 
 
 def fit(rows: list[tuple[str, int]]) -> Tagger:
@@ -232,13 +237,20 @@ def fit(rows: list[tuple[str, int]]) -> Tagger:
     bad, good = [r for r in rows if r[1]], [r for r in rows if not r[1]]
     rows, rest = bad + good[:TRAIN_CLEAN], good[TRAIN_CLEAN:]
     toxic = np.array([y for _, y in rows], float)
-    w = words(pa.array([t for t, _ in rows], pa.large_string()))
-    feats = features(w)
-    known, where = np.unique(np.concatenate(feats), return_inverse=True)
-    local = where.astype(np.int32).reshape(len(feats), -1)
-    gold = token_labels(w, list(local[:1 + len(BEGINNINGS)]), len(known), toxic, clean_counts(rest, known), len(rest)).astype(float)
+    parts, sizes = [], []
+    for w in _chunks(rows):
+        parts.append(np.stack(features(w)))
+        sizes.append(np.diff(w.first))
+    feats, size = np.concatenate(parts, axis=1), np.concatenate(sizes)
+    del parts
+    first = np.concatenate([[0], np.cumsum(size)])
+    word_doc = np.repeat(np.arange(len(rows)), size)
+    known = np.unique(feats)
+    local = np.stack([np.searchsorted(known, f).astype(np.int32) for f in feats])
+    del feats
+    gold = token_labels(word_doc, list(local[:1 + len(BEGINNINGS)]), len(known), toxic, clean_counts(rest, known), len(rest)).astype(float)
     follows = np.zeros(len(gold))
-    follows[1:] = gold[:-1] * (w.doc[1:] == w.doc[:-1])
+    follows[1:] = gold[:-1] * (word_doc[1:] == word_doc[:-1])
     seen = np.array([(gold * (1 - follows)).sum(), ((1 - gold) * follows).sum(), (gold * follows).sum()])
     want = sum(np.bincount(f, weights=gold, minlength=len(known)) for f in local)
     theta = np.zeros(len(known))
@@ -248,7 +260,7 @@ def fit(rows: list[tuple[str, int]]) -> Tagger:
     n = max(gold.sum(), 1.0)
     for step in range(1, STEPS + 1):
         score = chain[0] + sum(theta[f] for f in local)
-        p, moves = marginals(w.first, score, *chain[1:])
+        p, moves = marginals(first, score, *chain[1:])
         grad = np.concatenate([
             (sum(np.bincount(f, weights=p, minlength=len(known)) for f in local) - want) / n + DECAY * theta,
             [(p.sum() - gold.sum()) / n], (np.array(moves) - seen) / n])
@@ -261,7 +273,8 @@ def fit(rows: list[tuple[str, int]]) -> Tagger:
         chain -= move[len(known):]
     kept = np.abs(theta) > 1e-3
     tagger = Tagger(known[kept], theta[kept].astype(np.float32), *chain)
-    top = np.clip(_tops(w.first, tagger.tag(w, tagger.table())), 1e-9, 1 - 1e-9)
+    table = tagger.table()
+    top = np.clip(np.concatenate([_tops(w.first, tagger.tag(w, table)) for w in _chunks(rows)]), 1e-9, 1 - 1e-9)
     logit, slope, offset = np.log(top / (1 - top)), 0.5, 0.0
     for _ in range(300):
         q = 1 / (1 + np.exp(-(slope * logit + offset)))
