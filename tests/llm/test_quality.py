@@ -59,3 +59,17 @@ def test_held_out_accuracy(spark):
     out = both[both.held_out]
     assert (out.predicted == out.quality).mean() > 0.97
     assert ((out.predicted == 0) & (out.quality == 0)).sum() / (out.quality == 0).sum() > 0.85
+
+
+def test_sample_passes_over_one_huge_text(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.labelled import sample
+
+    ids = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label")).orderBy(F.xxhash64("id")).collect()
+    huge = ids[0].doc_id
+    docs = spark.createDataFrame([(r.doc_id, "x" * 300_000 if r.doc_id == huge else f"text {r.doc_id} " * 20) for r in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(r.doc_id, r.label) for r in ids], "doc_id long, label long")
+    got = sample(docs, labels, "label", F.lit(True), per_class=(50, 50), max_chars=250_000)
+    assert [sum(label == k for _, label in got) for k in (0, 1)] == [50, 50] and max(len(t) for t, _ in got) < 1000
+    assert got == sample(docs.repartition(3), labels, "label", F.lit(True), per_class=(50, 50), max_chars=250_000)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.text import mix, shingles, words
 
-#: Labelled rows of label 0 and of label 1 that a fit reads at most, and characters of both together.
+#: Labelled rows of label 0 and of label 1 that a fit reads at most, characters of both together, and of a single text.
 PER_CLASS = (2000, 600)
 MAX_CHARS = 8_000_000
+MAX_TEXT = 200_000
 
 
 def crc_mod(id_col: str, n: int) -> Column:
@@ -22,18 +24,31 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, id
            per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> list[tuple[str, int]]:
     """(text, label) of labelled rows for which ``learn`` holds, the same ones in every run.
 
-    Of label 0 and 1 the ``per_class`` rows with the smallest id hashes are taken, then rows in hash order while their texts
-    stay within ``max_chars``. Null labels and null or empty texts teach nothing.
+    Each label has a share of ``max_chars`` in proportion to its ``per_class`` rows. Of each, rows are taken by their id hashes,
+    smallest first, as far as their number and share go; texts over ``MAX_TEXT`` characters or over the share are passed over,
+    and a text that no longer fits leaves room to the shorter ones behind it. Null labels and null or empty texts teach nothing.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & learn).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    known = known.withColumn("_at", F.xxhash64("_id"))
-    picked = known.filter("_label = 0").orderBy("_at", "_id").limit(per_class[0]).unionAll(
-        known.filter("_label = 1").orderBy("_at", "_id").limit(per_class[1]))
-    texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") > 0)
-             .join(F.broadcast(picked), "_id"))
-    order = Window.orderBy("_at", "_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = texts.withColumn("_chars", F.sum(F.length("_text")).over(order)).filter(F.col("_chars") <= max_chars)
-    return [(r._text, r._label) for r in rows.select("_text", "_label").collect()]
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # Chosen by lengths, before any text is moved; a text is named by its id and hash.
+    sizes = texts.select("_id", F.length("_text").alias("_chars"), F.xxhash64("_text").alias("_key"))
+    picked = []
+    for label, rows in enumerate(per_class):
+        room = max_chars * rows // sum(per_class)
+        fit = sizes.filter(F.col("_chars").between(1, min(MAX_TEXT, room)))
+        first = (known.filter(F.col("_label") == label).join(fit, "_id").withColumn("_at", F.xxhash64("_id"))
+                 .orderBy("_at", "_id", "_key").limit(rows).collect())
+        for r in first:
+            if r._chars <= room:
+                room -= r._chars
+                picked.append((r._id, r._key, label, len(picked)))
+    if not picked:
+        return []
+    shape = StructType([StructField("_id", known.schema["_id"].dataType), StructField("_key", LongType()), StructField("_label", IntegerType()),
+                        StructField("_n", IntegerType())])
+    chosen = docs.sparkSession.createDataFrame(picked, shape)
+    found = texts.withColumn("_key", F.xxhash64("_text")).join(F.broadcast(chosen), ["_id", "_key"]).select("_n", "_text", "_label").distinct().collect()
+    return [(r._text, r._label) for r in sorted(found, key=lambda r: (r._n, r._text))]
 
 
 def distinct(rows: list[tuple[str, int]], bands: int = 8, each: int = 2) -> list[tuple[str, int]]:
