@@ -60,3 +60,9 @@ def test_few_or_no_rows(spark):
     assert top_k(rounded(spark.createDataFrame([(20, [1.0])], shape)), F.col("vec_id") % 20 == 0).count() == 0
     got = top_k(rounded(spark.createDataFrame([(20, [1.0]), (3, [-1.0]), (40, [0.5])], shape)), F.col("vec_id") % 20 == 0).collect()
     assert sorted(tuple(r) for r in got) == [(20, 1, 40, 2048), (20, 2, 3, -4096), (40, 1, 20, 2048), (40, 2, 3, -2048)]
+
+
+def test_index_is_not_numbered_in_one_task(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    plan = top_k(rounded(df), F.col("vec_id") % 20 == 0, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(shard" not in plan

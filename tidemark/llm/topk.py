@@ -159,8 +159,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     own = members.filter("n = 1").select("vec_id", "vec")
     count = own.count()
     index = written(build_index(own.repartition(max(1, -(-count // SHARD)))), f"{folder}/index")
-    shards = index.count()
-    index = index.withColumn("shard", F.row_number().over(Window.orderBy("shard")) - 1) if shards else index.withColumn("shard", F.lit(0))
+    # Only the shards' ids meet in one place, one number for up to SHARD vectors; the index itself stays dealt.
+    ids = index.select("shard")
+    shards = ids.count()
     # A query stands for all rows of its vector.
     asked = rows.filter(is_query)
     first = members.filter("n = 1").select(F.col("vec_id").alias("class"), "vec")
@@ -175,7 +176,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     packed = kinds.repartition(blocks).mapInArrow(block, "ids binary, x binary")
     # Every block of queries meets every shard: the query set against all rows.
     tasks = max(1, min(shards, 20_000))
-    spread = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(shards - 1, 0))))).repartition(tasks, "shard")
+    spread = packed.crossJoin(F.broadcast(ids)).repartition(tasks, "shard")
     meetings = spread.join(index.repartition(tasks, "shard"), "shard").select("ids", "x", "n", "parts")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
