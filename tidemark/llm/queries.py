@@ -169,6 +169,62 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rounded(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
+def _merkle_sql() -> str:
+    """The trees level by level: 16 to the power of 5 rows of a source and as many sources at most."""
+    def climb(name: str, group: str) -> list[str]:
+        out = []
+        for k in range(5):
+            out.append(f"""{name}{k + 1} as (select {group}, p // 16 as p, max(n) as n, case when max(n) > {16 ** k} then sha256(string_agg(h, '' order by p)) else min(h) end as h
+              from {name}{k} group by {group}, p // 16)""")
+        return out
+
+    def beside(name: str, group: str, at: str, left: bool, k: int) -> str:
+        side = "<" if left else ">"
+        return (f"coalesce((select string_agg(s.h, '' order by s.p) from {name}{k} s where s.{group} is not distinct from x.{group} "
+                f"and s.p // 16 = x.{at} // {16 ** (k + 1)} and s.p {side} x.{at} // {16 ** k}), '')")
+
+    hashes = lambda text: "sha256(concat(" + ", ".join(
+        f"case when {c} is null then '-' else concat(strlen({c}::varchar), ':', {c}) end" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    steps = [("t", "source", "p", "n", k) for k in range(5)] + [("g", "one", "gp", "gn", k) for k in range(5)]
+    folded, siblings = "x.changed", []
+    names = []
+    for i, (name, group, at, n, k) in enumerate(steps):
+        names.append(f"case when x.{n} > {16 ** k} then {beside(name, group, at, True, k)} end as l{i}, "
+                     f"case when x.{n} > {16 ** k} then {beside(name, group, at, False, k)} end as r{i}")
+        siblings.append(f"coalesce(l{i} || r{i}, '')")
+    folds, before = [], "y"
+    for i in range(len(steps)):
+        folds.append(f"f{i} as (select *, case when l{i} is null then {'changed' if not i else f'h{i - 1}'} else sha256(l{i} || {'changed' if not i else f'h{i - 1}'} || r{i}) end as h{i} from {before})")
+        before = f"f{i}"
+    return f"""with recursive crc as (select doc_id, doc_id::varchar as s, 0 as i, 4294967295::bigint as c from (select distinct doc_id from documents where doc_id is not null)
+      union all select doc_id, s, i + 1, case when c1 & 1 = 1 then xor(c1 >> 1, 3988292384) else c1 >> 1 end
+      from (select *, case when i % 8 = 0 then xor(c, ascii(s[i // 8 + 1])::bigint) else c end as c1 from crc where i < 8 * length(s))),
+    m as (select doc_id, xor(c, 4294967295) as c from crc where i = 8 * length(s)),
+    d as (select documents.*, case when m.c % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as other
+          from documents left join m using (doc_id)),
+    a as (select doc_id, source, {hashes('text')} as h, {hashes('other')} as changed from d),
+    t0 as (select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 as p, count(*) over (partition by source) as n from a),
+    {', '.join(climb('t', 'source'))},
+    g0 as (select 1 as one, source, h, row_number() over (order by source nulls first) - 1 as p, count(*) over () as n from t5),
+    {', '.join(climb('g', 'one'))},
+    x as (select t0.*, 1 as one, g0.p as gp, g0.n as gn, g0.h as subroot, g5.h as root from t0 join g0 on t0.source is not distinct from g0.source cross join g5),
+    y as (select x.doc_id, x.h as leaf, x.changed, x.subroot, x.root, {', '.join(names)} from x),
+    {', '.join(folds)}
+    select doc_id, leaf, subroot, root, sha256({' || '.join(siblings)}) as proof_sha256, h9 as folded_root, h9 = root as verified from f9"""
+
+
+@query("op13_merkle", _merkle_sql())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.labelled import crc_mod
+    from tidemark.llm.merkle import fold, manifest, proof_digest
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(crc_mod("doc_id", 5) == 0, lowered).otherwise(F.col("text"))
+    rows = manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": tampered})
+    rows = rows.select("doc_id", "leaf", "subroot", "root", proof_digest("path").alias("proof_sha256"), fold("path", "changed_leaf").alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
