@@ -169,6 +169,16 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rounded(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
+@query("op11_sharding")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import size_of, write_shards
+
+    text = F.col("doc.text")
+    return write_shards(table(spark, sf_dir, "documents")).select(
+        "doc.doc_id", size_of(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _merkle_sql() -> str:
     """The trees level by level: 16 to the power of 5 rows of a source and as many sources at most."""
     def climb(name: str, group: str) -> list[str]:
