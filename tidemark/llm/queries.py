@@ -179,6 +179,33 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op12_collocations", r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+u as (select lang, word, count(*) as f from (select lang, unnest(ws) as word from w) group by all),
+n as (select lang, cast(sum(f) as bigint) as n from u group by lang),
+g as (select lang, k, array_to_string(ws[i + 1:i + k], ' ') as phrase, count(*) as f
+      from (select lang, ws, k, unnest(range(len(ws) - k + 1)) as i from w, (values (2), (3)) t(k) where len(ws) >= k) group by all),
+f as (select lang, word as phrase, f from u union all select lang, phrase, f from g),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from g where f >= 10),
+x as (select c.*, j, array_to_string(ws[1:j], ' ') as first, array_to_string(ws[j + 1:], ' ') as rest from c, (values (1), (2)) t(j) where j < k),
+s as (select x.lang, x.k, x.phrase, a, x.j, b.f as l, d.f as r, cast((1000000::hugeint * a * a) // (b.f::hugeint * d.f) as bigint) as score
+      from x join f b on b.lang = x.lang and b.phrase = first join f d on d.lang = x.lang and d.phrase = rest),
+m as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+t as (select lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase from c where k = 3),
+h as (select lang, phrase, max(a) as longer from t group by all),
+z as (select m.lang, m.phrase, a, l, r, n, score from m join n on n.lang = m.lang left join h on h.lang = m.lang and h.phrase = m.phrase
+      where longer is null or 100 * longer < 50 * a),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z)
+select lang, rank, phrase, a, l, r, n, score from o where rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def _merkle_sql() -> str:
     """The trees level by level: 16 to the power of 5 rows of a source and as many sources at most."""
     def climb(name: str, group: str) -> list[str]:
