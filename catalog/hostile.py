@@ -3,7 +3,8 @@
 from pyspark.sql import Window, functions as F
 
 from catalog import base
-from catalog.base import fills, query
+from catalog.base import bars, fills, query
+from catalog.indicators import ema_cte
 from tidemark.operators import indicators as I, windows as W
 
 base.SQL_VIEWS["holes"] = """select nullif(symbol, 'U03') symbol, case when row_number() over (partition by symbol order by ts)>1 then ts end ts, price,
@@ -44,3 +45,78 @@ def w4_missing(spark, sf):
 def w6_wild(spark, sf):
     rows = W.rolling_days(holes(spark, sf), "wild", 5, "mean", date="ts", out="m").filter("ts is not null")
     return rows.select("symbol", "ts", F.when(F.col("m") < 1e12, F.col("m")).alias("wild_mean"))
+
+
+# Weekly bars with gaps: no close, an infinite one, no high; symbols that begin with one. Recurrences go by the bars that remain.
+base.SQL_VIEWS.update({
+    "gap_bars": """select symbol, date, case when n%11=3 then null when n%17=5 then 'Infinity'::double when n=0 and symbol<'S05' then null else close end as close,
+       case when n%13=6 then null else high end as high, low from (select *, row_number() over (partition by symbol order by date)-1 n from bars)""",
+    "gap_fills": """select symbol, ts, case when n%11=3 then null when n%17=5 then 'Infinity'::double when n=0 and symbol<'U05' then null else price end as close
+       from (select *, row_number() over (partition by symbol order by ts)-1 n from fills)""",
+    "priced": """select symbol, date, close, row_number() over (partition by symbol order by date)-1 pos from gap_bars where close is not null and close<1e300""",
+    "priced_fills": """select symbol, ts, close, row_number() over (partition by symbol order by ts)-1 pos from gap_fills where close is not null and close<1e300""",
+})
+base.DEPENDS.update({"gap_bars": ("bars",), "gap_fills": ("fills",), "priced": ("gap_bars",), "priced_fills": ("gap_fills",)})
+
+
+def _gaps(df, order, price):
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy(order)) - 1
+    gone = (n % 11 == 3) | ((n == 0) & (F.substring("symbol", 2, 2) < "05"))
+    return df.withColumns({"close": F.when(~gone, F.when(n % 17 == 5, float("inf")).otherwise(F.col(price))),
+                           **({"high": F.when(n % 13 != 6, F.col("high"))} if "high" in df.columns else {})})
+
+
+def gap_bars(spark, sf):
+    return _gaps(bars(spark, sf), "date", "close").select("symbol", "date", "close", "high", "low")
+
+
+def gap_fills(spark, sf):
+    return _gaps(fills(spark, sf), "ts", "price").select("symbol", "ts", "close")
+
+
+for _suffix, _time, _table, _view, _priced in (("", "date", gap_bars, "gap_bars", "priced"), ("_timestamps", "ts", gap_fills, "gap_fills", "priced_fills")):
+    @query(f"i2_ema_gaps{_suffix}", f"""with recursive {ema_cte('e', _priced, 'close', 10)}
+        select g.symbol, g.{_time}, v ema_10 from {_view} g left join {_priced} p using (symbol, {_time}) left join e on e.symbol=p.symbol and e.pos=p.pos""",
+           (_view, _priced), {"ema_10": 6})
+    def i2_gaps(spark, sf, time=_time, table=_table):
+        return I.ema(table(spark, sf), 10, date=time).select("symbol", time, "ema_10")
+
+    @query(f"i3_rsi_gaps{_suffix}", f"""with recursive c as (select *, greatest(close-lag(close) over w,0) g, greatest(lag(close) over w-close,0) l
+        from {_priced} window w as (partition by symbol order by pos)),
+        r as (select symbol, 14::bigint pos, avg(g) ag, avg(l) al from c where pos between 1 and 14 group by 1 having count(*)=14
+        union all select c.symbol, c.pos, (r.ag*13+c.g)/14, (r.al*13+c.l)/14 from r join c on c.symbol=r.symbol and c.pos=r.pos+1),
+        v as (select symbol, {_time}, case when pos=0 then 0 when ag is null or (ag=0 and al=0) then 50 when al=0 then 100 else 100-100/(1+ag/al) end x
+        from c left join r using (symbol, pos))
+        select symbol, {_time}, x rsi_14 from {_view} left join v using (symbol, {_time})""", (_view, _priced), {"rsi_14": 6})
+    def i3_gaps(spark, sf, time=_time, table=_table):
+        return I.rsi(table(spark, sf), date=time).select("symbol", time, "rsi_14")
+
+    @query(f"i5_macd_gaps{_suffix}", f"""with recursive {ema_cte('f', _priced, 'close', 12)}, {ema_cte('s', _priced, 'close', 26)},
+        ln as (select symbol, pos, f.v-s.v x from f join s using (symbol, pos)), {ema_cte('g', 'ln', 'x', 9)},
+        v as (select symbol, {_time}, x, g.v from {_priced} join ln using (symbol, pos) join g using (symbol, pos))
+        select symbol, {_time}, x macd_line, v macd_signal, x-v macd_histogram from {_view} left join v using (symbol, {_time})""",
+           (_view, _priced), {"macd_line": 5, "macd_signal": 5, "macd_histogram": 5})
+    def i5_gaps(spark, sf, time=_time, table=_table):
+        return I.macd(table(spark, sf), date=time).select("symbol", time, "macd_line", "macd_signal", "macd_histogram")
+
+
+@query("i6_atr_gaps", f"""with recursive w as (select symbol, date, high, low, close, row_number() over (partition by symbol order by date)-1 pos from gap_bars
+    where close is not null and close<1e300 and high is not null and low is not null),
+    t as (select symbol, date, pos, greatest(high-low, abs(high-lag(close) over o), abs(low-lag(close) over o)) x from w
+    window o as (partition by symbol order by pos)), {ema_cte('e', 't', 'x', 14, 1)}, v as (select symbol, date, v x from t join e using (symbol, pos))
+    select symbol, date, x atr_14 from gap_bars left join v using (symbol, date)""", ("gap_bars",), {"atr_14": 5})
+def i6_gaps(spark, sf):
+    return I.atr(gap_bars(spark, sf)).select("symbol", "date", "atr_14")
+
+
+@query("i7_hysteresis_gaps", f"""with recursive m as (select symbol, date, close/lag(close,12) over w-1 x from priced window w as (partition by symbol order by date)),
+    v as (select symbol, date, x, row_number() over (partition by symbol order by date)-1 pos from m where x is not null),
+    {ema_cte('e', 'v', 'x', 5)},
+    st as (select symbol, pos, v ema, case when v>0.02 then 1 else 0 end up, case when v<-0.02 then 1 else 0 end dn, 0 held, 0 was from e where pos=0 union all
+      select e.symbol, e.pos, e.v, case when e.v>0.02 then s.up+1 else 0 end, case when e.v<-0.02 then s.dn+1 else 0 end,
+      case when e.v>0.02 and s.up+1>=2 then 1 when e.v<-0.02 and s.dn+1>=2 then 0 else s.held end, s.held
+      from st s join e on e.symbol=s.symbol and e.pos=s.pos+1)
+    select symbol, date, x momentum, ema, up::bigint bars_above, dn::bigint bars_below, case when up>=2 and was=0 then 'enter' when dn>=2 and was=1 then 'exit' end "action"
+    from st join v using (symbol, pos)""", ("priced",), {"momentum": 6, "ema": 6})
+def i7_gaps(spark, sf):
+    return I.hysteresis_signals(gap_bars(spark, sf), lookback_days=12).drop("confidence")

@@ -21,10 +21,19 @@ def bars(spark, n=90):
                      (F.col("close") - 1.5).alias("low"), "close", F.lit(10).cast("long").alias("volume"), "i")
 
 
+END = "END"
+
+
+def closing(part):
+    """A row of a time far ahead: the watermark passes all others."""
+    row = part.limit(1).withColumns({"symbol": F.lit(END), "ts": F.lit("2100-01-01").cast("timestamp")})
+    return row.select(part.columns)
+
+
 def replay(spark, tmp_path, parts, schema, job):
-    """Land the parts one file after another, run to the end, return the output."""
+    """Land the parts one file after another, and a last row behind them, run to the end, return the output."""
     src = str(tmp_path / "in")
-    for part in parts:
+    for part in [*parts, closing(parts[0])]:
         part.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
@@ -32,6 +41,7 @@ def replay(spark, tmp_path, parts, schema, job):
         .outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(240)
     assert q.exception() is None
+    assert spark.read.parquet(out).filter(F.col("symbol") == END).count() == 0
     return spark.read.parquet(out)
 
 
@@ -69,23 +79,67 @@ def test_hysteresis_replay(spark, tmp_path):
         assert close(r["ema"], w["ema"]) and close(r["confidence"], w["confidence"])
 
 
-def test_positions_replay_and_late_rows(spark, tmp_path):
-    rows = [(i, f"S{i % 3}", "Buy" if (i * 7) % 5 < 3 else "Sell", 100.0 + (i * 13) % 17, 1 + (i * 11) % 9, i, 1.0)
-            for i in range(120)]
-    df = spark.createDataFrame(rows, "order_id long, symbol string, side string, price double, quantity long, "
-                                     "i int, commission double")
-    df = df.select("order_id", "symbol", "side", "price", "quantity",
-                   F.timestamp_seconds(F.col("i") * 60 + 1_600_000_000).alias("ts"), "commission")
-    late = df.filter("order_id = 3")
-    parts = [df.filter("order_id < 60"), df.filter("order_id >= 60").unionByName(late)]
-    got = replay(spark, tmp_path, parts, FILLS, stream_positions).collect()
-    want = {(r["symbol"], r["ts"]): r for r in position_ledger(df).collect()}
-    assert len(got) == len(want) == 120
-    assert max(r["late_dropped"] for r in got if r["symbol"] == "S0") == 1
+def fills(spark, n=120):
+    rows = [(i, f"S{i % 3}", "Buy" if (i * 7) % 5 < 3 else "Sell", 100.0 + (i * 13) % 17, 1 + (i * 11) % 9, i, 1.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "order_id long, symbol string, side string, price double, quantity long, i int, commission double")
+    return df.select("order_id", "symbol", "side", "price", "quantity", F.timestamp_seconds(F.col("i") * 60 + 1_600_000_000).alias("ts"), "commission")
+
+
+def same_book(got, df):
+    want = {r["order_id"]: r for r in position_ledger(df).collect()}
+    assert sorted(r["order_id"] for r in got) == sorted(want)
     for r in got:
-        w = want[(r["symbol"], r["ts"])]
         for n in ("quantity", "avg_entry", "realized", "realized_total"):
-            assert close(r[n], w[n]), (n, r, w)
+            assert close(r[n], want[r["order_id"]][n]), (n, r, want[r["order_id"]])
+
+
+def test_batches_out_of_order_within_the_delay_lose_nothing(spark, tmp_path):
+    df = fills(spark)
+    # The second file holds every fifth fill of the first file's hours, and its own come in reverse.
+    parts = [df.filter("order_id % 5 <> 3"), df.filter("order_id % 5 = 3").orderBy(F.col("order_id").desc())]
+    got = replay(spark, tmp_path, parts, FILLS, stream_positions).collect()
+    same_book(got, df)
+    assert max(r["late_dropped"] for r in got) == 0
+
+
+def test_rows_behind_the_watermark_are_dropped_and_counted(spark, tmp_path):
+    df = fills(spark)
+    # A delay of ten minutes: when the third file comes, the first one's fills are long gone.
+    late = df.filter("order_id in (3, 6)")
+    parts = [df.filter("order_id < 60 and order_id not in (3, 6)"), df.filter("order_id between 60 and 99"), late.unionByName(df.filter("order_id >= 100"))]
+    got = replay(spark, tmp_path, parts, FILLS, lambda s: stream_positions(s, delay="10 minutes")).collect()
+    same_book(got, df.filter("order_id not in (3, 6)"))
+    counts = {s: max(r["late_dropped"] for r in got if r["symbol"] == s) for s in ("S0", "S1", "S2")}
+    assert counts == {"S0": 2, "S1": 0, "S2": 0}
+
+
+def test_bars_out_of_order_with_gaps(spark, tmp_path):
+    data = bars(spark, 60).withColumn("close", F.when(F.col("i") % 13 == 4, F.lit(None)).when(F.col("i") % 17 == 9, F.lit(float("inf")))
+                                      .when((F.col("i") == 0) & (F.col("symbol") == "S1"), F.lit(None)).otherwise(F.col("close")).cast("double"))
+    data = data.withColumn("high", F.when(F.col("i") % 19 != 6, F.col("high")))
+    parts = [data.filter("i % 4 <> 1").drop("i"), data.filter("i % 4 = 1").drop("i")]
+    got = replay(spark, tmp_path, parts, BARS, lambda s: stream_indicators(s, 5, 5, 4, (5, 2.0), (3, 6, 3), 4, delay="100 days"))
+    b = data.drop("i")
+    batch = I.atr(I.macd(I.rsi(I.ema(b, 5, date="ts"), 4, date="ts"), 3, 6, 3, date="ts"), 4, date="ts")
+    want = {(r["symbol"], r["ts"]): r for r in batch.collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) == 180
+    for r in rows:
+        for n in ("ema_5", "rsi_4", "macd_line", "macd_signal", "macd_histogram", "atr_4"):
+            assert close(r[n], want[(r["symbol"], r["ts"])][n]), (n, r, want[(r["symbol"], r["ts"])])
+
+
+def test_session_must_keep_state_in_rocksdb(spark):
+    from tidemark.streaming.jobs import STATE_SETTING, needs_state_store
+
+    kept = spark.conf.get(STATE_SETTING)
+    spark.conf.unset(STATE_SETTING)
+    try:
+        if spark.conf.get(STATE_SETTING, "") != kept:
+            with pytest.raises(ValueError):
+                needs_state_store(spark)
+    finally:
+        spark.conf.set(STATE_SETTING, kept)
 
 
 def test_fills_of_one_instant_all_count(spark, tmp_path):

@@ -2,11 +2,18 @@
 
 Every indicator is a window or a :func:`decay_scan`, so a long history is cut
 into blocks and no indicator runs row by row in Python.
+
+A bar whose price is NULL, NaN or infinite is a gap to the recurrences (EMA,
+RSI, MACD, ATR, hysteresis): the indicator is NULL on it and goes on behind it as
+if the bar were not there, so weights follow the bars that have a price. Frames
+over rows (SMA, Bollinger) are NULL while they hold a NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +25,19 @@ def _indexed(bars: DataFrame, by: str, date: str) -> DataFrame:
     return positions(bars, [by], [date], cell_for(bars, date))
 
 
+def present(*columns: str) -> Column:
+    """Whether all of ``columns`` hold finite numbers."""
+    numbers = [F.col(c).cast("double") for c in columns]
+    return reduce(and_, [F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)) for x in numbers])
+
+
+def _over_gaps(bars: DataFrame, columns: Sequence[str], scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``scan`` over the bars that have all of ``columns``; the others keep their rows, with NULL in what it adds."""
+    done = scan(bars.filter(present(*columns)))
+    added = [F.lit(None).cast(done.schema[c].dataType).alias(c) for c in done.columns if c not in bars.columns]
+    return done.unionByName(bars.filter(~present(*columns)).select("*", *added))
+
+
 def _ema_step(x: Column, period: int, first: int = 0) -> tuple[Column, float]:
     """Recurrence of an EMA that is seeded by its value at position ``first``."""
     alpha = 2.0 / (period + 1)
@@ -41,8 +61,10 @@ def sma(bars: DataFrame, n: int, warmup: str = "null", column: str = "close", by
 def ema(bars: DataFrame, n: int, column: str = "close", by: str = "symbol", date: str = "date",
         out: str | None = None) -> DataFrame:
     """Exponential moving average seeded with the first value."""
-    scanned = decay_scan(_indexed(bars, by, date), [by], {out or f"ema_{n}": _ema_step(F.col(column), n)})
-    return scanned.drop("_pos")
+    def scan(rows: DataFrame) -> DataFrame:
+        return decay_scan(_indexed(rows, by, date), [by], {out or f"ema_{n}": _ema_step(F.col(column), n)}).drop("_pos")
+
+    return _over_gaps(bars, [column], scan)
 
 
 def rsi(bars: DataFrame, n: int = 14, column: str = "close", by: str = "symbol", date: str = "date",
@@ -63,18 +85,21 @@ def rsi(bars: DataFrame, n: int = 14, column: str = "close", by: str = "symbol",
              .otherwise(F.col(x) / n))
         return b, (n - 1) / n
 
-    rows = _indexed(bars, by, date)
-    cell = cell_for(bars, date)
-    rows = with_neighbours(rows, [by], [date], 1, 0, changes, cell) if cell is None else _two(rows, by, 1, changes)
-    rows = with_neighbours(rows, [by], [date], n, 0, seeds, cell) if cell is None else _two(rows, by, n, seeds)
-    scanned = decay_scan(rows, [by], {"_gain": step("_up"), "_loss": step("_down")})
-    # A flat stretch scales gain and loss alike, so the index keeps its last value.
-    raw = (F.when((F.col("_gain") == 0) & (F.col("_loss") == 0), F.lit(None).cast("double"))
-           .when(F.col("_loss") == 0, F.lit(100.0))
-           .otherwise(100.0 - 100.0 / (1.0 + ratio("_gain", "_loss"))))
-    carried = running(scanned.withColumn("_raw", raw), [by], [date], {"_last": ("last", "_raw")}, cell)
-    value = F.when(F.col("_pos") == 0, F.lit(0.0)).otherwise(F.coalesce("_last", F.lit(50.0)))
-    return carried.select(*bars.columns, value.alias(name))
+    def scan(priced: DataFrame) -> DataFrame:
+        rows = _indexed(priced, by, date)
+        cell = cell_for(bars, date)
+        rows = with_neighbours(rows, [by], [date], 1, 0, changes, cell) if cell is None else _two(rows, by, 1, changes)
+        rows = with_neighbours(rows, [by], [date], n, 0, seeds, cell) if cell is None else _two(rows, by, n, seeds)
+        scanned = decay_scan(rows, [by], {"_gain": step("_up"), "_loss": step("_down")})
+        # A flat stretch scales gain and loss alike, so the index keeps its last value.
+        raw = (F.when((F.col("_gain") == 0) & (F.col("_loss") == 0), F.lit(None).cast("double"))
+               .when(F.col("_loss") == 0, F.lit(100.0))
+               .otherwise(100.0 - 100.0 / (1.0 + ratio("_gain", "_loss"))))
+        carried = running(scanned.withColumn("_raw", raw), [by], [date], {"_last": ("last", "_raw")}, cell)
+        value = F.when(F.col("_pos") == 0, F.lit(0.0)).otherwise(F.coalesce("_last", F.lit(50.0)))
+        return carried.select(*priced.columns, value.alias(name))
+
+    return _over_gaps(bars, [column], scan)
 
 
 def _two(rows: DataFrame, by: str, before: int, add) -> DataFrame:
@@ -101,12 +126,15 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, column: str = "close
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close",
          by: str = "symbol", date: str = "date") -> DataFrame:
     """Difference of two EMAs, its own EMA, and the gap between them."""
-    x = F.col(column)
-    lines = decay_scan(_indexed(bars, by, date), [by], {"_fast": _ema_step(x, fast), "_slow": _ema_step(x, slow)})
-    lines = lines.withColumn("macd_line", F.col("_fast") - F.col("_slow"))
-    done = decay_scan(lines, [by], {"macd_signal": _ema_step(F.col("macd_line"), signal)})
-    return done.select(*bars.columns, "macd_line", "macd_signal",
-                       (F.col("macd_line") - F.col("macd_signal")).alias("macd_histogram"))
+    def scan(rows: DataFrame) -> DataFrame:
+        x = F.col(column)
+        lines = decay_scan(_indexed(rows, by, date), [by], {"_fast": _ema_step(x, fast), "_slow": _ema_step(x, slow)})
+        lines = lines.withColumn("macd_line", F.col("_fast") - F.col("_slow"))
+        done = decay_scan(lines, [by], {"macd_signal": _ema_step(F.col("macd_line"), signal)})
+        return done.select(*rows.columns, "macd_line", "macd_signal",
+                           (F.col("macd_line") - F.col("macd_signal")).alias("macd_histogram"))
+
+    return _over_gaps(bars, [column], scan)
 
 
 def atr(bars: DataFrame, n: int = 14, by: str = "symbol", date: str = "date", out: str | None = None) -> DataFrame:
@@ -118,10 +146,12 @@ def atr(bars: DataFrame, n: int = 14, by: str = "symbol", date: str = "date", ou
         span = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
         return df.withColumn("_tr", span)
 
-    cell = cell_for(bars, date)
-    rows = _indexed(with_neighbours(bars, [by], [date], 1, 0, add, cell), by, date)
-    scanned = decay_scan(rows, [by], {"_atr": _ema_step(F.col("_tr"), n, first=1)})
-    return scanned.select(*bars.columns, F.when(F.col("_pos") > 0, F.col("_atr")).alias(name))
+    def scan(whole: DataFrame) -> DataFrame:
+        rows = _indexed(with_neighbours(whole, [by], [date], 1, 0, add, cell_for(bars, date)), by, date)
+        scanned = decay_scan(rows, [by], {"_atr": _ema_step(F.col("_tr"), n, first=1)})
+        return scanned.select(*whole.columns, F.when(F.col("_pos") > 0, F.col("_atr")).alias(name))
+
+    return _over_gaps(bars, ["high", "low", "close"], scan)
 
 
 def hysteresis_signals(bars: DataFrame, lookback_days: int = 63, ema_period: int = 5,
@@ -131,12 +161,13 @@ def hysteresis_signals(bars: DataFrame, lookback_days: int = 63, ema_period: int
 
     The state machine is two facts per row: how long the EMA has stayed beyond a
     threshold (distance to the last row that was not), and which side triggered
-    last (the last non-null trigger). Both are running aggregates.
+    last (the last non-null trigger). Both are running aggregates. The lookback
+    counts bars that have a close; the others give no signal.
     """
     def lagged(df: DataFrame, w) -> DataFrame:
         return df.withColumn("_past", F.lag("close", lookback_days).over(w))
 
-    rows = with_neighbours(bars.select(by, date, "close"), [by], [date], lookback_days, 0, lagged,
+    rows = with_neighbours(bars.filter(present("close")).select(by, date, "close"), [by], [date], lookback_days, 0, lagged,
                            cell_for(bars, date))
     rows = rows.filter(F.col("_past") > 0).withColumn("momentum", F.col("close") / F.col("_past") - 1)
     cell = cell_for(rows, date)

@@ -1,9 +1,9 @@
 """Per-key state of the streaming operators.
 
-Each processor keeps a few numbers per symbol. A micro-batch's rows of a key are
-sorted by time and, where the stream has one, sequence; rows not behind the last
-(time, sequence) processed are late or repeated, dropped and counted in the output,
-so a replay in order equals the batch operators also where rows share an instant.
+Rows wait in a list of their key until the watermark has passed them; an event-time timer set to the earliest one
+then releases all that lie at or before the watermark, and they are stepped through in the order of time and, where the stream
+has one, sequence. So rows may come in any order within the delay of the watermark and a replay still equals the batch
+operators. Only rows behind what was released, and repeated rows, are dropped and counted in the output.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-STATE = T.StructType([
-    T.StructField("last_ts", T.TimestampType()),
-    T.StructField("last_seq", T.LongType()),
-    T.StructField("dropped", T.LongType()),
-    T.StructField("numbers", T.ArrayType(T.DoubleType())),
-    T.StructField("window", T.ArrayType(T.DoubleType())),
-])
+#: What the processors call the event time in microseconds.
+MICROS = "event_micros"
+
+
+def missing(x) -> bool:
+    """Whether a number is absent: NULL, NaN or infinite."""
+    return x is None or not math.isfinite(x)
 
 
 class OrderedProcessor(StatefulProcessor):
@@ -31,30 +31,69 @@ class OrderedProcessor(StatefulProcessor):
         self.key, self.ts, self.columns, self.outputs, self.initial, self.seq = key, ts, columns, outputs, initial, seq
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("track", STATE)
+        number = lambda c: T.StructField(c, T.DoubleType())
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType([
+            T.StructField("at", T.LongType()), T.StructField("place", T.LongType()), *map(number, self.columns)]))
+        self.state = handle.getValueState("track", T.StructType([
+            T.StructField("last", T.LongType()), T.StructField("place", T.LongType()), T.StructField("dropped", T.LongType()),
+            T.StructField("alarm", T.LongType()), T.StructField("numbers", T.ArrayType(T.DoubleType())), T.StructField("window", T.ArrayType(T.DoubleType()))]))
 
     def step(self, numbers: list, window: list, row: tuple) -> tuple:
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        own = [self.seq] if self.seq else []
-        batch = batch.sort_values([self.ts, *own, *self.columns], kind="stable")
+    def _track(self) -> list:
+        """Last time and sequence released, rows dropped, the timer that is set, and what ``step`` keeps."""
         stored = self.state.get() if self.state.exists() else None
-        at, seq, dropped, numbers, window = stored or (None, 0, 0, list(self.initial), [])
-        numbers, window = list(numbers), list(window)
-        last = (pd.Timestamp(at).tz_localize(None), seq) if at is not None else None
-        places = batch[self.seq].tolist() if self.seq else [0] * len(batch)
-        out = []
-        for place, (ts, *row) in zip(places, batch[[self.ts, *self.columns]].itertuples(index=False, name=None)):
-            if last is not None and (ts, place) <= last:
-                dropped += 1
-                continue
-            last = (ts, place)
-            out.append((key[0], ts, *([place] if self.seq else []), *self.step(numbers, window, tuple(row)), dropped))
-        if last is not None:
-            self.state.update((last[0].to_pydatetime(), int(last[1]), dropped, numbers, window))
-        yield pd.DataFrame(out, columns=[self.key, self.ts, *own, *self.outputs, "late_dropped"])
+        return list(stored) if stored else [None, 0, 0, None, list(self.initial), []]
+
+    def _wake(self, track: list, micros: int) -> None:
+        """Sets the one timer of the key to the end of the millisecond of ``micros``."""
+        alarm = -(-micros // 1000)
+        if track[3] is not None:
+            self.handle.deleteTimer(track[3])
+        self.handle.registerTimer(alarm)
+        track[3] = alarm
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        track, first = self._track(), None
+        for batch in rows:
+            places = batch[self.seq].tolist() if self.seq else [0] * len(batch)
+            # pandas shows a missing number as NaN; either way it is absent.
+            values = [[None if pd.isna(x) else float(x) for x in batch[c].tolist()] for c in self.columns]
+            kept = []
+            for at, place, *row in zip(batch[MICROS].tolist(), places, *values):
+                if track[0] is not None and (at, place) <= (track[0], track[1]):
+                    track[2] += 1
+                    continue
+                kept.append((int(at), int(place), *row))
+                first = at if first is None else min(first, at)
+            if kept:
+                self.waiting.appendList(kept)
+        if first is not None and (track[3] is None or -(-first // 1000) < track[3]):
+            self._wake(track, int(first))
+        self.state.update(tuple(track))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        track, passed = self._track(), timerValues.getCurrentWatermarkInMs() * 1000
+        track[3] = None
+        rest, out = [], []
+        for at, place, *row in sorted(map(tuple, self.waiting.get()), key=lambda r: (r[:2], tuple((x is None, x or 0.0) for x in r[2:]))):
+            if at > passed:
+                rest.append((at, place, *row))
+            elif track[0] is not None and (at, place) <= (track[0], track[1]):
+                track[2] += 1
+            else:
+                track[0], track[1] = at, place
+                out.append((key[0], pd.Timestamp(at, unit="us"), *([place] if self.seq else []), *self.step(track[4], track[5], tuple(row)), track[2]))
+        if rest:
+            self.waiting.put(rest)
+            self._wake(track, rest[0][0])
+        else:
+            self.waiting.clear()
+        self.state.update(tuple(track))
+        yield pd.DataFrame(out, columns=[self.key, self.ts, *([self.seq] if self.seq else []), *self.outputs, "late_dropped"])
 
     def close(self) -> None:
         pass
@@ -72,14 +111,16 @@ class IndicatorProcessor(OrderedProcessor):
     """SMA, EMA, RSI, Bollinger, MACD and ATR of one bar stream.
 
     Slots: 0-1 previous close and its flag, 2-4 RSI count and averages, 5-6 EMA,
-    7-8 and 9-10 fast and slow, 11-12 signal, 13-14 true range. The window holds
-    the latest closes for the row-frame indicators.
+    7-8 and 9-10 fast and slow, 11-12 signal, 13-14 true range, 15-16 close of the
+    last whole bar and its flag. The window holds the latest closes for the
+    row-frame indicators. A bar without a finite close is a gap to the recurrences,
+    one without all three prices to the true range.
     """
 
     def __init__(self, key: str, ts: str, sma: int, ema: int, rsi: int, bollinger: tuple, macd: tuple, atr: int):
         outputs = [f"sma_{sma}", f"ema_{ema}", f"rsi_{rsi}", "bb_middle", "bb_upper", "bb_lower", "bb_width",
                    "macd_line", "macd_signal", "macd_histogram", f"atr_{atr}"]
-        super().__init__(key, ts, ["close", "high", "low"], outputs, [0.0] * 15)
+        super().__init__(key, ts, ["close", "high", "low"], outputs, [0.0] * 17)
         self.p = (sma, ema, rsi, bollinger, macd, atr)
 
     def step(self, s: list, window: list, row: tuple) -> tuple:
@@ -87,9 +128,23 @@ class IndicatorProcessor(OrderedProcessor):
         n_sma, n_ema, n_rsi, (n_bb, k_bb), (fast, slow, signal), n_atr = self.p
         window.append(close)
         del window[:-max(n_sma, n_bb)]
-        sma = math.fsum(window[-n_sma:]) / n_sma if len(window) >= n_sma else None
+        sma, bands = None, (None,) * 4
+        if len(window) >= n_sma and None not in window[-n_sma:]:
+            sma = sum(window[-n_sma:]) / n_sma
+        if len(window) >= n_bb and None not in window[-n_bb:]:
+            last = window[-n_bb:]
+            mean = sum(last) / n_bb
+            dev = k_bb * math.sqrt(sum((x - mean) ** 2 for x in last) / n_bb)
+            bands = (mean, mean + dev, mean - dev, 2 * dev)
+        atr = None
+        if not any(map(missing, row)):
+            if s[16]:
+                atr = _ema(s, 13, max(high - low, abs(high - s[15]), abs(low - s[15])), n_atr)
+            s[15], s[16] = close, 1.0
+        if missing(close):
+            return (sma, None, None, *bands, None, None, None, atr)
         ema = _ema(s, 5, close, n_ema)
-        rsi, atr = 0.0, None
+        rsi = 0.0
         if s[1]:
             move = close - s[0]
             gain, loss = max(move, 0.0), max(-move, 0.0)
@@ -103,14 +158,7 @@ class IndicatorProcessor(OrderedProcessor):
                 rsi = 50.0
             else:
                 rsi = 100.0 if s[4] == 0 else 100.0 - 100.0 / (1.0 + s[3] / s[4])
-            atr = _ema(s, 13, max(high - low, abs(high - s[0]), abs(low - s[0])), n_atr)
         s[0], s[1] = close, 1.0
-        bands = (None,) * 4
-        if len(window) >= n_bb:
-            last = window[-n_bb:]
-            mean = math.fsum(last) / n_bb
-            dev = k_bb * math.sqrt(math.fsum((x - mean) ** 2 for x in last) / n_bb)
-            bands = (mean, mean + dev, mean - dev, 2 * dev)
         line = _ema(s, 7, close, fast) - _ema(s, 9, close, slow)
         sig = _ema(s, 11, line, signal)
         return (sma, ema, rsi, *bands, line, sig, line - sig, atr)
@@ -126,10 +174,12 @@ class HysteresisProcessor(OrderedProcessor):
 
     def step(self, s: list, window: list, row: tuple) -> tuple:
         lookback, period, upper, lower, bars = self.p
+        if missing(row[0]):
+            return (None,) * 6
         window.append(row[0])
         del window[:-(lookback + 1)]
         if len(window) <= lookback or window[0] <= 0:
-            return (None, None, None, None, None, None)
+            return (None,) * 6
         momentum = row[0] / window[0] - 1
         ema = _ema(s, 0, momentum, period)
         s[2] = s[2] + 1 if ema > upper else 0.0
@@ -151,6 +201,8 @@ class PositionProcessor(OrderedProcessor):
 
     def step(self, s: list, window: list, row: tuple) -> tuple:
         price, signed = row
+        if price is None or signed is None:  # no fill: the book stays as it is
+            return (s[0], s[1] if s[0] else None, None, s[2])
         held, cost = s[0], s[1]
         after = held + signed
         realized = 0.0
