@@ -39,6 +39,30 @@ def w4_missing(spark, sf):
     return W.trailing_zscore(holes(spark, sf), "price", time_col="ts", out_col="z").select("symbol", "ts", "z")
 
 
+WILD_Z = """select symbol, {o}, case when bad=0 and count(x) over w>=8 and stddev_samp(x) over w>abs(avg(x) over w)*1e-12
+    then (x-avg(x) over w)/stddev_samp(x) over w end z from (select symbol, {o}, case when not isinf({v}) then {v} end x,
+    count(case when isinf({v}) then 1 end) over (partition by symbol order by {o} nulls first rows unbounded preceding) bad from {t})
+    window w as (partition by symbol order by {o} nulls first rows unbounded preceding)"""
+
+
+@query("w4_trailing_zscore_wild_timestamps", WILD_Z.format(o="ts", v="wild", t="holes"), ("holes",), {"z": 5})
+def w4_wild_timestamps(spark, sf):
+    return W.trailing_zscore(holes(spark, sf), "wild", time_col="ts", out_col="z").select("symbol", "ts", "z")
+
+
+# The last bars of each symbol are an outlier and an infinite one: nothing before them may change.
+base.SQL_VIEWS["wild_bars"] = """select symbol, date, case when n=2 then 1e17 when n=1 then 'Infinity'::double else close end as close from
+    (select *, row_number() over (partition by symbol order by date desc) n from bars)"""
+base.DEPENDS["wild_bars"] = ("bars",)
+
+
+@query("w4_trailing_zscore_wild", WILD_Z.format(o="date", v="close", t="wild_bars"), ("wild_bars",), {"z": 5})
+def w4_wild(spark, sf):
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc()))
+    wild = bars(spark, sf).withColumn("close", F.when(n == 2, 1e17).when(n == 1, float("inf")).otherwise(F.col("close")))
+    return W.trailing_zscore(wild, "close", time_col="date", out_col="z").select("symbol", "date", "z")
+
+
 @query("w6_rolling_mean_wild", """select symbol, ts, case when m<1e12 then m end wild_mean from (select symbol, ts, avg(wild) over (partition by symbol order by ts
     range between interval '431999999999 microseconds' preceding and current row) m from holes where ts is not null)""",
        ("holes",), {"wild_mean": 5})

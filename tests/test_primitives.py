@@ -1,5 +1,7 @@
 """Both plans of the ordered and ranking helpers against pandas, on a lopsided key."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -131,3 +133,60 @@ def test_no_operator_orders_a_tick_table_in_one_window(ticks):
     plan = W.momentum(df, 5, "symbol", "ts", "v")._jdf.queryExecution().optimizedPlan().toString()
     wide = [line for line in plan.splitlines() if "Window" in line and "row_number" in line]
     assert wide and all("_cell" in line for line in wide)
+
+
+def test_later_rows_change_no_earlier_zscore(spark):
+    import datetime as dt
+
+    values = [float(i * 7 % 5) for i in range(20)]
+    for tail in ([], [1e17], [float("inf")], [float("nan"), 3.0], [-1e17, 1e17, 5.0]):
+        rows = [("S", dt.datetime(2024, 1, 1 + i), v) for i, v in enumerate(values + tail)]
+        df = spark.createDataFrame(rows, "symbol string, ts timestamp, v double")
+        by_time = W.trailing_zscore(df, "v", "symbol", "ts", 4, "z").orderBy("ts").collect()
+        by_date = W.trailing_zscore(df.withColumn("ts", F.to_date("ts")), "v", "symbol", "ts", 4, "z").orderBy("ts").collect()
+        want = pd.Series(values)
+        want = ((want - want.expanding(4).mean()) / want.expanding(4).std()).tolist()
+        for got in (by_time, by_date):
+            for r, w in zip(got, want):
+                assert (r.z is None and math.isnan(w)) or r.z == pytest.approx(w, abs=1e-12), (tail, r, w)
+
+
+def test_zscore_keeps_its_digits_far_from_zero(spark):
+    import datetime as dt
+
+    values = [0.0] + [1e9 + i % 3 for i in range(200)]
+    rows = [("S", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=17 * i), v) for i, v in enumerate(values)]
+    got = W.trailing_zscore(spark.createDataFrame(rows[1:], "symbol string, ts timestamp, v double"), "v", "symbol", "ts", 4, "z").orderBy("ts").collect()
+    want = pd.Series([v - 1e9 for v in values[1:]])
+    want = ((want - want.expanding(4).mean()) / want.expanding(4).std()).tolist()
+    assert all(r.z == pytest.approx(w, abs=1e-6) for r, w in list(zip(got, want))[3:])
+
+
+def test_a_shared_value_is_ranked_by_many_tasks(spark):
+    from pyspark.sql import Window
+
+    n = 60_000
+    df = spark.range(n).select(F.concat(F.lit("S"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("symbol"),
+                               F.when(F.col("id") % 20 == 0, F.col("id").cast("double")).otherwise(0.0).alias("v"), F.lit("2024-01-05").alias("period"))
+    settings = {"spark.sql.shuffle.partitions": "400", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        ranked = R.ordinal_rank(df, ["period"], "v", ["symbol"])
+        tasks = ranked.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert tasks[1] == n and tasks[0] < 0.01 * n
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    plain = df.withColumn("w", F.row_number().over(Window.orderBy("v", "symbol"))).select("symbol", "w")
+    assert ranked.join(plain, "symbol").filter("_rank <> w or _n <> 60000").count() == 0
+    spark.catalog.clearCache()
+
+
+def test_rows_without_a_period_are_ranked_among_themselves(spark):
+    df = spark.createDataFrame([(None, "A", 1.0), (None, "B", 1.0), ("p", "A", 3.0), ("p", "B", None)], "period string, symbol string, v double")
+    got = {(r.period, r.symbol): (r._rank, r._n) for r in R.ordinal_rank(df, ["period"], "v", ["symbol"]).collect()}
+    assert got == {(None, "A"): (1, 2), (None, "B"): (2, 2), ("p", "A"): (1, 1)}
+    got = {(r.period, r.symbol): r.r for r in R.average_ranks(df, ["period"], {"r": "v"}).collect()}
+    assert got == {(None, "A"): 1.5, (None, "B"): 1.5, ("p", "A"): 1.0}

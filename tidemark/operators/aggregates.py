@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import ratio
 from tidemark.operators.ranking import average_ranks, exact_quantiles
@@ -109,15 +109,16 @@ def clustered_t(df: DataFrame, column: str, by: Sequence[str] = (), date: str =
     monthly = rows.groupBy(*by, month).agg(
         F.count(column).alias("_k"), F.avg(column).alias("_m"), F.var_pop(column).alias("_v"),
     )
-    square = F.col("_v") + F.col("_m") * F.col("_m")
+    # Months are calendar-bounded, so their pooled mean is a window over them; squares are pooled around it and never subtracted.
+    pooled = Window.partitionBy(*by, F.lit(0))
+    monthly = monthly.withColumn("_mean", ratio(F.sum(F.col("_k") * F.col("_m")).over(pooled), F.sum("_k").over(pooled)))
+    away = F.col("_m") - F.col("_mean")
     stats = monthly.groupBy(*by).agg(
-        F.sum("_k").alias("n"), F.count(F.lit(1)).alias("n_months"),
-        ratio(F.sum(F.col("_k") * F.col("_m")), F.sum("_k")).alias("_mean"),
-        F.sum(F.col("_k") * square).alias("_sq"),
+        F.sum("_k").alias("n"), F.count(F.lit(1)).alias("n_months"), F.first("_mean").alias("_mean"),
+        F.sum(F.col("_k") * (F.col("_v") + away * away)).alias("_sq"),
         F.avg("_m").alias("_mm"), F.stddev_samp("_m").alias("_ms"),
     )
-    spread = F.greatest(F.col("_sq") - F.col("n") * F.col("_mean") * F.col("_mean"), F.lit(0.0))
-    sd = F.sqrt(F.try_divide(spread, F.col("n") - 1))
+    sd = F.sqrt(F.try_divide(F.col("_sq"), F.col("n") - 1))
     return stats.select(
         *by, "n", "n_months", F.round("_mean", 3).alias("mean_pct"),
         F.round(t_stat(F.col("_mean"), sd, F.col("n")), 2).alias("naive_t"),

@@ -145,6 +145,47 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence, aggs: dict[str, t
             .select(*df.columns, *[merge(n, k, c).alias(n) for n, (k, c) in aggs.items()]))
 
 
+def running_moments(df: DataFrame, by: Sequence[str], order: Sequence, column: str, cell: Column | None = None,
+                    count: str = "_k", mean: str = "_mean", squares: str = "_m2") -> DataFrame:
+    """Count, mean and sum of squared deviations from the key's first row up to and including the current one.
+
+    With cells, the triples (n, mean, squares) of whole cells are merged in order: merging a cell into what lies before it adds its
+    own squares and ``d * d * n1 * n2 / (n1 + n2)``, d being the distance of the means. All terms are at least 0, so a
+    running sum of them loses no digits, and each depends on the past only: a later row never changes an earlier result.
+    """
+    x = F.col(column).cast("double")
+
+    def triple(w: WindowSpec | None, name: str) -> list[Column]:
+        n, m, v = F.count(x), F.avg(x), F.var_pop(x)
+        if w is not None:
+            n, m, v = n.over(w), m.over(w), v.over(w)
+        return [n.alias(f"{name}k"), m.alias(f"{name}m"), (v * n).alias(f"{name}q")]
+
+    upto = (Window.partitionBy(*by) if cell is None else Window.partitionBy(*by, "_cell")).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if cell is None:
+        return df.select("*", *triple(upto, "_")).select(*df.columns, F.col("_k").alias(count), F.col("_m").alias(mean), F.col("_q").alias(squares))
+    keyed = df.withColumn("_cell", cell)
+    line = Window.partitionBy(*by).orderBy("_cell")
+    past, sofar = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
+    cells = keyed.groupBy(*by, "_cell").agg(*triple(None, "_"))
+    # Means are summed as distances from the first one, which all rows behind it may know.
+    cells = cells.withColumn("_zero", F.first("_m", ignorenulls=True).over(sofar)).withColumn("_d", (F.col("_m") - F.col("_zero")) * F.col("_k"))
+    before = cells.select("*", F.coalesce(F.sum("_k").over(past), F.lit(0)).alias("_ck"), F.sum("_d").over(past).alias("_cd"))
+    before = before.withColumn("_cm", F.when(F.col("_ck") > 0, F.col("_zero") + F.coalesce("_cd", F.lit(0.0)) / F.greatest("_ck", F.lit(1))))
+    gap = F.col("_m") - F.col("_cm")
+    grown = F.col("_q") + F.coalesce(gap * gap * (F.col("_k") * F.col("_ck") / F.greatest(F.col("_k") + F.col("_ck"), F.lit(1))), F.lit(0.0))
+    carried = before.select(*by, "_cell", "_ck", "_cm", F.sum(grown).over(past).alias("_cq"))
+    here = join_safe(keyed.select("*", *triple(upto, "_l")), carried, [*by, "_cell"])
+    own, far = F.col("_lk"), F.col("_ck")
+    d = F.col("_lm") - F.col("_cm")
+    both = (own > 0) & (far > 0)
+    total = F.greatest(own + far, F.lit(1))
+    return here.select(
+        *df.columns, (own + far).alias(count),
+        F.when(both, F.col("_cm") + d * (own / total)).otherwise(F.coalesce("_lm", "_cm")).alias(mean),
+        F.when(both, F.coalesce("_cq", F.lit(0.0)) + F.col("_lq") + d * d * (own * far / total)).otherwise(F.coalesce("_lq", "_cq")).alias(squares))
+
+
 # A term decayed below this share of its weight no longer changes a double.
 NEGLIGIBLE = 1e-20
 

@@ -1,9 +1,10 @@
 """Ranks and exact quantiles inside groups of any size.
 
-Rows are shuffled on (group, value cell); only one count per cell is ordered
-over a whole group. Quantiles touch just the cells that hold the wanted ranks,
-after collapsing equal values, so neither a huge group nor a hot value gathers
-in one task.
+Ranks go by ranges of (group, value, tie). Average ranks and quantiles shuffle on
+(group, value cell), where only one count per cell is ordered over a whole group;
+equal values collapse first, and quantiles touch just the cells that hold the wanted
+ranks. So neither a huge group nor a hot value gathers in one task. A NULL among
+the grouping columns is a group like others.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import value_cell
+from tidemark.operators.ordered import join_safe
+from tidemark.session import reused
 
 
 def _cell_starts(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -26,21 +29,28 @@ def _cell_starts(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+_IN_PART = (1 << 33) - 1
+
+
 def ordinal_rank(df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str],
                  out: str = "_rank", n_out: str = "_n") -> DataFrame:
     """1-based ascending rank with ties broken by ``tie``, and the group size.
 
-    Rows without a value have no rank and are left out.
+    Rows are dealt by ranges of (group, value, tie), with bounds that Spark draws from the rows themselves, so neither a
+    large group nor a value that a whole group shares meets in one task. Only a count per group and task is ordered over
+    a group. The dealt rows are kept, since bounds must not change between counting and ranking. A NULL in ``by`` is a
+    group like others; rows without a value have no rank and are left out; rows equal in ``tie`` too are ordered arbitrarily.
     """
-    keyed = df.withColumn("_cell", value_cell(value))
-    starts = _cell_starts(keyed, by).select(*by, "_cell", "_start", F.col("_n").alias(n_out))
-    local = Window.partitionBy(*by, "_cell").orderBy(value, *tie)
-    return (
-        keyed.withColumn("_rn", F.row_number().over(local))
-        .join(starts, [*by, "_cell"])
-        .withColumn(out, F.col("_start") + F.col("_rn"))
-        .select(*df.columns, out, n_out)
-    )
+    keys = [*by, value, *tie]
+    dealt = df.filter(F.col(value).isNotNull()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = reused(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(_IN_PART)))
+    counts = rows.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_low"))
+    group = Window.partitionBy(*by, F.lit(0))
+    past = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_part", (F.coalesce(F.sum("_size").over(past), F.lit(0)) - F.col("_low") + 1).alias("_shift"),
+                           F.sum("_size").over(group).alias(n_out))
+    return join_safe(rows, starts, [*by, "_part"]).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out), n_out)
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
@@ -52,7 +62,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], columns: dict[str, str]) ->
     """
     out = df
     for name, value in columns.items():
-        ties = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_size")).withColumn("_cell", value_cell(value))
+        ties = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_size")).withColumn("_cell", value_cell(value))
         starts = (
             ties.groupBy(*by, "_cell").agg(F.sum("_size").alias("_total"))
             .select(*by, "_cell", F.coalesce(F.sum("_total").over(
@@ -60,9 +70,9 @@ def average_ranks(df: DataFrame, by: Sequence[str], columns: dict[str, str]) ->
                 F.lit(0)).alias("_start"))
         )
         upto = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = ties.withColumn("_upto", F.sum("_size").over(upto)).join(starts, [*by, "_cell"]).select(
+        ranked = join_safe(ties.withColumn("_upto", F.sum("_size").over(upto)), starts, [*by, "_cell"], "inner").select(
             *by, value, (F.col("_start") + F.col("_upto") - (F.col("_size") - 1) / F.lit(2.0)).alias(name))
-        out = out.join(ranked, [*by, value])
+        out = join_safe(out, ranked, [*by, value], "inner")
     return out.select(*df.columns, *columns)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import clip, micros, ratio
-from tidemark.operators.ordered import cell_for, join_safe, positions, running, with_neighbours
+from tidemark.operators.ordered import cell_for, join_safe, positions, running, running_moments, with_neighbours
 from tidemark.operators.ranking import ordinal_rank
 from tidemark.schemas import require_columns
 
@@ -147,30 +147,17 @@ def trailing_zscore(df: DataFrame, value_col: str, by: str = "symbol", time_col:
                     min_periods: int = 8, out_col: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Expanding z-score over each key's history up to and including the row.
 
-    NULL below ``min_periods`` rows or when the history has no spread. ``tie``
+    NULL below ``min_periods`` rows, when the history has no spread and once it
+    holds an infinite value or a NaN. Later rows never change earlier ones. ``tie``
     completes the order when times repeat.
     """
     out = out_col or f"{value_col}_z"
     # With a tie-break rows may repeat per day, so a day is no longer a bound.
     cell = F.col(time_col) if tie else cell_for(df, time_col)
-    if cell is None:
-        w = Window.partitionBy(by).orderBy(time_col, *tie).rowsBetween(Window.unboundedPreceding, 0)
-        stats = df.select("*", F.count(value_col).over(w).alias("_k"), F.avg(value_col).over(w).alias("_mean"),
-                          F.stddev_samp(value_col).over(w).alias("_sd"))
-    else:
-        # Running sums of deviations from the key's mean keep their digits.
-        centre = df.groupBy(by).agg(F.avg(value_col).alias("_c"))
-        centred = (
-            join_safe(df, centre, [by]).withColumn("_d", F.col(value_col) - F.col("_c"))
-            .withColumn("_d2", F.col("_d") * F.col("_d"))
-        )
-        sums = running(centred, [by], [time_col, *tie],
-                       {"_k": ("count", value_col), "_s": ("sum", "_d"), "_q": ("sum", "_d2")}, cell)
-        squares = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_k"), F.lit(0.0))
-        stats = sums.select(*df.columns, "_k", (F.col("_c") + ratio("_s", "_k")).alias("_mean"),
-                            F.when(F.col("_k") > 1, F.sqrt(squares / (F.col("_k") - 1))).alias("_sd"))
+    stats = running_moments(df, [by], [time_col, *tie], value_col, cell).withColumn(
+        "_sd", F.when(F.col("_k") > 1, F.sqrt(F.col("_m2") / (F.col("_k") - 1))))
     # A deviation within rounding error of the mean is no spread.
-    spread = F.col("_sd") > F.abs("_mean") * 1e-12
+    spread = (F.col("_sd") > F.abs("_mean") * 1e-12) & (F.col("_sd") < float("inf"))
     z = F.when((F.col("_k") >= min_periods) & spread, (F.col(value_col) - F.col("_mean")) / F.col("_sd"))
     return stats.select(*df.columns, z.alias(out))
 

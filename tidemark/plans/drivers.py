@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.operators.aggregates import ic_by_period, ic_summary
 from tidemark.operators.joins import asof_join
@@ -32,11 +32,20 @@ def study_table(panel: DataFrame, features: Sequence[str], horizons: Sequence[in
     per usable (feature, horizon), and every step groups by those two as well.
     """
     key = ["feature", "horizon"]
+    target = lambda h: F.col(f"forward_{h}d_return")
+    # Periods are chosen first, on one row per period, so that only rows of sampled periods are laid out.
+    held = panel.groupBy(period).agg(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.max(F.col(f).isNotNull() & target(h).isNotNull()).alias("usable"))
+        for h in horizons for f in features]).alias("_pairs"))
+    periods = held.select(period, F.inline("_pairs")).filter("usable").drop("usable")
+    chosen = sample_within(periods, F.col("horizon"), key, period).groupBy(period).agg(F.collect_set(F.concat_ws("|", "horizon", "feature")).alias("_chosen"))
+    if isinstance(panel.schema[period].dataType, T.DateType):
+        chosen = F.broadcast(chosen)  # calendar-bounded: 36 525 dates to a century
     pairs = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.col(f).cast("double").alias("x"),
-                 F.col(f"forward_{h}d_return").alias("y")) for h in horizons for f in features])
-    long = panel.select("symbol", period, F.inline(pairs)).dropna(subset=["x", "y"])
-    sampled = reused(sample_within(long, F.col("horizon"), key, period))
+        F.when(F.array_contains("_chosen", f"{h}|{f}") & F.col(f).isNotNull() & target(h).isNotNull(),
+               F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.col(f).cast("double").alias("x"), target(h).alias("y")))
+        for h in horizons for f in features])
+    sampled = reused(panel.join(chosen, period).select("symbol", period, F.inline(F.array_compact(pairs))))
     rows = reused(quantile_bucket(sampled, "x", q, period, min_names=q, by=key))
     means = rows.groupBy(*key, period, "quantile").agg(F.avg("y").alias("mean_return"))
     long_short = cumulative_drawdown(spread_by_period(means, q, period, key), "spread", period, key)
