@@ -157,3 +157,36 @@ def test_book_runs_in_the_jvm_and_scopes_release_what_it_kept(spark):
         assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
         assert book.count() == 200 and not caches.isEmpty()
     assert caches.isEmpty()
+
+
+def test_one_day_with_very_many_fills_is_no_single_window(spark):
+    from tidemark.operators.trades import position_ledger
+
+    n = 4000
+    df = spark.range(n).select(
+        F.col("id").alias("order_id"), F.lit("A").alias("symbol"), F.when(F.col("id") * 7 % 5 < 3, "Buy").otherwise("Sell").alias("side"),
+        (100.0 + F.col("id") * 13 % 17).alias("price"), (1 + F.col("id") * 11 % 9).alias("quantity"), F.lit("2024-01-05").cast("date").alias("ts"), F.lit(1.0).alias("commission"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ledger = position_ledger(df)
+        got = ledger.orderBy("order_id").collect()
+        plan = ledger._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+        spark.catalog.clearCache()
+    quantity, cost, total = 0.0, 0.0, 0.0
+    for i, r in enumerate(got):
+        price, signed = 100.0 + i * 13 % 17, (1 + i * 11 % 9) * (1 if i * 7 % 5 < 3 else -1)
+        after = quantity + signed
+        if quantity == 0 or (quantity > 0) == (signed > 0):
+            cost = (cost * abs(quantity) + price * abs(signed)) / abs(after)
+        else:
+            total += (price - cost) * min(abs(signed), abs(quantity)) * (1 if quantity > 0 else -1)
+            if after and (after > 0) != (quantity > 0):
+                cost = price
+        quantity = after
+        assert r.quantity == quantity and r.realized_total == pytest.approx(total, abs=1e-6), (i, r)
+        assert (r.avg_entry is None) == (quantity == 0) and (quantity == 0 or r.avg_entry == pytest.approx(cost, abs=1e-9))
+    # Windows over rows go by symbol and cell; those over a symbol alone see one row per cell.
+    assert "_part" in plan

@@ -24,6 +24,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
+from tidemark.session import reused
+
 DAY_BOUNDED = (T.DateType,)
 
 
@@ -41,6 +43,16 @@ def join_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(right.withColumnsRenamed(other), same, how).drop(*other.values())
 
 
+def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "_part") -> DataFrame:
+    """``df`` with a cell that never decreases along the order of a key and holds a bounded share of the table.
+
+    For tables whose order column says nothing about how many rows share a value, such as fills on a DATE: rows are dealt by ranges
+    of (key, order), with bounds that Spark draws from the rows, and the range's number is the cell. The dealt rows are
+    kept, since bounds must not change between two reads. Give an ``order`` that tells rows of a key apart.
+    """
+    return reused(df.repartitionByRange(*by, *order).withColumn(out, F.spark_partition_id()))
+
+
 def _cells_before(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import ratio
-from tidemark.operators.ordered import affine_scan, cell_for, running, with_neighbours
+from tidemark.operators.ordered import affine_scan, cell_for, dealt, running, with_neighbours
 from tidemark.session import reused
 
 # Cost defaults (fixed values).
@@ -68,10 +68,11 @@ def _book(fills: DataFrame, by: Sequence[str], ts: str, seq: str) -> DataFrame:
     affine recurrence (adding mixes prices, reducing keeps the cost, opening and
     flipping restart it), so even one account's endless tape is scanned in blocks.
     """
-    cell = cell_for(fills, ts)
     signed = F.when(F.col("side") == "Buy", F.col("quantity")).otherwise(-F.col("quantity")).cast("double")
-    tape = running(fills.withColumn("_signed", signed), by, [ts, seq],
-                   {"qty_after": ("sum", "_signed"), "_seen": ("count", "_signed")}, cell)
+    needed = fills.select(*by, ts, seq, "price", "commission", signed.alias("_signed"))
+    # Any number of fills may share a day or an instant, so cells follow the rows and not the calendar.
+    tape = running(dealt(needed, by, [ts, seq]), by, [ts, seq],
+                   {"qty_after": ("sum", "_signed"), "_seen": ("count", "_signed")}, F.col("_part"))
     before, after = F.col("qty_after") - F.col("_signed"), F.col("qty_after")
     adds = (before == 0) | (F.signum(before) == F.signum("_signed"))
     restarts = (before == 0) | (after == 0) | (~adds & (F.signum(after) != F.signum(before)))
@@ -80,7 +81,7 @@ def _book(fills: DataFrame, by: Sequence[str], ts: str, seq: str) -> DataFrame:
     b = (F.when(after == 0, 0.0).when(restarts, F.col("price"))
          .when(adds, F.col("price") * F.abs("_signed") / mixed).otherwise(0.0))
     steps = tape.select(
-        *by, ts, seq, "price", "commission", "_signed", "qty_after", before.alias("qty_before"), adds.alias("_adds"),
+        *by, ts, seq, "_part", "price", "commission", "_signed", "qty_after", before.alias("qty_before"), adds.alias("_adds"),
         a.alias("_a"), b.alias("_b"), (F.col("_seen") - 1).alias("_pos"))
     return affine_scan(reused(steps), by, "_a", "_b", "avg_after", before="avg_before")
 
@@ -104,7 +105,7 @@ def position_ledger(fills: DataFrame, by: Sequence[str] = ("symbol",), ts: str =
                     seq: str = "order_id") -> DataFrame:
     """Signed quantity, average entry and realised P&L (before commission) per fill."""
     book = _book(fills, list(by), ts, seq).withColumn("realized", _gross())
-    totals = running(book, list(by), [ts, seq], {"realized_total": ("sum", "realized")}, cell_for(fills, ts))
+    totals = running(book, list(by), [ts, seq], {"realized_total": ("sum", "realized")}, F.col("_part"))
     entry = F.when(F.col("qty_after") != 0, F.col("avg_after"))
     return totals.select(*by, ts, seq, F.col("qty_after").alias("quantity"), entry.alias("avg_entry"),
                          "realized", "realized_total")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.operators.aggregates import ic_by_period, ic_summary
 from tidemark.operators.joins import asof_join
+from tidemark.operators.ordered import cell_for, positions
 from tidemark.operators.sets import union_relaxed
-from tidemark.operators.windows import (cumulative_drawdown, forward_returns, momentum, quantile_bucket,
-                                        sample_within)
+from tidemark.operators.windows import cumulative_drawdown, forward_returns, momentum, quantile_bucket
 from tidemark.plans.features import award_velocity, fundamental_momentum, size_features, trailing_obligations
 from tidemark.plans.regression import fama_macbeth
 from tidemark.plans.study import assemble_panel, spread_by_period, spread_summary
@@ -23,6 +23,8 @@ CONTRACT_MODELS = {
     "all_three": ("contract_award_velocity_z", "contract_intensity", "price_momentum"),
 }
 
+TABLES = ("studies", "regressions")
+
 
 def study_table(panel: DataFrame, features: Sequence[str], horizons: Sequence[int], q: int = 5,
                 period: str = "date") -> DataFrame:
@@ -38,7 +40,8 @@ def study_table(panel: DataFrame, features: Sequence[str], horizons: Sequence[in
         F.struct(F.lit(f).alias("feature"), F.lit(h).alias("horizon"), F.max(F.col(f).isNotNull() & target(h).isNotNull()).alias("usable"))
         for h in horizons for f in features]).alias("_pairs"))
     periods = held.select(period, F.inline("_pairs")).filter("usable").drop("usable")
-    chosen = sample_within(periods, F.col("horizon"), key, period).groupBy(period).agg(F.collect_set(F.concat_ws("|", "horizon", "feature")).alias("_chosen"))
+    placed = positions(periods, key, [period], cell_for(periods, period, "day"), "_i").filter(F.col("_i") % F.col("horizon") == 0)
+    chosen = placed.groupBy(period).agg(F.collect_set(F.concat_ws("|", "horizon", "feature")).alias("_chosen"))
     if isinstance(panel.schema[period].dataType, T.DateType):
         chosen = F.broadcast(chosen)  # calendar-bounded: 36 525 dates to a century
     pairs = F.array(*[
@@ -79,17 +82,23 @@ def velocity_panel(transactions: DataFrame, shares: DataFrame, bars: DataFrame,
     return panel.withColumnRenamed(f"price_momentum_{momentum_rows}d", "price_momentum")
 
 
+def _tables(panel: DataFrame, tables: Sequence[str], features: Sequence[str], models: dict[str, Sequence[str]],
+            horizons: Sequence[int]) -> dict[str, DataFrame]:
+    made = {"panel": panel}
+    if "studies" in tables:
+        made["studies"] = study_table(panel, features, horizons)
+    if "regressions" in tables:
+        made["regressions"] = regression_table(panel, models, horizons)
+    return made
+
+
 def velocity_study(transactions: DataFrame, shares: DataFrame, bars: DataFrame,
                    horizons: Sequence[int] = (20, 60, 120), *, as_of, momentum_rows: int = 63,
-                   cache: bool = True, **velocity) -> dict[str, DataFrame]:
-    """Award-velocity study: the panel is cached once for all its uses."""
+                   cache: bool = True, tables: Sequence[str] = TABLES, **velocity) -> dict[str, DataFrame]:
+    """Award-velocity study: the panel is cached once for all its uses; ``tables`` says which to plan beside it."""
     panel = velocity_panel(transactions, shares, bars, horizons, as_of=as_of, momentum_rows=momentum_rows, **velocity)
     panel = reused(panel) if cache else panel
-    return {
-        "panel": panel,
-        "studies": study_table(panel, ["contract_award_velocity_z", "price_momentum", "contract_intensity"], horizons),
-        "regressions": regression_table(panel, CONTRACT_MODELS, horizons),
-    }
+    return _tables(panel, tables, ["contract_award_velocity_z", "price_momentum", "contract_intensity"], CONTRACT_MODELS, horizons)
 
 
 def fundamental_panel(revenue: DataFrame, bars: DataFrame, horizons: Sequence[int],
@@ -99,13 +108,9 @@ def fundamental_panel(revenue: DataFrame, bars: DataFrame, horizons: Sequence[in
 
 
 def fundamental_study(revenue: DataFrame, bars: DataFrame, horizons: Sequence[int] = (20, 60, 120),
-                      momentum_rows: int = 63, cache: bool = True) -> dict[str, DataFrame]:
-    """Growth, acceleration and momentum studies with their joint regression."""
+                      momentum_rows: int = 63, cache: bool = True, tables: Sequence[str] = TABLES) -> dict[str, DataFrame]:
+    """Growth, acceleration and momentum studies with their joint regression; ``tables`` as above."""
     panel = fundamental_panel(revenue, bars, horizons, momentum_rows)
     panel = reused(panel) if cache else panel
     features = ["rev_yoy_accel", "rev_yoy_growth", "price_momentum"]
-    return {
-        "panel": panel,
-        "studies": study_table(panel, features, horizons),
-        "regressions": regression_table(panel, {"fundamental": features}, horizons),
-    }
+    return _tables(panel, tables, features, {"fundamental": features}, horizons)
