@@ -212,6 +212,19 @@ def j7(spark, sf):
     return out.select("symbol", "event_date", "award_id", "rel_day", "t0", "bar_idx")
 
 
+@query("j7_event_outcomes", """select outcome, count(*) n_events from (select case when f is null then 'no_bars' when event_date<f then 'before_first_bar'
+    when event_date>l then 'after_last_bar' when nxt-event_date>3 then 'gap' else 'aligned' end outcome from (select a.symbol, a.event_date, b.f, b.l,
+    (select min(date) from bars i where i.symbol=a.symbol and i.date>=a.event_date) nxt
+    from (select case when award_id::bigint%7=0 then 'none' else symbol end symbol, case when award_id::bigint%11=0 then event_date+3000 when award_id::bigint%13=0 then event_date-3000
+    else event_date end event_date from awards) a left join (select symbol, min(date) f, max(date) l from bars group by 1) b on a.symbol=b.symbol)) group by 1""", ("awards", "bars"))
+def j7_outcomes(spark, sf):
+    from catalog.base import awards
+    number = F.col("award_id").cast("long")
+    moved = F.when(number % 11 == 0, F.date_add("event_date", 3000)).when(number % 13 == 0, F.date_add("event_date", -3000)).otherwise(F.col("event_date"))
+    events = awards(spark, sf).select(F.when(number % 7 == 0, "none").otherwise(F.col("symbol")).alias("symbol"), moved.alias("event_date"))
+    return J.event_outcomes(bars(spark, sf), events, max_gap_days=3).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_events"))
+
+
 @query("k1_sorted_bars", "select symbol, date, close from bars order by symbol, date", ("bars",))
 def k1(spark, sf):
     return bars(spark, sf).select("symbol", "date", "close").orderBy("symbol", "date")

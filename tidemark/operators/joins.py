@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import ratio
-from tidemark.operators.ordered import cell_for, positions, running
+from tidemark.operators.ordered import cell_for, join_safe, positions, running
 from tidemark.schemas import require_columns
 
 
@@ -150,6 +150,24 @@ def event_days(indexed: DataFrame, events: DataFrame, by: str = "symbol", event_
     return rows
 
 
+def event_outcomes(bars: DataFrame, events: DataFrame, by: str = "symbol", event_date: str = "event_date", date: str = "date",
+                   max_gap_days: int | None = None) -> DataFrame:
+    """``events`` with ``t0`` and what became of each: ``outcome``.
+
+    ``aligned``, ``before_first_bar``, ``after_last_bar``, ``gap`` (the next bar lies more than ``max_gap_days`` ahead) or
+    ``no_bars`` (the symbol has none, or symbol or date are NULL). Every event has one row; t0 is NULL unless aligned. Event studies
+    use the aligned ones.
+    """
+    indexed = bar_index(bars, by, date)
+    placed = event_days(indexed, events, by, event_date, date).select(by, event_date, F.col("t0").alias("_t0"), "t0_date")
+    last = bars.groupBy(by).agg(F.max(F.col(date).cast("timestamp")).alias("_last"))
+    rows = join_safe(join_safe(events, placed, [by, event_date]), last, [by])
+    far = F.lit(False) if max_gap_days is None else F.datediff("t0_date", event_date) > max_gap_days
+    outcome = (F.when(F.col("_last").isNull() | F.col(by).isNull() | F.col(event_date).isNull(), "no_bars").when(F.col("_t0").isNotNull(), F.when(far, "gap").otherwise("aligned"))
+               .when(F.col(event_date).cast("timestamp") > F.col("_last"), "after_last_bar").otherwise("before_first_bar"))
+    return rows.withColumn("outcome", outcome).withColumn("t0", F.when(F.col("outcome") == "aligned", F.col("_t0"))).select(*events.columns, "t0", "outcome")
+
+
 def align_events(bars: DataFrame, events: DataFrame, pre: int, post: int, by: str = "symbol",
                  event_date: str = "event_date", max_gap_days: int | None = None) -> DataFrame:
     """Event rows times relative days -pre..post with the bar position of each."""

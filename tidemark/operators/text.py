@@ -22,14 +22,19 @@ def _token_weight(lexicon: dict[str, int]):
     return weight
 
 
-def score_diff(pairs: DataFrame, current: str, prior: str, lexicon: dict[str, int] = RISK_SEVERITY) -> DataFrame:
+def score_diff(pairs: DataFrame, current: str, prior: str, lexicon: dict[str, int] = RISK_SEVERITY,
+               known: str | None = None) -> DataFrame:
     """Score columns for two token-set columns; zeros without prior tokens.
 
-    The set differences are computed once, in their own projection.
+    The set differences are computed once, in their own projection. Tokens may be hashes; ``known`` then names an array of (hash,
+    weight) of the current tokens that have a weight.
     """
     staged = pairs.withColumn("_added", set_minus(current, prior)).withColumn("_removed", set_minus(prior, current))
-    staged = staged.withColumn(
-        "_weights", F.filter(F.transform("_added", _token_weight(lexicon)), lambda w: w.isNotNull()))
+    if known is None:
+        weights = F.filter(F.transform("_added", _token_weight(lexicon)), lambda w: w.isNotNull())
+    else:
+        weights = F.transform(F.filter(known, lambda t: F.array_contains("_added", t["hash"])), lambda t: t["weight"])
+    staged = staged.withColumn("_weights", weights)
     plus, minus = F.size("_added"), F.size("_removed")
     total = F.greatest(F.size(current) + minus, F.lit(1))  # size of the union
     has_prior = F.coalesce(F.size(prior) > 0, F.lit(False))
@@ -38,7 +43,7 @@ def score_diff(pairs: DataFrame, current: str, prior: str, lexicon: dict[str, in
         return F.when(has_prior, F.round(count / total * 100, 2)).otherwise(0.0)
 
     return staged.select(
-        *[c for c in pairs.columns if c not in (current, prior)],
+        *[c for c in pairs.columns if c not in (current, prior, known)],
         pct(plus + minus).alias("pct_changed"), pct(plus).alias("pct_added"), pct(minus).alias("pct_removed"),
         F.when(has_prior, F.aggregate("_weights", F.lit(0), lambda a, w: a + w)).otherwise(0).alias("severity_score"),
         F.when(has_prior, F.size("_weights")).otherwise(0).alias("new_risk_count"))
@@ -49,14 +54,19 @@ def filing_diff(filings: DataFrame, lexicon: dict[str, int] = RISK_SEVERITY, by:
     """Each filing scored against the previous one of the same company.
 
     Filings are cut into cells by their first order column and then into blocks
-    with one copied row, so a company with very many filings spreads out.
+    with one copied row, so a company with very many filings spreads out. Words
+    stay where they are read: what is dealt and compared are their 64-bit hashes, and
+    the weights of the few that the lexicon knows. Equal hashes count as equal words.
     """
     def add(df: DataFrame, w) -> DataFrame:
         return df.withColumn("_before", F.lag("_now", 1).over(w))
 
-    tokens = filings.select(by, *order, token_set(text).alias("_now"))
+    weight = _token_weight(lexicon)
+    tokens = filings.select(by, *order, token_set(text).alias("_tokens")).select(
+        by, *order, F.transform("_tokens", lambda t: F.xxhash64(t)).alias("_now"),
+        F.filter(F.transform("_tokens", lambda t: F.struct(F.xxhash64(t).alias("hash"), weight(t).alias("weight"))), lambda t: t["weight"].isNotNull()).alias("_known"))
     paired = with_neighbours(tokens, [by], list(order), 1, 0, add, F.col(order[0]))
-    return score_diff(paired, "_now", "_before", lexicon)
+    return score_diff(paired, "_now", "_before", known="_known")
 
 
 def _unicode(pattern: str) -> str:

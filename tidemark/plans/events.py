@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import no_nan, ratio
 from tidemark.operators.aggregates import clustered_t, cut_points, t_stat
@@ -161,24 +160,21 @@ def large_events(awards: DataFrame, min_amount: float, cluster_days: int = 7, by
     best = big.groupBy(by, F.col(event_date).cast("date").alias(event_date)).agg(
         F.max(F.struct(F.col(amount).alias("a"), F.col(award).alias("w"))).alias("_top"))
     days = best.groupBy(by).agg(F.array_sort(F.collect_list(F.unix_date(event_date))).alias("_days"))
-    kept = days.select(by, F.explode(_thin(cluster_days)("_days")).alias("_day")) \
+    kept = days.select(by, F.explode(_thinned("_days", cluster_days)).alias("_day")) \
         .select(by, F.date_from_unix_date("_day").alias(event_date))
     return best.join(kept, [by, event_date]).select(
         by, event_date, F.col("_top.a").alias(amount), F.col("_top.w").alias(award))
 
 
-def _thin(gap: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def thin(days: pd.Series) -> pd.Series:
-        def keep(values):
-            out, last = [], None
-            for d in values:
-                if last is None or d - last > gap:
-                    out.append(d)
-                    last = d
-            return out
-        return days.map(keep)
-    return thin
+def _thinned(days: str, gap: int) -> Column:
+    """The ascending numbers of an array of which each lies more than ``gap`` behind the one kept before it."""
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
+
+    def step(acc: Column, day: Column) -> Column:
+        on = F.struct(day.alias("last"), F.concat(acc["kept"], F.array(day)).alias("kept"))
+        return F.when(acc["last"].isNull() | (day - acc["last"] > gap), on).otherwise(acc)
+
+    return F.aggregate(days, start, step, lambda acc: acc["kept"])
 
 
 def surprise_study(bars: DataFrame, events: DataFrame, pre: int = 5, post: int = 60,

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.operators.aggregates import t_stat
-from tidemark.operators.ordered import positions
+from tidemark.operators.ordered import dealt, positions
 from tidemark.operators.windows import distinct_periods, sample_within
 from tidemark.plans.study import horizon_of
 from tidemark.session import reused
@@ -108,7 +108,7 @@ def oos_splits(panel: DataFrame, features: Sequence[str], horizons: Sequence[int
     middle = (dates.withColumn("_all", F.lit(0)).join(half.withColumn("_all", F.lit(0)), "_all")
               .select(period, (F.col("period_index") < F.col("_half")).alias("_first")))
     names = rows.select("symbol").distinct().withColumn("_all", F.lit(0))
-    sides = positions(names, ["_all"], ["symbol"], F.substring("symbol", 1, 2), "_i") \
+    sides = positions(dealt(names, ["_all"], ["symbol"]), ["_all"], ["symbol"], F.col("_part"), "_i") \
         .select("symbol", (F.col("_i") % 2 == 0).alias("_even"))
     labels = F.array(
         F.lit("full"),
