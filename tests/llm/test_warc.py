@@ -1,6 +1,7 @@
 """Archives: revisits against brute force, and what is saved from damaged files."""
 
 import hashlib
+import random
 import zlib
 
 import pyarrow as pa
@@ -58,6 +59,24 @@ def test_splits_share_no_record():
         assert got == list(range(40))
 
 
+@pytest.mark.parametrize("size", [400, 1500, 5000, 10 ** 9])
+@pytest.mark.parametrize("harm", [(0, 700), (300, 340), (1490, 1510), (1400, 6200), (2990, 9000), (9000, None), (0, None), (5, 5)])
+def test_records_and_gaps_make_up_the_file(harm, size):
+    rng = random.Random(4)
+    parts = [packed(make(i, bytes(rng.getrandbits(8) for _ in range(300 + 37 * (i % 9))))) for i in range(24)]
+    raw = bytearray(b"".join(parts))
+    a, b = harm[0], len(raw) if harm[1] is None else harm[1]
+    raw[a:b] = bytes(b - a)
+    raw = bytes(raw)
+    items = [i for at in range(0, len(raw), size) for i in scan(raw, True, at, min(len(raw), at + size))]
+    spans = sorted((i[1], i[2], i[0]) for i in items)
+    assert [s[0] for s in spans] == [0] + [s[1] for s in spans[:-1]] and spans[-1][1] == len(raw)
+    ends = [sum(map(len, parts[:i + 1])) for i in range(24)]
+    whole = [i for i in range(24) if ends[i] <= a or ends[i] - len(parts[i]) >= b or a == b]
+    assert [int(i[3]["x-page-id"]) for i in items if i[0] == "record"] == whole
+    assert sum(i[0] == "gap" for i in items) == (a < b)
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_pages_come_back(spark, compress):
     big, other = "same body " * 20, "another body " * 30

@@ -182,33 +182,50 @@ def _next(file, mark: bytes, at: int, to: int) -> int:
     return to
 
 
+def _reach(file, take, mark: bytes, start: int, size: int) -> int:
+    """End of the last whole record that begins before ``start``; 0 if there is none."""
+    while start > 0:
+        begin = max(start - (1 << 20), 0)
+        raw = file.read_at(min(start - begin + len(mark) - 1, size - begin), begin)
+        found = raw.rfind(mark)
+        while found >= 0:
+            try:
+                return take(file, begin + found, size)[2]
+            except Damaged:
+                found = raw.rfind(mark, 0, found + len(mark) - 1)
+        start = begin
+    return 0
+
+
 def salvage(file, size: int, start: int, to: int, packed: bool) -> Iterator[tuple]:
     """What begins in [start, to): ("record", offset, end, headers, block) and ("gap", offset, end, reason).
 
-    A start inside the file looks for the first whole record, so splits of one packed file share no record.
+    Splits of one file share no record: each takes those that begin in it. A gap belongs to the split of the record behind it, or
+    to the last one if none follows: that split looks back for the end of the last whole record before itself. So records and
+    gaps of all splits together make up the file, wherever the damage lies.
     """
     take, mark = (_member, b"\x1f\x8b\x08") if packed else (_plain, b"WARC/1.")
-    at, bad, why = start, None, ""
-    if start:
-        bad, why = start, "split"
-        at = _next(file, mark, start, to)
+    at = _next(file, mark, start, to) if start else 0
+    end, why = None, ""  # end of the record before, of this split or (once looked up) of an earlier one
     while at < to:
         try:
-            headers, block, end = take(file, at, size)
+            headers, block, stop = take(file, at, size)
         except Damaged as e:
-            if bad is None:
-                bad, why = at, str(e)
-            elif why == "split":
-                why = "split: " + str(e)
+            why = why or str(e)
             at = _next(file, mark, at + 1, to)
             continue
-        if bad is not None and bad < at and why != "split":
-            yield "gap", bad, at, why
-        bad = None
-        yield "record", at, end, headers, block
-        at = end
-    if bad is not None and bad < to and why != "split":
-        yield "gap", bad, to, why
+        if end is None:
+            end = _reach(file, take, mark, start, size)
+        if end < at:
+            yield "gap", end, at, why or "no record begins here"
+        yield "record", at, stop, headers, block
+        at = end = stop
+        why = ""
+    if to == size:
+        if end is None:
+            end = _reach(file, take, mark, start, size)
+        if end < size:
+            yield "gap", end, size, why or "no record begins here"
 
 
 def _payload(headers: dict[str, str], block: bytes) -> tuple[int | None, str | None, bytes | None]:
@@ -227,8 +244,8 @@ READ_SCHEMA = ("kind string, path string, offset long, length long, reason strin
 def read_warc(files: DataFrame, payloads: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records and gaps of the files named in ``files`` (path, bytes).
 
-    ``kind`` is record or gap. A gap has its place and the first reason. A split that begins inside a record reports
-    nothing for the tail of that record, which its neighbour reads; a damaged stretch across a split shows as two gaps.
+    ``kind`` is record or gap. A gap has its place and the first reason its split met. Records and gaps together make up every
+    file byte by byte, also where damage crosses splits or fills whole ones; each damaged stretch is one gap.
     Plain files are read by one task each, packed ones in splits.
     """
     whole = F.col("path").endswith(".warc")
