@@ -3,6 +3,10 @@
 Texts become templates: numbers, units and names turn into typed placeholders, other words are lower-cased. Windows of
 template words are hashed and joined to the benchmark's windows. A document holds an item when windows on near diagonals
 cover enough of it and its slots are filled consistently: one value of the item stands for one value in the document.
+
+A capital makes a name or not by what stands before it, so a copy may have another template than its item: behind a colon,
+a quotation mark or a line break, or in lower case. Beside its template windows each text therefore has the windows of its
+plain lower-cased words, in the same space of hashes, and a place counts as covered when either hits.
 """
 
 from __future__ import annotations
@@ -18,16 +22,18 @@ UNITS = ["kg", "g", "mg", "lb", "lbs", "km", "m", "cm", "mm", "mi", "mile", "mil
          "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph",
          "kmh", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent"]
 WINDOW = 8
+LEAST_WORDS = 3      # shorter items match nothing
 LEAST_COVER = 0.5    # share of an item's windows on one run of diagonals
 LEAST_EVEN = 0.8     # share of its slots that are filled consistently
 DRIFT = 3
 #: Benchmark windows are broadcast up to this many rows of about 40 bytes; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
-# A number, or a run of letters, digits and non-ASCII characters. A sentence end before it stays part of the token, so
+# A number, or a run of letters, digits and non-ASCII characters but quotation marks and other signs. A sentence end before it stays part of the token, so
 # that a capital there does not make a name.
-_LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-TOKEN = rf"(?:[.!?][\x22\x27\x29\x5D]*\s+)?(?:[0-9]+(?:[.,][0-9]+)*(?!{_LETTER})|{_LETTER}+)"
+_LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u00A1\u00AB\u00BB\u00BF\u2010-\u205E\u3000-\u303F]"
+_CLOSING = r"[\x22\x27\x29\x5D\u00BB\u2019\u201D]*"
+TOKEN = rf"(?:[.!?]{_CLOSING}\s+)?(?:[0-9]+(?:[.,][0-9]+)*(?!{_LETTER})|{_LETTER}+)"
 
 
 def tokens(text: Column) -> Column:
@@ -35,31 +41,40 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(". "), F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1)
 
 
-def template(token: Column) -> Column:
-    """The template word of a token."""
+def value(token: Column) -> Column:
+    """The bare text of a token."""
+    return F.when(F.substring(token, 1, 1).isin(".", "!", "?"), F.regexp_replace(token, rf"^[.!?]{_CLOSING}\s+", "")).otherwise(token)
+
+
+def template(token: Column, plain: Column) -> Column:
+    """The template word of a token; ``plain`` is its lower-cased value."""
     first, second = F.substring(token, 1, 1), F.substring(token, 2, 1)
-    opens = first.isin(".", "!", "?")
-    plain = F.when(opens, F.lower(F.regexp_replace(token, r"^[.!?][\x22\x27\x29\x5D]*\s+", ""))).otherwise(F.lower(token))
-    number = F.when(opens, F.substring(plain, 1, 1)).otherwise(first).between("0", "9")
-    name = ~opens & (F.lower(first) != first) & (F.upper(second) != second)
-    return F.when(name, NAME).when(number, NUMBER).when(plain.isin(UNITS), UNIT).otherwise(plain)
+    name = ~first.isin(".", "!", "?") & (F.lower(first) != first) & (F.upper(second) != second)
+    return F.when(name, NAME).when(F.substring(plain, 1, 1).between("0", "9"), NUMBER).when(plain.isin(UNITS), UNIT).otherwise(plain)
 
 
-def value(token: Column) -> Column:
-    """The bare text of a token."""
-    return F.regexp_replace(token, r"^[.!?][\x22\x27\x29\x5D]*\s+", "")
+def with_words(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``plain`` and ``words``: the lower-cased values and the template words of ``tokens``."""
+    return (rows.withColumn("plain", F.transform("tokens", lambda t: F.lower(value(t))))
+            .withColumn("words", F.zip_with("tokens", "plain", template)))
 
 
 def windows(words: Column, k: int) -> Column:
+    """Hash of every run of ``k`` hashes."""
     n = F.size(words)
     each = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[words[i + j] for j in range(k)]))
     return F.when(n >= k, each).otherwise(F.array().cast("array<bigint>"))
 
 
+def _hashes(rows: DataFrame) -> DataFrame:
+    """``rows`` with hashes of template words and of plain words in one space: where no word is a placeholder they agree."""
+    return rows.withColumn("t", F.transform("words", lambda w: F.xxhash64(w))).withColumn("p", F.transform("plain", lambda w: F.xxhash64(w)))
+
+
 def _slots(rows: DataFrame, keep: list[str]) -> DataFrame:
     """(.., at, value) of the placeholders of each row's tokens."""
-    spread = rows.select(*keep, F.posexplode("tokens").alias("at", "token"))
-    return spread.filter(template(F.col("token")).isin(NUMBER, UNIT, NAME)).select(*keep, "at", value(F.col("token")).alias("value"))
+    spread = rows.select(*keep, F.posexplode("tokens").alias("at", "token")).withColumn("plain", F.lower(value(F.col("token"))))
+    return spread.filter(template(F.col("token"), F.col("plain")).isin(NUMBER, UNIT, NAME)).select(*keep, "at", F.col("plain").alias("value"))
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -69,43 +84,56 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     ``key`` hashes the text, since ids may repeat. Items shorter than a window are matched as a whole if they have at
     least three words; items without that many match nothing. Windows that are placeholders by more than half match
-    nothing by themselves. Null texts count as empty; rows with a null id are kept.
+    word by word only. Values are compared in lower case. Null texts count as empty; rows with a null id are kept.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tokens"))
-    items = (items.filter(F.size("tokens") >= 3).withColumn("words", F.transform("tokens", template))
-             .withColumn("k", F.least(F.size("words"), F.lit(window))))
+    items = with_words(items.filter(F.size("tokens") >= LEAST_WORDS)).withColumn("k", F.least(F.size("words"), F.lit(window)))
     # Ids may repeat in the benchmark too: an item is an id and its words.
-    items = items.withColumn("item_key", F.xxhash64("item_id", "words")).dropDuplicates(["item_key"])
+    items = items.withColumn("item_key", F.xxhash64("item_id", "plain", "words")).dropDuplicates(["item_key"])
     sizes = [r.k for r in items.select("k").distinct().collect()]  # at most `window` values
     places = None
     for k in sizes:
-        own = items.filter(F.col("k") == k).select(
-            "item_id", "item_key", F.lit(k).alias("k"), F.size("words").alias("n"), "words",
-            F.posexplode(windows(F.col("words"), k)).alias("pos", "gram"))
-        own = own.filter(F.size(F.filter(F.slice("words", F.col("pos") + 1, k), lambda w: w.startswith("<"))) * 2 <= k).drop("words")
+        each = _hashes(items.filter(F.col("k") == k)).select(
+            "item_id", "item_key", F.size("words").alias("n"), "words",
+            F.posexplode(F.arrays_zip(windows(F.col("t"), k).alias("t"), windows(F.col("p"), k).alias("p"))).alias("pos", "g"))
+        # A window of placeholders by more than half says nothing by itself; its plain words do.
+        held = F.size(F.filter(F.slice("words", F.col("pos") + 1, k), lambda w: w.startswith("<")))
+        light = held * 2 <= k
+        same = F.col("g.t") == F.col("g.p")
+        rows = F.array_compact(F.array(
+            F.when(light, F.struct(F.col("g.t").alias("gram"), same.alias("verbatim"))),
+            F.when(~light | ~same, F.struct(F.col("g.p").alias("gram"), F.lit(True).alias("verbatim")))))
+        own = each.select("item_id", "item_key", F.lit(k).alias("k"), "n", "pos", light.alias("light"), F.inline(rows))
         places = own if places is None else places.unionByName(own)
     if places is None:
-        places = items.select("item_id", "item_key", "k", F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("gram")).limit(0)
-    known = places.groupBy("item_key").agg(F.count(F.lit(1)).alias("n_windows"))
+        places = items.select("item_id", "item_key", "k", F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(True).alias("light"), F.lit(0).cast("long").alias("gram"),
+                              F.lit(True).alias("verbatim")).limit(0)
+    known = places.groupBy("item_key").agg(F.count_distinct(F.when(F.col("light"), F.col("pos"))).alias("n_light"))
     places = places.join(known, "item_key")
     folder = shared_folder(docs.sparkSession, "decontaminate")
     places = small(written(places, f"{folder}/places"), BROADCAST_ROWS)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    held = rows.select("doc_id", "key", F.transform(tokens(F.col("text")), template).alias("words"))
+    held = _hashes(with_words(rows.select("doc_id", "key", tokens(F.col("text")).alias("tokens")))).select("doc_id", "key", "t", "p")
     grams = F.array().cast("array<struct<gram:bigint,at:int,k:int>>")
     for k in sizes:
-        grams = F.concat(grams, F.transform(windows(F.col("words"), k), lambda h, i: F.struct(h.alias("gram"), i.alias("at"), F.lit(k).alias("k"))))
+        both = F.zip_with(windows(F.col("t"), k), windows(F.col("p"), k), lambda t, p: F.struct(t.alias("t"), p.alias("p")))
+        place = lambda g, i, k=k: F.struct(g.alias("gram"), i.alias("at"), F.lit(k).alias("k"))
+        grams = F.concat(grams, F.flatten(F.transform(both, lambda g, i: F.when(g["t"] == g["p"], F.array(place(g["t"], i))).otherwise(
+            F.array(place(g["t"], i), place(g["p"], i))))))
     hits = (held.select("doc_id", "key", F.inline(grams)).join(places, ["gram", "k"])
-            .groupBy("doc_id", "key", "item_id", "item_key", "n", "k", "n_windows", (F.col("at") - F.col("pos")).alias("diagonal"))
-            .agg(F.collect_set("pos").alias("seen")))
+            .groupBy("doc_id", "key", "item_id", "item_key", "n", "k", "n_light", (F.col("at") - F.col("pos")).alias("diagonal"))
+            .agg(F.collect_set("pos").alias("seen"), F.collect_set(F.when(F.col("light"), F.col("pos"))).alias("lit"),
+                 F.collect_set(F.when(F.col("verbatim"), F.col("pos"))).alias("same")))
     # Diagonals a few words apart belong to one passage with words put in or left out.
     order = Window.partitionBy("doc_id", "key", "item_key").orderBy("diagonal")
     runs = (hits.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(0)))
             .withColumn("island", F.sum("new").over(order)))
     island = Window.partitionBy("doc_id", "key", "item_key", "island")
-    runs = (runs.withColumn("cover", F.size(F.array_distinct(F.flatten(F.collect_list("seen").over(island)))) / F.col("n_windows"))
-            .filter(F.col("cover") >= least_cover))
+    number = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c).over(island))))
+    # The share of the windows that say something by themselves, or of all windows word by word.
+    cover = F.greatest(F.coalesce(F.try_divide(number("lit"), F.col("n_light")), F.lit(0.0)), number("same") / (F.col("n") - F.col("k") + 1))
+    runs = runs.withColumn("cover", cover).filter(F.col("cover") >= least_cover).drop("lit", "same")
     runs = written(runs, f"{folder}/runs")
 
     # Slots are compared only in the passages found: item slot at p against the document's word at p + diagonal.
