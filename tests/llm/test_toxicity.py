@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm.toxicity import fit, marginals, score_toxicity
@@ -98,3 +99,30 @@ def test_held_out_accuracy(spark):
     out = both[both.held_out]
     hits = ((out.predicted == 1) & (out.toxic == 1)).sum()
     assert hits / (out.toxic == 1).sum() > 0.8 and hits / (out.predicted == 1).sum() > 0.8
+
+
+def test_long_texts_are_scored_alike_in_stretches(spark):
+    from tidemark.llm import toxicity as module
+    from tidemark.llm.text import words
+
+    rng = np.random.default_rng(2)
+    vocabulary = ["vile" + c for c in "abc"] + [f"word{i}" for i in range(30)] + ["é", "naïve", "x" * 400]
+    texts = ["".join(vocabulary[i] + [" ", ", ", "\n", "... "][j] for i, j in zip(rng.integers(0, len(vocabulary), n), rng.integers(0, 4, n))) for n in (1, 7, 300, 2500)]
+    texts += [" .,", "x" * 5000, " " * 3000 + "vilea" + " " * 3000, ""]
+    keys = np.unique(np.concatenate(module.features(words(pa.array(texts)))))
+    tagger = module.Tagger(keys, rng.normal(0, 1.5, len(keys)).astype(np.float32), -1.0, -0.7, 0.2, 0.9)
+    table = tagger.table()
+    for text in texts:
+        w = words(pa.array([text]))
+        chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        for size in (60, 1000):
+            if not text:
+                continue
+            p, start, end = tagger.tag_long(np.frombuffer(text.encode(), np.uint8), table, size)
+            assert np.allclose(p, tagger.tag(w, table), atol=1e-4)
+            assert (start == chars[w.start]).all() and (end == chars[w.end]).all()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    small = {r.doc_id: r for r in module.score_toxicity(df, tagger, stretch=500).collect()}
+    whole = {r.doc_id: r for r in module.score_toxicity(df, tagger).collect()}
+    for i, r in whole.items():
+        assert small[i].score == pytest.approx(r.score, abs=1e-3) and [(x.start, x.end) for x in small[i].spans] == [(x.start, x.end) for x in r.spans]

@@ -23,7 +23,7 @@ from tidemark.llm.files import shared_folder, written
 from tidemark.llm.text import _hashes, mix, runs
 
 LEAST, REPORTED = 10, 2000
-ENTRIES, BURST = 1 << 20, 1 << 11
+ENTRIES, BURST = 3 << 18, 1 << 11
 BYTES = 2 << 20          # text that is cut into words at a time
 PART_BYTES = 4 << 20     # prefixes are dealt over so many parts that each stands for about so much text
 CUT = 4096               # parts a run is cut into at most; more come about in several rounds
@@ -128,17 +128,21 @@ class HatTrie:
                 break
             gone.append(head)
             left -= self.sizes[head] + 2
-        keys, counts = [], []
+        # Plain lists first: most containers are small.
+        rests, counts, lengths, tops = [], [], [], []
         for head in gone:
             box = self.root.pop(head)
             parts = [(s << _BITS, leaf) for s, leaf in box.items()] if head in self.bursts else [(0, box)]
             for second, leaf in parts:
-                keys.append(np.fromiter(leaf, np.int64, len(leaf)) | (head << 2 * _BITS) | second)
-                counts.append(np.fromiter(leaf.values(), np.int64, len(leaf)))
+                rests += leaf
+                counts += leaf.values()
+                lengths.append(len(leaf))
+                tops.append(head << 2 * _BITS | second)
             self.bursts.discard(head)
             self.held -= self.sizes.pop(head)
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        keys = np.array(rests, np.int64) | np.repeat(np.array(tops, np.int64), lengths)
+        counts = np.array(counts, np.int64)
+        del rests
         names = pa.array(list(self.numbers), pa.binary())
         words, keys = _renumbered(names, keys)
         order = np.argsort(keys, kind="stable")
@@ -147,10 +151,23 @@ class HatTrie:
         return words, keys[order], counts[order]
 
 
+def _joined(texts: pa.Array, between: bytes) -> pa.Buffer:
+    lists = pa.LargeListArray.from_arrays(pa.array([0, len(texts)], pa.int64()), texts.cast(pa.large_binary()))
+    return pc.binary_join(lists, pa.scalar(between, pa.large_binary()))[0].as_buffer()
+
+
 def _split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys >> 2 * _BITS, (keys >> _BITS) & _MANY, keys & _MANY
 
 
+def _selected(words: pa.Array, keys: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The ones of ``words``, in ascending order, that a few of their keys use, and the keys with numbers among them."""
+    parts = _split(keys)
+    used = np.unique(np.concatenate([np.zeros(1, np.int64), *parts]))
+    a, b, c = (np.searchsorted(used, p) for p in parts)
+    return words.take(pa.array(used[1:] - 1)), (a << 2 * _BITS) | (b << _BITS) | c
+
+
 def _renumbered(names: pa.Array, keys: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The words that ``keys`` use, in ascending order, and the keys with numbers that follow that order."""
     used = np.zeros(len(names) + 1, bool)
@@ -181,13 +198,14 @@ def _blocks(lang: str, kind: int, words: pa.Array, keys: np.ndarray, counts: np.
     first, second, _ = _split(keys)
     with np.errstate(over="ignore"):
         part = (mix(own[first] * np.uint64(3) + own[second]) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    # Sorting 16-bit numbers stably is linear.
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
     edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
     for a, b in zip(edges, edges[1:]):
         rows = order[a:b]
-        table, short = _renumbered(words, keys[rows])
+        table, short = _selected(words, keys[rows])
         # Words hold no space. The numbers of first, second and third words lie apart, since neighbours are alike.
-        raw = b" ".join(table.to_pylist())
+        raw = _joined(table, b" ")
         block = b"".join([np.array([len(raw), len(table)], "<u4").tobytes(), raw, *(x.astype("<u4").tobytes() for x in _split(short)),
                           counts[rows].astype("<u8").tobytes()])
         yield {"lang": lang, "kind": kind, "part": int(part[rows[0]]), "entries": len(rows), "total": int(counts[rows].sum()), "block": block}
@@ -202,9 +220,9 @@ def _run(lang: str, words: pa.Array, keys: np.ndarray, counts: np.ndarray, parts
         yield from _blocks(lang, PHRASES, words, keys[joined], counts[joined], parts)
 
 
-def _read(block: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _read(block: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     size, n = np.frombuffer(block, "<u4", 2).tolist()
-    words = block[8:8 + size].split(b" ") if n else []
+    words = pc.split_pattern(pa.array([block[8:8 + size]], pa.binary()), b" ").values
     rest = (len(block) - 8 - size) // 20
     a, b, c = np.frombuffer(block, "<u4", 3 * rest, 8 + size).astype(np.int64).reshape(3, rest)
     return words, (a << 2 * _BITS) | (b << _BITS) | c, np.frombuffer(block, "<u8", rest, 8 + size + 12 * rest).astype(np.int64)
@@ -213,10 +231,10 @@ def _read(block: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def merge(blocks: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """One sorted run out of several: equal triples once, with the sum of their counts."""
     tables, keys, counts = zip(*map(_read, blocks))
-    names = pa.array([w for t in tables for w in t], pa.binary()).dictionary_encode()
-    where, at, moved = np.concatenate([[0], names.indices.to_numpy() + 1]).astype(np.int64), 0, []
+    names = pa.concat_arrays(tables).dictionary_encode()
+    where, at, moved = np.concatenate([[0], names.indices.to_numpy().astype(np.int64) + 1]), 0, []
     for table, k in zip(tables, keys):
-        new = np.concatenate([[0], where[at + 1:at + 1 + len(table)]])
+        new = np.concatenate([where[:1], where[at + 1:at + 1 + len(table)]])
         a, b, c = _split(k)
         moved.append((new[a] << 2 * _BITS) | (new[b] << _BITS) | new[c])
         at += len(table)
@@ -304,11 +322,11 @@ def count_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
                 run = run.filter(pc.greater(pc.fill_null(pc.binary_length(run.column(1)), 0), 0))
                 for lang in pc.unique(run.column(0)).to_pylist():
                     # A line end keeps the texts of a run apart.
-                    texts = run.column(1).filter(pc.equal(run.column(0), lang)).cast(pa.large_binary())
-                    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(texts)], pa.int64()), texts), pa.scalar(b"\n", pa.large_binary()))
+                    texts = run.column(1).filter(pc.equal(run.column(0), lang))
+                    data = np.frombuffer(_joined(texts, b"\n"), np.uint8)
                     trie = tries.setdefault(lang, HatTrie(entries, burst))
-                    for data in _stretches(np.frombuffer(joined[0].as_buffer(), np.uint8), BYTES):
-                        trie.add(data)
+                    for stretch in _stretches(data, BYTES):
+                        trie.add(stretch)
                         while sum(t.weight for t in tries.values()) > entries:
                             full = max(tries, key=lambda x: tries[x].weight)
                             yield from _run(full, *tries[full].spill(everything=len(tries) > 1 and not tries[full].full()), first)
@@ -344,8 +362,8 @@ def count_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     return blocks.repartition("lang", "kind", "part").sortWithinPartitions("lang", "kind", "part").mapInArrow(merged, COUNTS)
 
 
-#: Frequent words are listed to all tasks up to so many; beyond it they are shuffled.
-BROADCAST_WORDS = 500_000
+#: The best of a language are chosen among the best of so many lots, so no task sees more than lots times REPORTED rows.
+LOTS = 64
 
 
 def collocations(docs: DataFrame, least: int = LEAST, reported: int = REPORTED, inside: int = 50, lang_col: str = "lang", text_col: str = "text", **counting) -> DataFrame:
@@ -363,7 +381,6 @@ def collocations(docs: DataFrame, least: int = LEAST, reported: int = REPORTED,
     words = found.filter("w1 is not null and w2 is null").select("lang", F.col("w1").alias("w"), "f")
     pairs = found.filter("w2 is not null and w3 is null").select("lang", "w1", "w2", F.col("f").alias("a"))
     triples_ = found.filter("w3 is not null").select("lang", "w1", "w2", "w3", F.col("f").alias("a"))
-    words = F.broadcast(words) if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else words
 
     def word(df: DataFrame, w: str, out: str) -> DataFrame:
         return df.join(words.select("lang", F.col("w").alias(w), F.col("f").alias(out)), ["lang", w])
@@ -385,6 +402,7 @@ def collocations(docs: DataFrame, least: int = LEAST, reported: int = REPORTED,
     early = F.col("s1") <= F.col("s2")
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.when(early, F.col("f1")).otherwise(F.col("f12")).alias("l"),
                          F.when(early, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    best = two.union(three).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= reported)
+    order, best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], two.union(three).withColumn("lot", F.pmod(F.xxhash64("phrase"), F.lit(LOTS)))
+    for among in (["lang", "lot"], ["lang"]):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*among).orderBy(*order))).filter(F.col("rank") <= reported)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -114,7 +114,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tagger = train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
     scored = score_toxicity(docs, tagger)
-    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
@@ -125,7 +125,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     voters = train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return score_quality(docs, voters).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+    return score_quality(docs, voters).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
                                               (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -17,6 +17,7 @@ _BYTES = np.arange(256)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _LOWER = np.where(_UPPER, _BYTES + 32, _BYTES).astype(np.uint64)
 _WORD = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | ((_BYTES >= 48) & (_BYTES <= 57)) | (_BYTES >= 128)
+WORD_BYTE = _WORD
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 

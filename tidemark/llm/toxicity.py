@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from tidemark.llm.labelled import MAX_CHARS, PER_CLASS, distinct, sample
-from tidemark.llm.text import Words, mix, runs, words
+from tidemark.llm.pieces import flat
+from tidemark.llm.text import WORD_BYTE, Words, mix, runs, words
 
 BUCKETS = 1 << 21
 BEGINNINGS = (4, 5, 6)
@@ -28,6 +29,7 @@ SEGMENT = 64
 TRAIN_CLEAN = 800
 SURE = 14.0         # evidence (nats) that a feature belongs to toxic documents
 PRECISE = 0.9       # share of a feature's documents that must be toxic
+RUN = 1 << 20       # bytes of text scored at a time; a longer text is worked through in stretches of as much
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", FloatType())]))
 STEPS, RATE, DECAY = 30, 0.25, 1e-4
 
@@ -63,10 +65,10 @@ def features(w: Words) -> list[np.ndarray]:
     return out
 
 
-def marginals(first: np.ndarray, score: np.ndarray, enter: float, leave: float, stay: float):
+def marginals(first: np.ndarray, score: np.ndarray, enter: float, leave: float, stay: float, begin: tuple = (1.0, 0.0), end: tuple = (1.0, 1.0)):
     """(toxic marginal of each word, expected numbers of entering, leaving and staying) of chains that start clean.
 
-    Chain d has the words ``first[d]:first[d + 1]``. Segments of a chain are multiplied out side by side for both states
+    ``begin`` and ``end`` are the messages from before and behind the chains, for one that is a stretch of a longer text. Chain d has the words ``first[d]:first[d + 1]``. Segments of a chain are multiplied out side by side for both states
     they may begin in, then joined in order, so long chains take no more steps than short ones.
     """
     n = len(score)
@@ -107,7 +109,9 @@ def marginals(first: np.ndarray, score: np.ndarray, enter: float, leave: float,
     # Join segments: messages into each from the front, and from behind, step by step over the segments of all chains.
     order = np.argsort(-per, kind="stable")
     front, back = np.zeros((2, total)), np.ones((2, total))
-    front[0, head[:-1][per > 0]] = 1
+    for k in range(2):
+        front[k, head[:-1][per > 0]] = begin[k]
+        back[k, head[1:][per > 0] - 1] = end[k]
     longest = int(per.max())
     counts = np.bincount(per, minlength=longest + 1)[::-1].cumsum()[::-1]
     for k in range(1, longest):
@@ -135,6 +139,18 @@ def marginals(first: np.ndarray, score: np.ndarray, enter: float, leave: float,
     return toxic, (share(ways[1]), share(ways[2]), share(ways[3]))
 
 
+def step_product(score: np.ndarray, enter: float, leave: float, stay: float) -> np.ndarray:
+    """The product of all step matrices of a chain, scaled."""
+    x = np.exp(np.clip(score, -30, 30))
+    steps = np.empty((len(x), 2, 2))
+    steps[:, 0, 0], steps[:, 0, 1], steps[:, 1, 0], steps[:, 1, 1] = 1, np.exp(enter) * x, np.exp(leave), np.exp(stay) * x
+    while len(steps) > 1:
+        # Neighbours are multiplied side by side; an odd last one is kept for the next round.
+        pairs = np.matmul(steps[:-1:2], steps[1::2])
+        steps = np.concatenate([pairs / pairs.sum(axis=(1, 2), keepdims=True), steps[len(pairs) * 2:]])
+    return steps[0] if len(steps) else np.eye(2)
+
+
 @dataclass
 class Tagger:
     """Weights by feature key (those that are not 0) and of the chain; the calibration of document scores."""
@@ -156,12 +172,42 @@ class Tagger:
         weights[at], keys[at] = self.weights[order], self.keys[order]
         return weights, keys
 
-    def tag(self, w: Words, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def scores(self, w: Words, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Score of the toxic state at each word."""
         score = np.full(len(w.hash), self.bias)
         for f in features(w):
             at = (f & np.uint64(BUCKETS - 1)).astype(np.int64)
             score += np.where(table[1][at] == f, table[0][at], 0)
-        return marginals(w.first, score, self.enter, self.leave, self.stay)[0]
+        return score
+
+    def tag(self, w: Words, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return marginals(w.first, self.scores(w, table), self.enter, self.leave, self.stay)[0]
+
+    def tag_long(self, data: np.ndarray, table: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(marginal, start, end in characters) of the words of one text given as bytes, worked through in stretches of about ``size`` bytes.
+
+        Same as ``tag``: a stretch takes along the words beside it, and messages are carried from one to the next.
+        """
+        chain = self.enter, self.leave, self.stay
+        parts, chars = [], 0
+        for before, at, to, behind in _stretches(data, size):
+            w = words(pa.array([data[before:behind].tobytes()], pa.binary()).cast(pa.string(), safe=False))
+            own = slice(*np.searchsorted(w.start, [at - before, to - before]))
+            count = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+            shift = chars - count[at - before]
+            parts.append((self.scores(w, table)[own].astype(np.float32), (count[w.start[own]] + shift).astype(np.int32), (count[w.end[own]] + shift).astype(np.int32)))
+            chars = int(count[to - before] + shift)
+        products = [step_product(p[0], *chain) for p in parts]
+        ahead, behind = [np.array([1.0, 0.0])], [np.array([1.0, 1.0])]
+        for m in products[:-1]:
+            f = ahead[-1] @ m
+            ahead.append(f / f.sum())
+        for m in reversed(products[1:]):
+            b = m @ behind[-1]
+            behind.append(b / b.sum())
+        tops = [marginals(np.array([0, len(p[0])]), p[0].astype(float), *chain, f, b)[0].astype(np.float32) if len(p[0]) else np.zeros(0, np.float32)
+                for p, f, b in zip(parts, ahead, reversed(behind))]
+        return np.concatenate(tops), *(np.concatenate([p[k] for p in parts]) for k in (1, 2))
 
     def calibrated(self, top: np.ndarray) -> np.ndarray:
         logit = np.log(np.clip(top, 1e-9, 1 - 1e-9) / (1 - np.clip(top, 1e-9, 1 - 1e-9)))
@@ -177,6 +223,28 @@ def _tops(first: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stretches(data: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start of the word before, start, end, end of the word behind) of stretches of about ``size`` bytes, cut between words."""
+    def seek(at: int, word: bool, step: int) -> int:
+        """The nearest edge from ``at`` on behind which (or, backwards, before which) no byte is of that kind."""
+        block = 1 << 12
+        while 0 < at < len(data) or (step > 0 and at == 0):
+            piece = data[at:at + block] if step > 0 else data[max(at - block, 0):at][::-1]
+            other = np.flatnonzero(WORD_BYTE[piece] != word)
+            if len(other):
+                return at + step * int(other[0])
+            at += step * len(piece)
+        return at
+
+    at = 0
+    while at < len(data):
+        to = seek(min(at + size, len(data)), True, 1)
+        before = seek(seek(at, False, -1), True, -1) if at else 0
+        behind = seek(seek(to, False, 1), True, 1) if to < len(data) else to
+        yield before, at, to, behind
+        at = to
+
+
 def _chunks(rows: list[tuple[str, int]]) -> Iterator[Words]:
     """Words of a hundred texts at a time, which bounds the memory of a fit."""
     for at in range(0, len(rows), 100):
@@ -290,34 +358,44 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     return fit(sample(docs, labels, label_col, learn, id_col, text_col, per_class, max_chars))
 
 
-def score_toxicity(docs: DataFrame, tagger: Tagger, text_col: str = "text", score_col: str = "score", spans_col: str = "spans") -> DataFrame:
+def score_toxicity(docs: DataFrame, tagger: Tagger, text_col: str = "text", score_col: str = "score", spans_col: str = "spans", stretch: int = RUN) -> DataFrame:
     """``docs`` with a score (0 to 1) and spans: character offsets and largest marginal of each toxic stretch.
 
     Whole texts are scored. Null and empty texts, and texts without words, get the score of a largest marginal of 0 and no
-    spans. Columns of the names given are replaced; all others are kept.
+    spans. Columns of the names given are replaced; all others are kept. The tagger is broadcast: its size is bounded by the sample.
     """
     kept = [c for c in docs.columns if c not in (score_col, spans_col)]
     place = kept.index(text_col)
     schema = docs.select(*kept).schema
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())])
 
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+
+    def spans_of(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[dict]:
+        hot = np.flatnonzero(p >= 0.5)
+        return [{"start": int(start[g[0]]), "end": int(end[g[-1]]), "p": float(p[g].max())}
+                for g in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1) if len(g)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = shared.value
         table = tagger.table()
-        for part in runs(batches, text_col):
-            w = words(part.column(place))
-            p = tagger.tag(w, table)
-            hot = np.flatnonzero(p >= 0.5)
-            spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            if len(hot):
-                chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-                cut = np.flatnonzero((np.diff(hot) > 1) | (np.diff(w.doc[hot]) > 0)) + 1
-                for group in np.split(hot, cut):
-                    d = int(w.doc[group[0]])
-                    zero = chars[w.offsets[d]]
-                    spans[d].append({"start": int(chars[w.start[group[0]]] - zero), "end": int(chars[w.end[group[-1]]] - zero),
-                                     "p": float(p[group].max())})
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(tagger.calibrated(_tops(w.first, p))), pa.array(spans, pa.list_(span))],
-                [*part.schema.names, score_col, spans_col])
+        for part in runs(batches, text_col, stretch):
+            data, offsets = flat(part.column(place))
+            if part.num_rows == 1 and len(data) > 2 * stretch:
+                p, start, end = tagger.tag_long(data, table, stretch)
+                tops, spans = np.array([float(p.max(initial=0))]), [spans_of(p, start, end)]
+            else:
+                w = words(part.column(place))
+                p = tagger.tag(w, table)
+                tops, spans = _tops(w.first, p), [[] for _ in range(part.num_rows)]
+                toxic = np.flatnonzero(tops >= 0.5)
+                if len(toxic):
+                    chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+                    for d in toxic.tolist():
+                        own = slice(w.first[d], w.first[d + 1])
+                        zero = chars[w.offsets[d]]
+                        spans[d] = spans_of(p[own], chars[w.start[own]] - zero, chars[w.end[own]] - zero)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tagger.calibrated(tops)), pa.array(spans, pa.list_(span))],
+                                             [*part.schema.names, score_col, spans_col])
 
     return docs.select(*kept).mapInArrow(run, StructType([*schema, StructField(score_col, DoubleType()), StructField(spans_col, SPANS)]))
