@@ -89,3 +89,37 @@ def test_token_files_are_addressable(spark, library):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_documents(spark, docs, tokenizer_json(PATH)).count() == 0
+
+
+def test_a_store_stays_within_its_bytes(library):
+    encoder = byte_level_encoder(tokenizer_json(PATH))
+    kept, encoder.kept = encoder.kept, 200_000
+    try:
+        for at in range(0, 60_000, 3000):
+            text = " ".join(f"w{i}x" for i in range(at, at + 3000))
+            assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text).ids
+            assert encoder.held < 200_000 + 3000 * 300
+    finally:
+        encoder.kept = kept
+        encoder.clear()
+    assert not encoder.places and not encoder.held
+
+
+def test_white_space_costs_little_more():
+    import time
+
+    encoder = byte_level_encoder(tokenizer_json(PATH))
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(3000)]
+    plain = [" ".join(words[i] for i in rng.integers(0, 3000, 400)) for _ in range(300)]
+    loose = [t.replace(" ", "\n\n", 3).replace(" ", "  ", 3) for t in plain]
+
+    def cost(texts):
+        encoder.clear()
+        encoder.encode(texts)
+        begun = time.process_time()
+        for _ in range(3):
+            encoder.encode(texts)
+        return time.process_time() - begun
+
+    assert cost(loose) < 1.5 * cost(plain) + 0.1

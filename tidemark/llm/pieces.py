@@ -1,9 +1,10 @@
-"""Encoding with the tokenizers library where recurring pieces of text are encoded once per worker.
+"""Encoding with the tokenizers library where recurring pieces of text are encoded once.
 
-A text is cut where no token of the tokenizer crosses: before a space, around a line end and, where the tokenizer
-allows it, before a full stop or comma that follows a letter or digit. The ids of a text are then the ids of its pieces
-in order. Texts with neighbouring white space go to the library whole. Ids travel as little-endian unsigned 32-bit
-integers.
+A text is cut where no token of the tokenizer crosses: before a stretch of white space, around a line end between other
+characters and, where the tokenizer allows it, before a full stop or comma that follows a letter or digit. The ids of a text
+are then the ids of its pieces in order. All texts of a batch are cut at once over their bytes, Arrow lists the different pieces, only those
+not yet known go to the library, and their ids are gathered with numpy. Pieces with several white space characters in a
+row go to the library by themselves, so texts of any layout cost about the same.
 """
 
 from __future__ import annotations
@@ -11,103 +12,165 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: A full stop or comma behind anything but a letter or digit belongs to a run of signs or to a space.
-_RUNS = re.compile(r"(?<![^\W_])[.,]")
-#: Pieces kept in a worker, about 200 bytes each; a fuller store starts anew.
-KEPT = 500_000
-
-
-#: Neighbouring white space, and all white space but spaces and line ends (with the separator used here).
-_ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
-
-
-def spaced(text: str) -> bool:
-    """Whether all white space of a text is single spaces and line ends between other characters."""
-    return not (text[0].isspace() or text[-1].isspace() or any(c in text for c in _ODD))
+#: Bytes of known pieces a worker keeps, an entry taken for its text, its ids and ENTRY; a fuller store starts anew.
+KEPT = 32 << 20
+ENTRY = 160
+_DIGIT_OR_LETTER = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
+_STOP = np.isin(np.arange(256), [*b".,"])
+#: All white space of one byte, and where longer characters that are white space begin (fixed values).
+SPACES = b" \t\n\r\x0b\x0c"
+_LONG_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_LONG = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_LONG_PATTERN = re.compile(b"|".join(_LONG))
 
 
 def as_bytes(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, offsets) of a string array; nulls are empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 class PieceEncoder:
-    """Encodes texts to bytes of ids.
+    """Encodes texts to ids.
 
     ``token_bytes[id]`` is the number of text bytes a token stands for; ``lead`` is what the tokenizer itself puts in
     front of a text, so that the first piece is treated like the others; ``stops`` says that it never joins a letter or
-    digit with a full stop or comma behind it; texts with the string ``odd`` are never cut.
+    digit with a full stop or comma behind it; ``white`` are the bytes that it treats as white space; ``lines`` says that
+    a line end is a token of its own also beside white space; texts with the string ``odd`` are never cut.
     """
 
     def __init__(self, tokenizer: Tokenizer, token_bytes: np.ndarray, lead: str = "", stops: bool = True, kept: int = KEPT,
-                 odd: str | None = None):
-        self.tokenizer, self.token_bytes, self.lead, self.stops, self.kept, self.odd = tokenizer, token_bytes, lead, stops, kept, odd
-        self.cache = _Store()
+                 odd: str | None = None, white: bytes = SPACES, lines: bool = False):
+        self.tokenizer, self.token_bytes, self.lead, self.stops, self.kept, self.odd, self.lines = tokenizer, token_bytes, lead, stops, kept, odd, lines
+        self.white = np.isin(np.arange(256), [*white])
+        self.simple = re.compile(b" ?[^" + re.escape(white + b"\n") + b"]+").fullmatch
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all pieces."""
+        self.places: dict[bytes, int] = {}
+        self.ids, self.begin, self.end, self.pooled, self.held = [np.zeros(0, np.uint32)], [], [], 0, 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, from the library."""
         return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in a row; a piece that starts a line goes behind a line end."""
+    def _plain(self, piece: bytes) -> bool:
+        """Whether a piece may be encoded in a row with others: a space at most, in front of other characters."""
+        return self.simple(piece) is not None and (piece.isascii() or _LONG_PATTERN.search(piece) is None)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encode new pieces, many in a row; a piece that does not start with white space goes behind a line end."""
         heads = len(self.lead.encode()) + 1
-        line, = self.whole(["a\n"])
-        self.cache["\n"] = line[-4:]
-        pieces = [p for p in pieces if p != "\n"]
-        runs = [pieces[i:i + 500] for i in range(0, len(pieces), 500)]
-        rows = [[p if p[0] == " " else "\n" + p for p in run] for run in runs]
-        for run, row, raw in zip(runs, rows, self.whole(["a" + "".join(row) for row in rows])):
+        plain, alone = [], []
+        for p in pieces:
+            (plain if self._plain(p) else alone).append(p)
+        runs = [plain[i:i + 500] for i in range(0, len(plain), 500)] + [[p] for p in alone]
+        rows = [[p if p[0] == 32 else b"\n" + p for p in run] for run in runs[:len(runs) - len(alone)]]
+        rows += [[p if self.white[p[0]] or p.startswith(_LONG) else b"\n" + p] for p in alone]
+        for run, row, raw in zip(runs, rows, self.whole([(b"a" + b"".join(row)).decode() for row in rows])):
             ids = np.frombuffer(raw, "<u4")
             ends = np.cumsum(self.token_bytes[ids])
-            want = heads + np.concatenate([[0], np.cumsum([len(p.encode()) for p in row])])
+            size = np.array([0, *map(len, row)])
+            want = heads + np.cumsum(size)
             at = np.searchsorted(ends, want)
             if at[-1] >= len(ends) or not (ends[at] == want).all():
                 raise ValueError("a token crosses the end of a piece")
-            for p, q, a, b in zip(run, row, ((at[:-1] + 1) * 4).tolist(), ((at[1:] + 1) * 4).tolist()):
-                self.cache[p] = raw[a if p is q else a + 4:b]
-
-    def cut(self, text: str) -> list[str]:
-        """The pieces of a text."""
-        if self.stops and not _RUNS.search(text):
-            text = text.replace(".", "\x1f.").replace(",", "\x1f,")
-        parts = text.replace("\n", "\x1f\n\x1f").replace(" ", "\x1f ").split("\x1f")
+            # The line end put in front of a piece is a token that does not count.
+            begin = at[:-1] + 1 + (size[1:] - np.array([*map(len, run)]))
+            self.places.update(zip(run, range(len(self.begin), len(self.begin) + len(run))))
+            self.begin += (begin + self.pooled).tolist()
+            self.end += (at[1:] + 1 + self.pooled).tolist()
+            self.ids.append(ids)
+            self.pooled += len(ids)
+            self.held += int(size.sum()) + 4 * len(ids) + ENTRY * len(run)
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the bytes of texts."""
+        n = len(data)
+        white = self.white[data]
+        begin = np.zeros(n, bool)
+        begin[offsets[:-1][offsets[:-1] < n]] = True
+        # Before a stretch of white space, unless what precedes it is a longer white space character.
+        open_ = white.copy()
+        open_[1:] &= ~white[:-1]
+        after_long = np.flatnonzero(open_[1:] & (data[:-1] >= 128)) + 1
+        if len(after_long):
+            a, b, c = (data[np.maximum(after_long - k, 0)].astype(np.int64) for k in (3, 2, 1))
+            ends_white = np.isin((b << 8) | c, [int.from_bytes(w) for w in _LONG if len(w) == 2]) | np.isin(
+                (a << 16) | (b << 8) | c, [int.from_bytes(w) for w in _LONG if len(w) == 3])
+            open_[after_long[ends_white]] = False
+        begin |= open_
+        line = data == 10
+        if self.lines:
+            alone = np.flatnonzero(line)
+            begin[alone] = True
+        else:
+            # A line end by itself is a piece; what follows it begins another.
+            near = white | _LONG_LEADS[data]
+            single = line & begin
+            single[:-1] &= ~near[1:]
+            alone = np.flatnonzero(single)
+        begin[alone[alone + 1 < n] + 1] = True
+        if self.stops:
+            begin[1:] |= _STOP[data[1:]] & _DIGIT_OR_LETTER[data[:-1]]
+        return np.flatnonzero(begin)
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each ends). A null text counts as empty."""
         if self.lead:
-            parts[0] = " " + parts[0]
-        return parts
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text, in order. A null text counts as empty."""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and (not spaced(t) or self.odd and self.odd in t)]
-        for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
-            out[i] = ids
-        skip = set(whole)
-        cut = {i: self.cut(t) for i, t in enumerate(texts) if t and i not in skip}
-        if not cut:
-            return out
-        if len(self.cache) > self.kept:
-            self.cache = _Store()
-        self.cache[""] = b""
-        get, new = self.cache.__getitem__, self.cache.new
-        for i, parts in cut.items():
-            out[i] = b"".join(map(get, parts))
+            texts = pc.fill_null(texts, "")
+            lead = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", self.lead)
+            texts = pc.binary_join_element_wise(lead, texts, "")
+        data, offsets = flat(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        starts = self.cuts(data, offsets)
+        edges = np.concatenate([starts, [len(data)]])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        known = pieces.dictionary.to_pylist()
+        if self.held > self.kept:
+            self.clear()
+        new = [p for p in known if p not in self.places]
         if new:
-            self._learn(list(new))
-            for i, parts in cut.items():
-                if not new.isdisjoint(parts):
-                    out[i] = b"".join(map(get, parts))
-            new.clear()
-        return out
-
+            self._learn(new)
+        pool = np.concatenate(self.ids)
+        self.ids = [pool]
+        slot = np.array([self.places[p] for p in known], np.int64)[pieces.indices.to_numpy()]
+        begin = np.array(self.begin, np.int64)[slot]
+        size = np.array(self.end, np.int64)[slot] - begin
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = pool[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
+        return ids, upto[np.searchsorted(starts, offsets[1:])]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_flat``; texts with ``odd`` go to the library whole."""
+        if self.odd is not None:
+            whole = pc.fill_null(pc.match_substring(texts, self.odd), False).to_numpy(zero_copy_only=False)
+            if whole.any():
+                ids, ends = self.encode_flat(pc.if_else(pa.array(whole), "", texts))
+                parts = np.split(ids, ends[:-1])
+                places = np.flatnonzero(whole)
+                for i, raw in zip(places, self.whole([texts[int(i)].as_py() for i in places])):
+                    parts[i] = np.frombuffer(raw, "<u4")
+                return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return self.encode_flat(texts)
 
-class _Store(dict):
-    """Ids by piece; asked for an unknown piece it notes it in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: set[str] = set()
-
-    def __missing__(self, piece: str) -> bytes:
-        self.new.add(piece)
-        return b""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers, in order."""
+        if not texts:
+            return []
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        return [p.astype("<u4").tobytes() for p in np.split(ids, ends[:-1])]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.pieces import PieceEncoder, as_bytes
+from tidemark.llm.pieces import PieceEncoder, flat
 from tidemark.llm.text import runs
 
 MARK = "▁"
@@ -157,7 +157,9 @@ class Codec:
         # Pieces may be encoded apart only where the normaliser keeps every character and none is unknown.
         self.apart = (m.bytes_known and m.dummy_prefix and not m.trims_spaces and not m.charsmap and cuts_at_marks(m)
                       and not any("\n" in p for p, k in zip(m.pieces, m.kinds) if k == NORMAL))
-        self.encoder = PieceEncoder(self.tokenizer, np.array([len(p) for p in plain], np.int64), lead=" ", stops=False, odd=MARK)
+        self.encoder = PieceEncoder(self.tokenizer, np.array([len(p) for p in plain], np.int64), lead=" ", stops=False, odd=MARK, white=b" ", lines=True)
+        sizes = np.array([len(p) for p in plain], np.int64)
+        self.pool, self.pool_ends = np.frombuffer(b"".join(plain), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
     @classmethod
     def of(cls, raw: bytes) -> Codec:
@@ -168,15 +170,58 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        return self.encoder.encode(texts) if self.apart else self.encoder.whole([t or "" for t in texts])
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        return [p.astype("<u4").tobytes() for p in np.split(ids, ends[:-1])] if texts else []
 
-    def parity(self, texts: list[str | None], coded: list[bytes]) -> list[bool]:
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each ends)."""
+        if self.apart:
+            return self.encoder.encode_array(texts)
+        parts = [np.frombuffer(x, "<u4") for x in self.encoder.whole([t or "" for t in texts.to_pylist()])]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([len(p) for p in parts], dtype=np.int64)
+
+    def parity(self, texts: list[str | None], ids: np.ndarray, ends: np.ndarray) -> list[bool]:
         """Whether the sentencepiece library encodes each text alike."""
         if self.judge is None:
             from sentencepiece import SentencePieceProcessor
 
             self.judge = SentencePieceProcessor(model_proto=self.raw)
-        return [as_bytes(self.judge.encode(t or "")) == c for t, c in zip(texts, coded)]
+        return [np.array_equal(np.asarray(self.judge.encode(t or ""), np.uint32), own) for t, own in zip(texts, np.split(ids, ends[:-1]))]
+
+    def rest(self) -> None:
+        """Lets go what only a running task needs: known pieces and the judge."""
+        self.encoder.clear()
+        self.judge = None
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all texts, where each ends), without the space put in front."""
+        begin = self.pool_ends[ids]
+        size = self.pool_ends[ids.astype(np.int64) + 1] - begin
+        upto = np.concatenate([[0], np.cumsum(size)])
+        data = self.pool[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
+        edge = np.concatenate([[0], upto[ends]])
+        if self.model.dummy_prefix:
+            first = edge[:-1][np.diff(edge) > 0]
+            lead = first[data[first] == 32]
+            keep = np.ones(len(data), bool)
+            keep[lead] = False
+            edge = edge - np.searchsorted(lead, edge)
+            data = data[keep]
+        return data, edge[1:]
+
+    def round_trips(self, texts: pa.Array, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text give its bytes again."""
+        data, upto = self.decoded(ids, ends)
+        own, offsets = flat(texts)
+        same = np.diff(upto, prepend=0) == np.diff(offsets)
+        if len(data) == len(own) and same.all():
+            wrong = np.flatnonzero(data != own)
+            same[np.searchsorted(offsets, wrong, "right") - 1] = False
+            return same
+        start = np.concatenate([[0], upto])
+        for i in np.flatnonzero(same):
+            same[i] = np.array_equal(data[start[i]:start[i + 1]], own[offsets[i]:offsets[i + 1]])
+        return same
 
     def decode(self, ids: bytes) -> str:
         """Text of ids, as the tokenizer's decoder gives it: bytes that are no UTF-8 become replacement characters."""
@@ -207,16 +252,17 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
         codec = Codec.of(model)
         is_byte = np.array([k == BYTE for k in codec.model.kinds])
         for run in runs(batches, "text"):
-            texts = run.column(1).to_pylist()
-            coded = codec.encode(texts)
-            values = np.frombuffer(b"".join(coded), "<i4")
-            ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
-            held = np.concatenate([[0], np.cumsum(is_byte[values])])
+            texts = run.column(1)
+            ids, ends = codec.encode_array(texts)
+            edge = np.concatenate([[0], ends]).astype(np.int32)
+            held = np.concatenate([[0], np.cumsum(is_byte[ids])])
+            raw = ids.astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([
-                run.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(np.diff(ends).astype(np.int64)),
-                pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(held[ends[1:]] - held[ends[:-1]]),
-                pa.array([codec.decode(c) == (t or "") for c, t in zip(coded, texts)]),
-                pa.array(codec.parity(texts, coded) if verify else [None] * len(texts), pa.bool_())], schema=shape)
+                run.column(0), pa.ListArray.from_arrays(pa.array(edge), pa.array(ids.astype(np.int32))), pa.array(np.diff(edge).astype(np.int64)),
+                pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.int64()),
+                pa.array(held[edge[1:]] - held[edge[:-1]]), pa.array(codec.round_trips(texts, ids, ends)),
+                pa.array(codec.parity(texts.to_pylist(), ids, ends) if verify else [None] * len(texts), pa.bool_())], schema=shape)
+        codec.rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, n_bytes long, round_trip boolean, parity boolean")

@@ -65,27 +65,30 @@ class _Writer:
         self.clear()
 
     def clear(self) -> None:
-        self.docs: list[int | None] = []
-        self.ids: list[bytes] = []
+        self.docs: list[np.ndarray] = []
+        self.missing: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
         self.tokens = 0
 
-    def add(self, doc: int | None, ids: bytes) -> None:
-        self.docs.append(doc)
+    def add(self, docs: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents of a batch with all their ids, end ids among them."""
+        self.docs.append(docs.fill_null(0).to_numpy(zero_copy_only=False))
+        self.missing.append(docs.is_null().to_numpy(zero_copy_only=False))
         self.ids.append(ids)
-        self.tokens += len(ids) // 4
+        self.sizes.append(np.diff(ends, prepend=0))
+        self.tokens += len(ids)
         if self.tokens >= SECTION_TOKENS:
             self.flush()
 
     def flush(self) -> None:
         if not self.docs:
             return
-        ends = np.cumsum([len(x) // 4 for x in self.ids])
-        raw = b"".join([struct.pack("<Q", len(self.docs)),
-                        np.array([d is None for d in self.docs], np.uint8).tobytes(),
-                        np.array([d or 0 for d in self.docs], "<i8").tobytes(), ends.astype("<u8").tobytes(),
-                        pack(np.frombuffer(b"".join(self.ids), "<u4"))])
+        docs, ends = np.concatenate(self.docs), np.cumsum(np.concatenate(self.sizes))
+        raw = b"".join([struct.pack("<Q", len(docs)), np.concatenate(self.missing).astype(np.uint8).tobytes(), docs.astype("<i8").tobytes(),
+                        ends.astype("<u8").tobytes(), pack(np.concatenate(self.ids))])
         self.stream.write(raw)
-        self.entries.append((self.at, len(raw), len(self.docs), self.tokens))
+        self.entries.append((self.at, len(raw), len(docs), self.tokens))
         self.at += len(raw)
         self.clear()
 
@@ -150,13 +153,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, out, first = byte_level_encoder(tokenizer), struct.pack("<I", end_id), None, None
+        encoder, out, first = byte_level_encoder(tokenizer), None, None
         for run in runs(batches, "text"):
-            ids = run.column(0).to_pylist()
             if out is None:
-                out, first = _Writer(folder), ids[0]
-            for doc, tokens in zip(ids, encoder.encode(run.column(1).to_pylist())):
-                out.add(doc, tokens + end)
+                out, first = _Writer(folder), run.column(0)[0].as_py()
+            ids, ends = encoder.encode_array(run.column(1))
+            out.add(run.column(0), np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1))
+        encoder.clear()
         if out is not None:
             n_docs, n_tokens, size = out.close()
             yield pa.RecordBatch.from_pylist([{"path": out.path, "first_id": first, "n_docs": n_docs,
