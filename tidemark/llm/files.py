@@ -6,7 +6,7 @@ import uuid
 from urllib.parse import urlsplit
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
@@ -44,3 +44,22 @@ def written(df: DataFrame, folder: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is. Count a written table, not a plan."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has a column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+NO_ID = -(1 << 62)
+
+
+def row_marks(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart where ids repeat: the id (null ids count as equal) and the text's hash."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(text_col)]
