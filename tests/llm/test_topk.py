@@ -24,10 +24,10 @@ def brute(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard,queries", [(4096, 1024), (16, 3)])
-def test_equals_brute_force(spark, monkeypatch, shard, queries):
-    monkeypatch.setattr(topk, "SHARD", shard)
-    monkeypatch.setattr(topk, "QUERIES", queries)
+@pytest.mark.parametrize("shard,queries,ranges,group", [(4096, 1024, 4096, 32), (16, 3, 4096, 32), (16, 3, 3, 2)])
+def test_equals_brute_force(spark, monkeypatch, shard, queries, ranges, group):
+    for name, value in zip(("SHARD", "QUERIES", "RANGES", "GROUP"), (shard, queries, ranges, group)):
+        monkeypatch.setattr(topk, name, value)
     rng = random.Random(3)
     common = [rng.gauss(0, 0.2) for _ in range(12)]
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(12)]) for i in range(150)]
@@ -54,6 +54,24 @@ def test_pruning_keeps_every_result():
             assert near.tolist() == ids[order].tolist() and score.tolist() == full[order].tolist()
 
 
+def test_a_reached_score_prunes_and_keeps_ties():
+    rng = np.random.default_rng(2)
+    x = rng.integers(-9, 10, (400, 24))
+    x[200:220] = x[180:200]  # equal scores on both sides of every bound
+    ids = rng.permutation(400).astype(np.int64)
+    queries, k = x[:30], 9
+    shards = [Shard(ids[a:a + 100], x[a:a + 100]) for a in range(0, 400, 100)]
+    full = queries @ x.T
+    least = np.sort(full, axis=1)[:, -k]
+    for some, bound in ((shards, np.full(30, topk.UNKNOWN)), (shards, least), (shards[:1], least)):
+        n = 100 * len(some)
+        for i, (near, score) in enumerate(topk._best(some, queries, k, bound)):
+            order = [j for j in np.lexsort((ids[:n], -full[i, :n]))[:k] if full[i, j] >= bound[i]]
+            assert near.tolist() == ids[order].tolist() and score.tolist() == full[i, order].tolist()
+    free, bound = (shards[1].possible(queries, k, b).sum() for b in (np.full(30, topk.UNKNOWN), least))
+    assert bound < free
+
+
 def test_few_or_no_rows(spark):
     shape = "vec_id long, embedding array<float>"
     assert top_k(rounded(spark.createDataFrame([], shape)), F.col("vec_id") % 20 == 0).count() == 0
@@ -65,4 +83,4 @@ def test_few_or_no_rows(spark):
 def test_index_is_not_numbered_in_one_task(spark):
     df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
     plan = top_k(rounded(df), F.col("vec_id") % 20 == 0, 3)._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(shard" not in plan
+    assert "windowspecdefinition(shard" not in plan and "Join Cross" not in plan and "broadcast" not in plan.lower()
