@@ -164,18 +164,19 @@ def a9(spark, sf):
        ("filing_scores", "c", "trends", "bars"),
        {n: 5 for n in ("filing_risk", "ai_hiring", "contract_awards", "evasiveness", "price_momentum", "composite_score")})
 def t7(spark, sf):
-    from tidemark.operators.sets import keep_last
+    from tidemark.operators.sets import keep_last, last_n
     from tidemark.session import reused
     symbol = lambda c: F.concat(F.lit("S"), F.lpad(F.substring(c, 4, 9), 2, "0")).alias("symbol")
     b = reused(bars(spark, sf))
     names = b.select("symbol").distinct()
-    scores = X.filing_diff(filings(spark, sf), LEXICON)
+    # Only each company's latest filing counts, so it is scored against the one before it and no other pair is.
+    scores = X.filing_diff(last_n(filings(spark, sf), ["symbol"], ["filed", "seq"], 2), LEXICON)
     filing = keep_last(scores, ["symbol"], ["filed", "seq"]).select(symbol("symbol"), "severity_score", "pct_changed")
     hiring = S.hiring_index(S.skill_acceleration(jobs(spark, sf), SKILLS)).withColumn("_all", F.lit(0))
     hired = names.filter("symbol < 'S20'").withColumn("_all", F.lit(0)).join(hiring, "_all").drop("_all")
     contract = S.contract_surprise(contracts(spark, sf), as_of="2000-06-30", by=["symbol"])
     docs = table(spark, sf, "documents").select("source", "doc_id", "text")
-    evasive = X.evasiveness_by(docs, "source", "doc_id", patterns=PATTERNS).withColumn("symbol", symbol("source"))
+    evasive = X.evasiveness_by(docs, "source", "doc_id", patterns=PATTERNS, samples=False).withColumn("symbol", symbol("source"))
     return S.composite_signal(names, filing, hired, contract, evasive, b)
 
 

@@ -112,3 +112,11 @@ def test_macro(spark):
     assert row["regime"] == "RISK_OFF"
     assert S.series_spread(df, "UNRATE", "CPIAUCSL").collect()[0][0] == pytest.approx(6.5 - 106.1)
     assert S.latest_by_series(df).count() == 3
+
+
+def test_evasiveness_by_without_samples(spark):
+    rows = [("a", 1, "As I said, we will not speculate."), ("a", 2, "It is too early to tell, too early to say."), ("b", 1, "Plain words."), (None, 1, None)]
+    turns = spark.createDataFrame(rows, "who string, turn int, text string")
+    whole = X.evasiveness_by(turns, "who", "turn").drop("sample_matches")
+    plain = X.evasiveness_by(turns, "who", "turn", samples=False)
+    assert plain.columns == whole.columns and plain.exceptAll(whole).count() == 0 == whole.exceptAll(plain).count()

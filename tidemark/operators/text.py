@@ -88,11 +88,12 @@ def evasiveness(df: DataFrame, text: str = "text", patterns: Sequence[str] = EVA
 
 
 def evasiveness_by(df: DataFrame, by: str, order: str, text: str = "text",
-                   patterns: Sequence[str] = EVASIVE_PATTERNS) -> DataFrame:
+                   patterns: Sequence[str] = EVASIVE_PATTERNS, samples: bool = True) -> DataFrame:
     """The same score for a transcript stored as one row per turn.
 
     Turns are scored where they lie and only counts are summed, so a transcript
-    of any length is never assembled. A phrase does not span two speakers.
+    of any length is never assembled. A phrase does not span two speakers. Without
+    ``samples`` texts are read once and ``sample_matches`` is left out.
     """
     def first_five(k: int) -> Column:
         return F.transform(F.slice(F.col("_all")[k], 1, 5),
@@ -104,14 +105,16 @@ def evasiveness_by(df: DataFrame, by: str, order: str, text: str = "text",
     scored = staged.select(by, order, F.size(F.flatten("_all")).alias("_c"), F.size(words("_low")).alias("_w"),
                            hits.alias("_h"))
     totals = scored.groupBy(by).agg(F.sum("_c").alias("evasive_phrase_count"), F.sum("_w").alias("_w"))
+    rate = F.round(F.least(F.col("evasive_phrase_count") / F.greatest("_w", F.lit(1)) * 10000, F.lit(100.0)), 2).alias("evasiveness_score")
+    if not samples:
+        return totals.select(by, "evasive_phrase_count", rate)
     first = Window.partitionBy(by).orderBy("k", order, "i")
-    samples = (
+    firsts = (
         scored.select(by, order, F.inline("_h")).withColumn("_rn", F.row_number().over(first)).filter("_rn <= 5")
         .groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_rn", "m"))).alias("_s"))
     )
-    rate = F.least(F.col("evasive_phrase_count") / F.greatest("_w", F.lit(1)) * 10000, F.lit(100.0))
-    return totals.join(samples, by, "left").select(
-        by, "evasive_phrase_count", F.round(rate, 2).alias("evasiveness_score"),
+    return totals.join(firsts, by, "left").select(
+        by, "evasive_phrase_count", rate,
         F.coalesce(F.transform("_s", lambda s: s["m"]), F.array().cast("array<string>")).alias("sample_matches"))
 
 
