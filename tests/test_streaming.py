@@ -155,3 +155,41 @@ def test_fills_of_one_instant_all_count(spark, tmp_path):
     for r in got:
         for n in ("quantity", "avg_entry", "realized", "realized_total"):
             assert close(r[n], want[r["order_id"]][n]), (n, r)
+
+
+def test_release_of_a_long_key_holds_packed_numbers():
+    import random
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from tidemark.streaming.processors import PositionProcessor
+
+    n, rng = 60_000, random.Random(5)
+    places = rng.sample(range(n), n)
+    waiting = [[]]
+
+    def rows():  # as the state store hands them out: made when read
+        for p in places:
+            yield (1000 * (p // 3), p, None if p % 1000 == 0 else 1.0 + p % 7, float(p % 5 - 2))
+
+    class Store:
+        def __init__(self): self.value = None
+        def exists(self): return self.value is not None
+        def get(self): return self.value
+        def update(self, value): self.value = value
+
+    processor = PositionProcessor("symbol", "ts", "order_id")
+    processor.state = Store()
+    processor.handle = SimpleNamespace(registerTimer=lambda t: None, deleteTimer=lambda t: None)
+    processor.waiting = SimpleNamespace(get=rows, put=lambda r: waiting.append(list(r)), appendList=lambda r: waiting[-1].extend(r), clear=lambda: None)
+    tracemalloc.start()
+    seen, after = 0, -1
+    for frame in processor.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10_000), None):
+        assert frame["order_id"].is_monotonic_increasing and frame["order_id"].iloc[0] == after + 1
+        seen, after = seen + len(frame), int(frame["order_id"].iloc[-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    late = waiting[-1]
+    assert seen == 30_003 and len(late) == n - seen and all(r[0] > 10_000_000 for r in late)
+    assert sum(r[2] is None for r in late) == 29
+    assert (peak - 60 * n) < 12e6, peak

@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: What the processors call the event time in microseconds.
 MICROS = "event_micros"
+#: Rows that are Python objects at a time; all others of a key are packed numbers, 8 bytes each.
+BATCH = 8192
 
 
 def missing(x) -> bool:
@@ -78,22 +82,49 @@ class OrderedProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         track, passed = self._track(), timerValues.getCurrentWatermarkInMs() * 1000
         track[3] = None
-        rest, out = [], []
-        for at, place, *row in sorted(map(tuple, self.waiting.get()), key=lambda r: (r[:2], tuple((x is None, x or 0.0) for x in r[2:]))):
-            if at > passed:
-                rest.append((at, place, *row))
-            elif track[0] is not None and (at, place) <= (track[0], track[1]):
-                track[2] += 1
-            else:
-                track[0], track[1] = at, place
-                out.append((key[0], pd.Timestamp(at, unit="us"), *([place] if self.seq else []), *self.step(track[4], track[5], tuple(row)), track[2]))
-        if rest:
-            self.waiting.put(rest)
-            self._wake(track, rest[0][0])
-        else:
+        numbers, rest = self._drained(passed)
+        first = True
+        for i in range(0, len(rest), BATCH):
+            rows = self._rows(rest[i:i + BATCH])
+            (self.waiting.put if first else self.waiting.appendList)(rows)
+            first = False
+        if first:
             self.waiting.clear()
+        else:
+            self._wake(track, int(rest["at"].min()))
+        del rest
+        # Lists end with the missing numbers; sorts are stable, so equal rows stay as they came.
+        order = np.lexsort([numbers[name] for name in reversed(numbers.dtype.names)])
+        for i in range(0, len(order), BATCH):
+            out = []
+            for at, place, *row in self._rows(numbers[order[i:i + BATCH]]):
+                if track[0] is not None and (at, place) <= (track[0], track[1]):
+                    track[2] += 1
+                else:
+                    track[0], track[1] = at, place
+                    out.append((key[0], pd.Timestamp(at, unit="us"), *([place] if self.seq else []), *self.step(track[4], track[5], tuple(row)), track[2]))
+            if out:
+                yield pd.DataFrame(out, columns=[self.key, self.ts, *([self.seq] if self.seq else []), *self.outputs, "late_dropped"])
         self.state.update(tuple(track))
-        yield pd.DataFrame(out, columns=[self.key, self.ts, *([self.seq] if self.seq else []), *self.outputs, "late_dropped"])
+
+    def _drained(self, passed: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows up to ``passed``, later rows) of the waiting list as packed numbers, a missing one as NaN."""
+        kind = np.dtype([("at", np.int64), ("place", np.int64), *((c, np.float64) for c in self.columns)])
+        parts, later = [np.zeros(0, kind)], [np.zeros(0, kind)]
+        rows = iter(self.waiting.get())
+        while some := list(islice(rows, BATCH)):
+            part = np.empty(len(some), kind)
+            for name, values in zip(kind.names, zip(*some)):
+                part[name] = [np.nan if x is None else x for x in values] if name in self.columns else values
+            due = part["at"] <= passed
+            parts.append(part[due])
+            later.append(part[~due])
+        return np.concatenate(parts), np.concatenate(later)
+
+    @staticmethod
+    def _rows(part: np.ndarray) -> list[tuple]:
+        """Rows of packed numbers as Python numbers."""
+        return [(at, place, *(None if x != x else x for x in row)) for at, place, *row in part.tolist()]
 
     def close(self) -> None:
         pass
