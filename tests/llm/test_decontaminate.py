@@ -147,3 +147,19 @@ def test_whole_results_by_brute_force(spark):
             wrong.append((i, text, r.item_ids, want))
     assert not wrong, wrong[:2]
     assert 20 < sum(r.contaminated for r in got.values()) < 155
+
+
+def test_windows_are_hashed_in_compiled_code(spark):
+    # Lambdas over the words of a text are interpreted; the windows of a document, a hash of eight words each, must not be made there.
+    from tidemark.llm import decontaminate as D
+    seen = []
+    whole = D.windows
+    D.windows = lambda words, k: seen.append(k) or whole(words, k)
+    try:
+        docs = spark.createDataFrame([(1, "One two three four five six seven eight nine ten."), (2, "A red fox.")], "doc_id long, text string")
+        items = spark.createDataFrame([(7, "two three four five six seven eight nine"), (8, "a red fox")], "item_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in D.benchmark_matches(docs, items).collect()}
+    finally:
+        D.windows = whole
+    assert got == {(1, 7), (2, 8)}
+    assert sorted(seen) == [3, 3, 8, 8]  # those of the items: template and plain

@@ -11,6 +11,8 @@ plain lower-cased words, in the same space of hashes, and a place counts as cove
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.files import shared_folder, small, written
@@ -31,7 +33,7 @@ BROADCAST_ROWS = 500_000
 
 # A number, or a run of letters, digits and non-ASCII characters but quotation marks and other signs. A sentence end before it stays part of the token, so
 # that a capital there does not make a name.
-_LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u00A1\u00AB\u00BB\u00BF\u2010-\u205E\u3000-\u303F]"
+_LETTER = r"[a-zA-Z0-9[^\x00-\x7F\u00A1\u00AB\u00BB\u00BF\u2010-\u205E\u3000-\u303F]]"  # the frequent ones first
 _CLOSING = r"[\x22\x27\x29\x5D\u00BB\u2019\u201D]*"
 TOKEN = rf"(?:[.!?]{_CLOSING}\s+)?(?:[0-9]+(?:[.,][0-9]+)*(?!{_LETTER})|{_LETTER}+)"
 
@@ -115,13 +117,18 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     held = _hashes(with_words(rows.select("doc_id", "key", tokens(F.col("text")).alias("tokens")))).select("doc_id", "key", "t", "p")
-    grams = F.array().cast("array<struct<gram:bigint,at:int,k:int>>")
-    for k in sizes:
-        both = F.zip_with(windows(F.col("t"), k), windows(F.col("p"), k), lambda t, p: F.struct(t.alias("t"), p.alias("p")))
-        place = lambda g, i, k=k: F.struct(g.alias("gram"), i.alias("at"), F.lit(k).alias("k"))
-        grams = F.concat(grams, F.flatten(F.transform(both, lambda g, i: F.when(g["t"] == g["p"], F.array(place(g["t"], i))).otherwise(
-            F.array(place(g["t"], i), place(g["p"], i))))))
-    hits = (held.select("doc_id", "key", F.inline(grams)).join(places, ["gram", "k"])
+    # A row per window of each size, hashed behind the explode: there Spark compiles it, inside a lambda it does not. Hashes of windows
+    # of different sizes differ, so they tell the size too.
+    spread = held.withColumn("size", F.explode(F.array(*[F.lit(k) for k in sizes]).cast("array<int>"))).filter(F.size("t") >= F.col("size"))
+    spread = spread.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))))
+
+    def gram(words: str) -> Column:
+        each = [(k, F.xxhash64(*[F.get(words, F.col("at") + j) for j in range(k)])) for k in sizes]
+        return reduce(lambda rest, e: F.when(F.col("size") == e[0], e[1]).otherwise(rest), each, F.lit(None).cast("long"))
+
+    spread = spread.select("doc_id", "key", "at", gram("t").alias("tg"), gram("p").alias("pg"))
+    both = F.when(F.col("tg") == F.col("pg"), F.array("tg")).otherwise(F.array("tg", "pg"))
+    hits = (spread.select("doc_id", "key", "at", F.explode(both).alias("gram")).join(places, "gram")
             .groupBy("doc_id", "key", "item_id", "item_key", "n", "k", "n_light", (F.col("at") - F.col("pos")).alias("diagonal"))
             .agg(F.collect_set("pos").alias("seen"), F.collect_set(F.when(F.col("light"), F.col("pos"))).alias("lit"),
                  F.collect_set(F.when(F.col("verbatim"), F.col("pos"))).alias("same")))
