@@ -123,3 +123,16 @@ def test_white_space_costs_little_more():
         return time.process_time() - begun
 
     assert cost(loose) < 1.5 * cost(plain) + 0.1
+
+
+def test_which_pieces_go_in_a_row():
+    import re
+
+    from tidemark.llm.pieces import _LONG_PATTERN, SPACES, PieceEncoder
+
+    pieces = [b" a", b"a", b" ", b"  a", b"a b", b"\n", b"a\n", b"\ta", " \u00e9".encode(), "\u2003x".encode(), "x\u3000".encode(), "\u20ac".encode(), b".", b" \n"]
+    for white in (SPACES, b"\t", b""):
+        encoder = PieceEncoder(None, np.zeros(0, np.int64), white=white)
+        simple = re.compile(b" ?[^" + re.escape(white + b"\n") + b"]+").fullmatch
+        got = encoder._plain(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]))
+        assert got.tolist() == [simple(p) is not None and _LONG_PATTERN.search(p) is None for p in pieces]

@@ -55,28 +55,37 @@ class PieceEncoder:
                  odd: str | None = None, white: bytes = SPACES, lines: bool = False):
         self.tokenizer, self.token_bytes, self.lead, self.stops, self.kept, self.odd, self.lines = tokenizer, token_bytes, lead, stops, kept, odd, lines
         self.white = np.isin(np.arange(256), [*white])
-        self.simple = re.compile(b" ?[^" + re.escape(white + b"\n") + b"]+").fullmatch
         self.clear()
 
     def clear(self) -> None:
         """Forgets all pieces."""
         self.places: dict[bytes, int] = {}
-        self.ids, self.begin, self.end, self.pooled, self.held = [np.zeros(0, np.uint32)], [], [], 0, 0
+        self.ids, self.begin, self.end = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.pooled, self.held = 0, 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, from the library."""
         return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, piece: bytes) -> bool:
-        """Whether a piece may be encoded in a row with others: a space at most, in front of other characters."""
-        return self.simple(piece) is not None and (piece.isascii() or _LONG_PATTERN.search(piece) is None)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encode new pieces, many in a row; a piece that does not start with white space goes behind a line end."""
+    def _plain(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Which pieces may be encoded in a row with others: a space at most, in front of other characters."""
+        stop = self.white.copy()
+        stop[10] = True
+        stops = np.concatenate([[0], np.cumsum(stop[data], dtype=np.int64)])[edges]
+        space = (data[edges[:-1]] == 32) & stop[32]
+        plain = (np.diff(stops) == space) & (np.diff(edges) > space)
+        # Longer white space characters are looked for where their first bytes are.
+        leads = np.flatnonzero(_LONG_LEADS[data])
+        for i in np.unique(np.searchsorted(edges, leads, "right") - 1).tolist():
+            plain[i] = plain[i] and _LONG_PATTERN.search(data[edges[i]:edges[i + 1]].tobytes()) is None
+        return plain
+
+    def _learn(self, pieces: list[bytes], fit: list[bool]) -> None:
+        """Encode new pieces, those that ``fit`` many in a row; a piece that does not start with white space goes behind a line end."""
         heads = len(self.lead.encode()) + 1
         plain, alone = [], []
-        for p in pieces:
-            (plain if self._plain(p) else alone).append(p)
+        for p, ok in zip(pieces, fit):
+            (plain if ok else alone).append(p)
         runs = [plain[i:i + 500] for i in range(0, len(plain), 500)] + [[p] for p in alone]
         rows = [[p if p[0] == 32 else b"\n" + p for p in run] for run in runs[:len(runs) - len(alone)]]
         rows += [[p if self.white[p[0]] or p.startswith(_LONG) else b"\n" + p] for p in alone]
@@ -90,9 +99,9 @@ class PieceEncoder:
                 raise ValueError("a token crosses the end of a piece")
             # The line end put in front of a piece is a token that does not count.
             begin = at[:-1] + 1 + (size[1:] - np.array([*map(len, run)]))
-            self.places.update(zip(run, range(len(self.begin), len(self.begin) + len(run))))
-            self.begin += (begin + self.pooled).tolist()
-            self.end += (at[1:] + 1 + self.pooled).tolist()
+            self.places.update(zip(run, range(len(self.places), len(self.places) + len(run))))
+            self.begin.append(begin + self.pooled)
+            self.end.append(at[1:] + 1 + self.pooled)
             self.ids.append(ids)
             self.pooled += len(ids)
             self.held += int(size.sum()) + 4 * len(ids) + ENTRY * len(run)
@@ -140,17 +149,23 @@ class PieceEncoder:
         starts = self.cuts(data, offsets)
         edges = np.concatenate([starts, [len(data)]])
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        known = pieces.dictionary.to_pylist()
+        raw, places = pieces.dictionary.buffers()[2].to_pybytes(), np.frombuffer(pieces.dictionary.buffers()[1], np.int64)[:len(pieces.dictionary) + 1].tolist()
+        known = [raw[a:b] for a, b in zip(places, places[1:])]
         if self.held > self.kept:
             self.clear()
-        new = [p for p in known if p not in self.places]
-        if new:
-            self._learn(new)
-        pool = np.concatenate(self.ids)
-        self.ids = [pool]
-        slot = np.array([self.places[p] for p in known], np.int64)[pieces.indices.to_numpy()]
-        begin = np.array(self.begin, np.int64)[slot]
-        size = np.array(self.end, np.int64)[slot] - begin
+        place, which = np.array([self.places.get(p, -1) for p in known], np.int64), pieces.indices.to_numpy()
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            # A piece is judged at the last of its places.
+            last = np.empty(len(known), np.int64)
+            last[which] = np.arange(len(which))
+            self._learn([known[i] for i in new.tolist()], self._plain(data, edges)[last[new]].tolist())
+            place[new] = [self.places[known[i]] for i in new.tolist()]
+        pool, begin, end = (np.concatenate(c) for c in (self.ids, self.begin, self.end))
+        self.ids, self.begin, self.end = [pool], [begin], [end]
+        slot = place[which]
+        begin = begin[slot]
+        size = end[slot] - begin
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = pool[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
         return ids, upto[np.searchsorted(starts, offsets[1:])]

@@ -27,6 +27,7 @@ from tidemark.llm.text import runs
 
 MAGIC = b"TOKDAC01"
 SECTION_TOKENS = 1 << 20
+RUN_BYTES = 4 << 20  # text that is encoded at a time: more of it shares more pieces
 #: A tokenizer file travels to the executors inside the job; larger ones are refused.
 MAX_TOKENIZER_BYTES = 64 << 20
 _ENTRY = struct.Struct("<QQQQ")
@@ -154,7 +155,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, first = byte_level_encoder(tokenizer), None, None
-        for run in runs(batches, "text"):
+        for run in runs(batches, "text", RUN_BYTES):
             if out is None:
                 out, first = _Writer(folder), run.column(0)[0].as_py()
             ids, ends = encoder.encode_array(run.column(1))
