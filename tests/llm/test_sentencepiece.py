@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -86,3 +87,24 @@ def test_documents_round_trip(spark):
     assert all(r.round_trip == (MARK not in texts[r.doc_id]) for r in got)
     assert {r.doc_id: r.text for r in decode_documents(coded, RAW).collect()} == {i: t.replace(MARK, " ") for i, t in texts.items()}
     assert encode_documents(docs.limit(0), RAW).count() == 0
+
+
+def test_many_different_words_are_encoded_once(monkeypatch):
+    codec, sent = Codec(RAW), []
+    plain = codec.encoder.whole
+    monkeypatch.setattr(codec.encoder, "whole", lambda texts: sent.append(sum(map(len, texts))) or plain(texts))
+    batches = [" ".join(f"w{i}" for i in range(at, at + 50_000)) for at in range(0, 250_000, 50_000)]
+    first = [codec.encode([t]) for t in batches]
+    assert sum(sent) >= sum(map(len, batches))
+    sent.clear()
+    assert [codec.encode([t]) for t in batches] == first and not sum(sent)
+
+
+def test_parity_tells_a_wrong_id():
+    texts, codec = ["a b", None, "", "é c", "a b"], Codec(RAW)
+    ids, ends = codec.encode_array(pa.array(texts))
+    assert codec.parity(texts, ids, ends) == [True] * 5
+    wrong = ids.copy()
+    wrong[0] += 1
+    assert codec.parity(texts, wrong, ends) == [False, True, True, True, True]
+    assert codec.parity(["a b c"], ids[:ends[0]], ends[:1]) == [False]

@@ -2,8 +2,8 @@
 
 A text is cut where no token of the tokenizer crosses: before a stretch of white space, around a line end between other
 characters and, where the tokenizer allows it, before a full stop or comma that follows a letter or digit. The ids of a text
-are then the ids of its pieces in order. All texts of a batch are cut at once over their bytes, Arrow lists the different pieces, only those
-not yet known go to the library, and their ids are gathered with numpy. Pieces with several white space characters in a
+are then the ids of its pieces in order. All texts of a batch are cut at once over their bytes, Arrow lists the different pieces and
+looks them up among the known ones, only the others go to the library, and the ids are gathered with numpy. Pieces with several white space characters in a
 row go to the library by themselves, so texts of any layout cost about the same.
 """
 
@@ -16,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Bytes of known pieces a worker keeps, an entry taken for its text, its ids and ENTRY; a fuller store starts anew.
+#: Bytes of known pieces a worker keeps, an entry taken for its text, its ids and ENTRY (where its text and ids lie, and
+#: part of the table that a look-up builds); a fuller store starts anew.
 KEPT = 32 << 20
-ENTRY = 160
+ENTRY = 48
 _DIGIT_OR_LETTER = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)])
 _STOP = np.isin(np.arange(256), [*b".,"])
 #: All white space of one byte, and where longer characters that are white space begin (fixed values).
@@ -59,9 +60,10 @@ class PieceEncoder:
 
     def clear(self) -> None:
         """Forgets all pieces."""
-        self.places: dict[bytes, int] = {}
-        self.ids, self.begin, self.end = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.pooled, self.held = 0, 0
+        # A piece's place among the known ones says where its ids lie.
+        self.places = pa.array([], pa.large_binary())
+        self.ids, self.begin, self.end = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, from the library."""
@@ -80,31 +82,31 @@ class PieceEncoder:
             plain[i] = plain[i] and _LONG_PATTERN.search(data[edges[i]:edges[i + 1]].tobytes()) is None
         return plain
 
-    def _learn(self, pieces: list[bytes], fit: list[bool]) -> None:
-        """Encode new pieces, those that ``fit`` many in a row; a piece that does not start with white space goes behind a line end."""
-        heads = len(self.lead.encode()) + 1
-        plain, alone = [], []
-        for p, ok in zip(pieces, fit):
-            (plain if ok else alone).append(p)
-        runs = [plain[i:i + 500] for i in range(0, len(plain), 500)] + [[p] for p in alone]
-        rows = [[p if p[0] == 32 else b"\n" + p for p in run] for run in runs[:len(runs) - len(alone)]]
-        rows += [[p if self.white[p[0]] or p.startswith(_LONG) else b"\n" + p] for p in alone]
-        for run, row, raw in zip(runs, rows, self.whole([(b"a" + b"".join(row)).decode() for row in rows])):
-            ids = np.frombuffer(raw, "<u4")
-            ends = np.cumsum(self.token_bytes[ids])
-            size = np.array([0, *map(len, row)])
-            want = heads + np.cumsum(size)
-            at = np.searchsorted(ends, want)
-            if at[-1] >= len(ends) or not (ends[at] == want).all():
-                raise ValueError("a token crosses the end of a piece")
-            # The line end put in front of a piece is a token that does not count.
-            begin = at[:-1] + 1 + (size[1:] - np.array([*map(len, run)]))
-            self.places.update(zip(run, range(len(self.places), len(self.places) + len(run))))
-            self.begin.append(begin + self.pooled)
-            self.end.append(at[1:] + 1 + self.pooled)
-            self.ids.append(ids)
-            self.pooled += len(ids)
-            self.held += int(size.sum()) + 4 * len(ids) + ENTRY * len(run)
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Encode new pieces, plain ones many in a row; a piece that does not start with white space goes behind a line end. Gives their places."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[:len(pieces) + 1]
+        plain = self._plain(np.frombuffer(pieces.buffers()[2], np.uint8)[:offsets[-1]], offsets)
+        order, many = np.argsort(~plain, kind="stable"), int(plain.sum())
+        pieces = pieces.take(pa.array(order))
+        parts = [p if p[0] == 32 or i >= many and (self.white[p[0]] or p.startswith(_LONG)) else b"\n" + p for i, p in enumerate(pieces.to_pylist())]
+        edges = [*range(0, many, 500), *range(many, len(parts) + 1)]
+        ids = np.frombuffer(b"".join(self.whole([(b"a" + b"".join(parts[a:b])).decode() for a, b in zip(edges, edges[1:])])), "<u4")
+        ends = np.cumsum(self.token_bytes[ids])
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        heads = np.repeat(np.arange(1, len(edges)), np.diff(edges)) * (len(self.lead.encode()) + 1)
+        upto = heads + np.cumsum(size)
+        first, last = np.searchsorted(ends, upto - size), np.searchsorted(ends, upto)
+        if last[-1] >= len(ends) or not ((ends[first] == upto - size) & (ends[last] == upto)).all():
+            raise ValueError("a token crosses the end of a piece")
+        # The line end put in front of a piece is a token that does not count.
+        first = first + 1 + (size - np.diff(offsets)[order])
+        places = np.empty(len(parts), np.int64)
+        places[order] = np.arange(len(self.places), len(self.places) + len(parts))
+        self.places = pa.concat_arrays([self.places, pieces])
+        self.begin, self.end = np.concatenate([self.begin, first + len(self.ids)]), np.concatenate([self.end, last + 1 + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.held += int(size.sum()) + 4 * len(ids) + ENTRY * len(parts)
+        return places
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces begin in the bytes of texts."""
@@ -149,25 +151,17 @@ class PieceEncoder:
         starts = self.cuts(data, offsets)
         edges = np.concatenate([starts, [len(data)]])
         pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        raw, places = pieces.dictionary.buffers()[2].to_pybytes(), np.frombuffer(pieces.dictionary.buffers()[1], np.int64)[:len(pieces.dictionary) + 1].tolist()
-        known = [raw[a:b] for a, b in zip(places, places[1:])]
         if self.held > self.kept:
             self.clear()
-        place, which = np.array([self.places.get(p, -1) for p in known], np.int64), pieces.indices.to_numpy()
+        place = np.array(pc.fill_null(pc.index_in(pieces.dictionary, value_set=self.places), -1), np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
-            # A piece is judged at the last of its places.
-            last = np.empty(len(known), np.int64)
-            last[which] = np.arange(len(which))
-            self._learn([known[i] for i in new.tolist()], self._plain(data, edges)[last[new]].tolist())
-            place[new] = [self.places[known[i]] for i in new.tolist()]
-        pool, begin, end = (np.concatenate(c) for c in (self.ids, self.begin, self.end))
-        self.ids, self.begin, self.end = [pool], [begin], [end]
-        slot = place[which]
-        begin = begin[slot]
-        size = end[slot] - begin
+            place[new] = self._learn(pieces.dictionary.take(pa.array(new)))
+        slot = place[pieces.indices.to_numpy()]
+        begin = self.begin[slot]
+        size = self.end[slot] - begin
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = pool[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
         return ids, upto[np.searchsorted(starts, offsets[1:])]
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
