@@ -1,5 +1,7 @@
 """The rebuilt tokenizer against the sentencepiece library, for the given BPE model and small unigram models."""
 
+import pathlib
+import resource
 import struct
 
 import numpy as np
@@ -108,3 +110,18 @@ def test_parity_tells_a_wrong_id():
     wrong[0] += 1
     assert codec.parity(texts, wrong, ends) == [False, True, True, True, True]
     assert codec.parity(["a b c"], ids[:ends[0]], ends[:1]) == [False]
+
+
+def test_a_task_gives_its_memory_back():
+    def mb():
+        return int(pathlib.Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize() / 1e6
+
+    codec = Codec(model_bytes(public_tokenizers.path("piece_bpe_32k.model")))
+    # Once a large array has gone, the allocator keeps what smaller ones leave.
+    large = np.ones(30 << 17)
+    del large
+    some = [np.ones(1 << 17) for _ in range(50)]
+    full = mb()
+    some.clear()
+    codec.rest()
+    assert mb() < full - 40
